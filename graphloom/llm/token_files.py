@@ -122,8 +122,17 @@ class Shard:
             count -= len(part)
 
 
+#: ASCII punctuation that may end a word, without the apostrophe that begins contractions.
+TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 def encode_words(tokenizer_json: str, dtype, limit: int):
-    """Memo: bytes of a white-space separated word -> its ids as bytes. The tokenizer drops white space, so words are encoded alone."""
+    """Memo: bytes of a white-space separated word -> its ids as bytes.
+
+    The tokenizer drops white space, so words are encoded alone. It parts a letter or digit from
+    punctuation after it, so a word and its closing punctuation are too; and it lower-cases, so an
+    ASCII word has the ids of its lower-case form.
+    """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -134,18 +143,27 @@ def encode_words(tokenizer_json: str, dtype, limit: int):
     tokenizer.encode_special_tokens = True
 
     def encode(word):
+        if b"'" not in word:
+            body = word.rstrip(TAIL)
+            if body and len(body) < len(word) and body.decode("utf-8", "replace")[-1].isalnum():
+                return memo[body] + memo[word[len(body) :]]
+            low = word.lower() if word.isascii() else word
+            if low != word:
+                return memo[low]
         return np.array(tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype).tobytes()
 
-    return Memo(encode, limit)
+    memo = Memo(encode, limit)
+    return memo
 
 
-def token_files(docs: DataFrame, uri: str, tokenizer_path: str | None = None, end_id: int = 2, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", limit: int = 400_000) -> list[tuple[str, int, int]]:
+def token_files(docs: DataFrame, uri: str, tokenizer_path: str | None = None, end_id: int = 2, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", limit: int = 1 << 20) -> list[tuple[str, int, int]]:
     """Encodes docs and writes their ids in ascending order of id_col under uri; (shard, documents, ids) of each shard, in order.
 
     Each document ends with end_id; a null or empty text has that id only. Rows with equal ids come
     in the order of their texts' hashes; a null id comes first and is kept. Every shard starts a new
     sequence, its last one is padded. Other columns are ignored. limit: words whose ids a Python
-    worker remembers. The tokenizer must drop white space (checked against whole texts in tests).
+    worker remembers. The tokenizer must lower-case, drop white space and part
+    letters from punctuation (checked against whole texts in tests).
     """
     spec = docs.sparkSession.sparkContext.broadcast(read_file(tokenizer_path or vocabulary("word_bpe_49k.json")))
 
