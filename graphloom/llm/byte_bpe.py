@@ -17,56 +17,7 @@ from pyspark.sql import functions as F
 from ._common import Memo, read_file, remembered, table, vocabulary
 
 #: Bits of a bitmap word, as a power of two.
-WORD = 6
-
-
-class RankQueue:
-    """Positions by rank, the lowest rank first and the leftmost position first within it."""
-
-    def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.levels: list[list[int]] = []
-        size = ranks
-        while True:
-            size = (size >> WORD) + 1
-            self.levels.append([0] * size)
-            if size == 1:
-                break
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            for level in self.levels:
-                word, bit = rank >> WORD, 1 << (rank & (1 << WORD) - 1)
-                occupied = level[word]
-                level[word] = occupied | bit
-                if occupied:
-                    break
-                rank = word
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int]:
-        """(rank, position), or (-1, -1) of an empty queue."""
-        rank = 0
-        for level in reversed(self.levels):
-            word = level[rank]
-            if not word:
-                return -1, -1
-            rank = rank << WORD | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            at = rank
-            for level in self.levels:
-                word = at >> WORD
-                level[word] &= ~(1 << (at & (1 << WORD) - 1))
-                if level[word]:
-                    break
-                at = word
-        return rank, position
+WORD = 6  # as in the shifts and masks of encode
 
 
 class ByteBPE:
@@ -78,7 +29,8 @@ class ByteBPE:
         self.bytes_of = [b""] * top
         for piece, rank in ranks.items():
             self.bytes_of[rank] = piece
-        self.queue = RankQueue(top)
+        # the queue's bitmap: a bit for each rank, each word of those, each word of those words
+        self.low, self.mid = [0] * ((top >> WORD) + 1), [0] * ((top >> 2 * WORD) + 1)
 
     def encode(self, piece: bytes) -> list[int]:
         """Token ids of one pre-token."""
@@ -86,36 +38,53 @@ class ByteBPE:
         whole = ranks.get(piece)
         if whole is not None:
             return [whole]
-        rank_of, push, pop = ranks.get, self.queue.push, self.queue.pop
+        rank_of, low, mid, high = ranks.get, self.low, self.mid, 0
+        buckets: dict[int, list[int]] = {}
         n = len(piece)
         after, before, current = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-        for i in range(n - 1):
-            r = rank_of(piece[i : i + 2])
-            if r is not None:
-                current[i] = r
-                push(r, i)
+        fresh = [(i, i + 2) for i in range(n - 1)]
         while True:
-            r, i = pop()
-            if r < 0:
+            for i, end in fresh:  # pairs that have come up, by where they begin and end
+                r = rank_of(piece[i:end])
+                if r is None:
+                    current[i] = -1
+                    continue
+                current[i] = r
+                bucket = buckets.get(r)
+                if bucket is None:
+                    buckets[r] = [i]
+                    low[r >> 6] |= 1 << (r & 63)
+                    mid[r >> 12] |= 1 << (r >> 6 & 63)
+                    high |= 1 << (r >> 12)
+                else:
+                    heappush(bucket, i)
+            while high:
+                a = (high & -high).bit_length() - 1
+                word = mid[a]
+                b = a << 6 | (word & -word).bit_length() - 1
+                word = low[b]
+                r = b << 6 | (word & -word).bit_length() - 1
+                bucket = buckets[r]
+                i = heappop(bucket)
+                if not bucket:
+                    del buckets[r]
+                    low[b] = word = word & word - 1
+                    if not word:
+                        mid[a] = word = mid[a] & mid[a] - 1
+                        if not word:
+                            high &= high - 1
+                if current[i] == r:  # else stale
+                    break
+            else:
                 break
-            if current[i] != r:
-                continue  # stale
             j = after[i]
-            k = after[j]
-            after[i] = k
+            k = after[i] = after[j]
             current[j] = current[i] = -1
+            p = before[i]
+            fresh = [(p, k)] if p >= 0 else []
             if k < n:
                 before[k] = i
-                r = rank_of(piece[i : after[k]])
-                if r is not None:
-                    current[i] = r
-                    push(r, i)
-            p = before[i]
-            if p >= 0:
-                r = rank_of(piece[p:k])
-                current[p] = -1 if r is None else r
-                if r is not None:
-                    push(r, p)
+                fresh.append((i, after[k]))
         ids, i = [], 0
         while i < n:
             ids.append(ranks[piece[i : after[i]]])
@@ -142,7 +111,7 @@ def split_pattern() -> str:
         return r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def byte_bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None, with_ids: bool = False, limit: int = 1 << 19) -> DataFrame:
+def byte_bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None, with_ids: bool = False, limit: int = 1 << 20) -> DataFrame:
     """One row per row of docs: id_col, n_tokens long, ids_sha256, decoded_sha256, and with with_ids also ids array<int>.
 
     Whole texts are encoded without special tokens; a null or empty text has no ids. The ids are
