@@ -73,7 +73,7 @@ def locate_symbol_at(t):
 r AS (SELECT probe, qname, rank() OVER (PARTITION BY probe ORDER BY gap, span) AS k FROM d) SELECT probe, CASE WHEN count(*) = 1 THEN min(qname) ELSE -1 END AS qname FROM r WHERE k = 1 GROUP BY probe""")
 def fuzzy_anchor_match(t):
     probes = _probes(t).distinct()
-    return joins.nearest_span(probes, _spans(t)).select("probe", F.coalesce("qname", F.lit(-1)).alias("qname")).join(_any_near(t), "probe", "left_semi")
+    return joins.nearest_span(probes, _spans(t)).select("probe", F.coalesce("qname", F.lit(-1)).alias("qname")).join(_any_near(t), "probe", "left_semi").distinct()
 
 
 def _any_near(t):
