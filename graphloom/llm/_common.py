@@ -93,7 +93,7 @@ def word_hashes():
     """Memo of the 64-bit hash of a word's bytes."""
     import xxhash
 
-    return remembered("word_hash", 1, lambda: Memo(xxhash.xxh3_64_intdigest))
+    return remembered("word_hash", 1, lambda: Memo(xxhash.xxh3_64_intdigest, 1 << 18))
 
 
 def batch_words(texts):
@@ -114,6 +114,20 @@ def batch_words(texts):
     return np.array(flat, np.uint64), starts
 
 
+def sliced(batches, column: int, most: int = 4 << 20):
+    """The batches cut so that a slice's texts have about most bytes, or it is one row."""
+    for batch in batches:
+        begin = size = 0
+        for i, text in enumerate(batch.column(column)):
+            n = text.as_buffer().size if text.is_valid else 0
+            if size and size + n > most:
+                yield batch.slice(begin, i - begin)
+                begin, size = i, 0
+            size += n
+        if batch.num_rows > begin:
+            yield batch.slice(begin)
+
+
 def mixed(x):
     """64-bit finaliser (splitmix64) over a numpy array."""
     import numpy as np
@@ -137,3 +151,25 @@ def shingles(words, width: int):
     for j in range(k):
         out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + words[j : n - k + 1 + j])
     return out
+
+
+def batch_shingles(words, starts, width: int):
+    """Shingle hashes of all texts, one after the other, and where each text begins; as shingles() gives for each text."""
+    import numpy as np
+
+    n = np.diff(starts)
+    if not (n >= width).any():
+        parts = [shingles(words[a:b], width) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        sizes = [len(p) for p in parts]
+        return np.concatenate([np.zeros(0, np.uint64), *parts]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    sizes = np.where(n >= width, n - width + 1, (n > 0).astype(np.int64))
+    begins = np.zeros(len(n) + 1, np.int64)
+    np.cumsum(sizes, out=begins[1:])
+    text = np.repeat(np.arange(len(n)), sizes)
+    place = np.arange(begins[-1]) - begins[text] + starts[text]  # of a shingle's first word
+    out = np.full(len(place), width, np.uint64)
+    for j in range(width):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + words[np.minimum(place + j, len(words) - 1)])
+    for i in np.flatnonzero((n > 0) & (n < width)).tolist():
+        out[begins[i]] = shingles(words[starts[i] : starts[i + 1]], width)[0]
+    return out, begins

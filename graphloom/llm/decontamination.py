@@ -15,9 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import batch_words, mixed, shingles, sized, table, written
+from ._common import batch_shingles, batch_words, mixed, shingles, sized, sliced, table, written
 
 HASHES = 64
+#: Bits of a minhash that are looked up before the whole.
+SEEN_BITS = 18
+SEEN_MASK = (1 << SEEN_BITS) - 1
 #: Bytes of item texts searched for at once; more of them are searched for in turns.
 ITEMS_AT_ONCE = 4 << 20
 
@@ -32,46 +35,70 @@ class ItemIndex:
         self.width = width
         self.ids = [i for i, _ in items]
         self.sets = [np.unique(shingles(words[starts[k] : starts[k + 1]], width)) for k in range(len(items))]
-        self.multipliers = mixed(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+        self.multipliers = (mixed(np.arange(1, HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
         by_size: dict[int, list[int]] = {}
         for k, found in enumerate(self.sets):
             if len(found):
                 by_size.setdefault(1 << max(0, int(len(found)) - 1).bit_length(), []).append(k)
         self.parts = {}
         for bound, ks in sorted(by_size.items()):
-            least = np.array([self.hashed(self.sets[k]).min(1) for k in ks], np.uint32)
+            least = np.array([[(self.folded(self.sets[k]) * m).min() for m in self.multipliers] for k in ks], np.uint32)
             order = least.argsort(0, kind="stable")
-            self.parts[bound] = (np.array(ks), order, np.take_along_axis(least, order, 0))
+            seen = np.zeros((HASHES, 1 << SEEN_BITS), bool)  # low bits of the items' minhashes
+            for h in range(HASHES):
+                seen[h, least[:, h] & SEEN_MASK] = True
+            self.parts[bound] = (np.array(ks), order, np.take_along_axis(least, order, 0), seen)
 
-    def hashed(self, found):
-        """A row of 32-bit hashes for each of the minhash functions."""
+    @staticmethod
+    def folded(found):
         import numpy as np
 
-        return ((found[None, :] * self.multipliers[:, None]) >> np.uint64(32)).astype(np.uint32)
+        return (found >> np.uint64(32)).astype(np.uint32)
+
+    def candidates(self, found, begins) -> set[tuple[int, int]]:
+        """(text, item), both by place, where a window of the text shares a minhash with the item.
 
-    def candidates(self, found) -> set[int]:
-        """Items (by place) that share a minhash with some window of the shingles, in text order."""
+        found, begins: shingle hashes of several texts, in text order.
+        """
         import numpy as np
 
-        hits: set[int] = set()
+        hits: set[tuple[int, int]] = set()
         if not len(found) or not self.parts:
             return hits
-        step = min(self.parts)
-        hashes = self.hashed(found)
-        blocks = np.minimum.reduceat(hashes, np.arange(0, len(found), step), axis=1)
-        for bound, (ks, order, least) in self.parts.items():
+        base = min(self.parts)
+        folded, sizes = self.folded(found), np.diff(begins)
+        layout = []  # of each partition: blocks' starts in the finer blocks, first blocks of windows, texts
+        step, counts = base, -(-sizes // base)
+        text = np.repeat(np.arange(len(sizes)), counts)
+        offset = np.concatenate([[0], np.cumsum(counts)])
+        first_starts = begins[text] + (np.arange(len(text)) - offset[text]) * base
+        for bound in self.parts:
+            folds = []
             while step < bound:
-                step *= 2
-                blocks = np.minimum.reduceat(blocks, np.arange(0, blocks.shape[1], 2), axis=1)
-            windows = np.minimum(blocks[:, :-1], blocks[:, 1:]) if blocks.shape[1] > 1 else blocks
-            for h in range(HASHES):
-                at = np.searchsorted(least[:, h], windows[h])
-                at[at == len(ks)] = 0
-                for i in np.unique(at[least[at, h] == windows[h]]).tolist():
-                    value = least[i, h]
-                    while i < len(ks) and least[i, h] == value:
-                        hits.add(int(ks[order[i, h]]))
-                        i += 1
+                place = np.arange(len(text)) - offset[text]
+                starts = np.flatnonzero(place % 2 == 0)
+                folds.append(starts)
+                text, counts, step = text[starts], -(-counts // 2), step * 2
+                offset = np.concatenate([[0], np.cumsum(counts)])
+            after = np.minimum(np.arange(len(text)) + 1, len(text) - 1)
+            alone = counts[text] == 1
+            begin = np.flatnonzero((text[after] == text) & (after > np.arange(len(text))) | alone)
+            layout.append((bound, folds, begin, np.where(alone[begin], begin, after[begin]), text[begin]))
+        for h, m in enumerate(self.multipliers):
+            blocks = np.minimum.reduceat(folded * m, first_starts)
+            for bound, folds, begin, then, text in layout:
+                for starts in folds:
+                    blocks = np.minimum.reduceat(blocks, starts)
+                ks, order, least, seen = self.parts[bound]
+                windows = np.minimum(blocks[begin], blocks[then])
+                some = np.flatnonzero(seen[h, windows & SEEN_MASK])
+                if not len(some):
+                    continue
+                lo = np.searchsorted(least[:, h], windows[some])
+                hi = np.searchsorted(least[:, h], windows[some], "right")
+                for w, a, b in zip(text[some].tolist(), lo.tolist(), hi.tolist(), strict=True):
+                    for i in range(a, b):
+                        hits.add((w, int(ks[order[i, h]])))
         return hits
 
 
@@ -99,21 +126,19 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
             import pyarrow as pa
 
             index = ItemIndex(sent.value, width)
-            for batch in batches:
+            for batch in sliced(batches, 1):
                 words, starts = batch_words(t.as_py() for t in batch.column(1))
-                out = []
-                for i, doc_id in enumerate(batch.column(0).to_pylist()):
-                    in_order = shingles(words[starts[i] : starts[i + 1]], width)
-                    near = index.candidates(in_order)
-                    if near:
-                        own = np.unique(in_order)
-                        for k in sorted(near):
-                            item = index.sets[k]
-                            at = np.searchsorted(own, item)
-                            at[at == len(own)] = 0
-                            shared = int((own[at] == item).sum())
-                            if shared * down >= len(item) * up:
-                                out.append((doc_id, index.ids[k], len(item), shared))
+                found, begins = batch_shingles(words, starts, width)
+                ids, out, last, own = batch.column(0).to_pylist(), [], -1, None
+                for i, k in sorted(index.candidates(found, begins)):
+                    if i != last:
+                        last, own = i, np.unique(found[begins[i] : begins[i + 1]])
+                    item = index.sets[k]
+                    at = np.searchsorted(own, item)
+                    at[at == len(own)] = 0
+                    shared = int((own[at] == item).sum())
+                    if shared * down >= len(item) * up:
+                        out.append((ids[i], index.ids[k], len(item), shared))
                 columns = list(zip(*out, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "n_item_shingles", "n_shared"])
 
