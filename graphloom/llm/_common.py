@@ -74,6 +74,14 @@ def remembered(name: str, key, make):
     return slot["value"]
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df; from now on its session hands Python workers rows rows at a time, if it had Spark's default: texts are long and memory is short."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def read_file(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -114,7 +122,7 @@ def batch_words(texts):
     return np.array(flat, np.uint64), starts
 
 
-def sliced(batches, column: int, most: int = 4 << 20):
+def sliced(batches, column: int, most: int = 2 << 20):
     """The batches cut so that a slice's texts have about most bytes, or it is one row."""
     for batch in batches:
         begin = size = 0

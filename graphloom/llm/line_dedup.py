@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import sized, table, written
+from ._common import sized, small_batches, table, written
 
-#: Bits of a filter for each line, and at most (2 ** 27 bits are 16 MB).
-BITS_PER_LINE, MOST_BITS, CHUNK = 8, 27, 1 << 16
+#: Bytes of text for each bit of a filter (about 8 bits a line), and log2 of its bits at most (27: 16 MB).
+BYTES_PER_BIT, MOST_BITS, CHUNK = 32, 27, 1 << 16
 #: Partial filters of a chunk are merged in groups first.
 MERGE_GROUPS = 32
 
@@ -106,8 +106,8 @@ def repeated_lines(docs: DataFrame, least: int = 40, copies: int = 5, most_bits:
 
     docs: doc_id long, q_text binary.
     """
-    lines = docs.agg(F.coalesce(F.sum(F.floor(F.octet_length("q_text") / 40)), F.lit(0)).alias("n")).first().n
-    log_bits = max(13, min(most_bits, (int(lines) * BITS_PER_LINE // 2).bit_length()))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("q_text")), F.lit(0)).alias("n")).first().n
+    log_bits = max(13, min(most_bits, (int(size) // BYTES_PER_BIT).bit_length()))
     twice = docs.sparkSession.sparkContext.broadcast(_seen_twice(docs, least, log_bits))
 
     def suspects(batches):
@@ -128,7 +128,8 @@ def repeated_lines(docs: DataFrame, least: int = 40, copies: int = 5, most_bits:
 
     found = written(docs.select("doc_id", "q_text").mapInArrow(suspects, "doc_id long, key binary").where("doc_id IS NOT NULL"))
     confirmed = found.groupBy("key", "doc_id").agg(F.lit(1).alias("x")).groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= copies)
-    lost = found.join(confirmed.select("key", "keeper"), "key").where("doc_id <> keeper")
+    confirmed = written(confirmed.select("key", "keeper"))  # so that the join's two sides are plain shuffles, which can be split
+    lost = found.join(sized(confirmed, confirmed.count(), 48), "key").where("doc_id <> keeper")
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))  # as many as the document has lines at most
 
 
@@ -141,7 +142,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nothing and aren't counted; rows with equal ids are one document. All columns of docs stay.
     """
     count_names = [n if n not in docs.columns else f"q_{n}" for n in ("n_lines", "n_dropped")]
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("q_text"))
+    slim = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("q_text"))
     lost = written(repeated_lines(slim, least, copies, most_bits))
     size = lost.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("keys")).first()
     rows = docs.select(F.col(id_col).cast("long").alias("q_id"), F.col(text_col).cast("binary").alias("q_text"), *(F.col(c).alias(f"q{i}_") for i, c in enumerate(docs.columns) if c != text_col))
