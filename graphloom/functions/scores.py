@@ -117,8 +117,9 @@ def synonym_multiplier(return_bound: Column, role: Column, callee: Column) -> Co
 
 def hybrid_edge_weight(distance: Column, executions: Column, alpha: float, beta: Column) -> Column:
     """Static rank times a logarithmic boost by executions; distances under 1 and negative counts are errors."""
-    checked = F.when(distance < 1, F.raise_error(F.lit("distance must be 1 or more"))).when(executions < 0, F.raise_error(F.lit("executions must not be negative"))).otherwise(distance)
-    return (1.0 / checked.cast("double")) * (1.0 + alpha * beta * F.log1p(executions.cast("double")))
+    weight = (1.0 / distance.cast("double")) * (1.0 + alpha * beta * F.log1p(executions.cast("double")))
+    wrong = F.when(distance < 1, F.raise_error(F.lit("distance must be 1 or more"))).when(executions < 0, F.raise_error(F.lit("executions must not be negative")))
+    return wrong.otherwise(weight)
 
 
 def environment_weight(environment: Column) -> Column:
