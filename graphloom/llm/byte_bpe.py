@@ -14,7 +14,7 @@ from heapq import heappop, heappush
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Memo, read_file, remembered, table, vocabulary
+from ._common import Memo, read_file, remembered, small_batches, table, vocabulary
 
 #: Bits of a bitmap word, as a power of two.
 WORD = 6  # as in the shifts and masks of encode
@@ -152,7 +152,7 @@ def byte_bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
                 names_.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names_)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table, written
+from ._common import small_batches, table, written
 
 #: Passages of fewer words link nothing.
 LEAST_WORDS = 3
@@ -134,7 +134,7 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     with a null conversation or turn links nothing. Rows with one conversation and turn are one message
     for the links and stay apart in the result. Other columns are ignored.
     """
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(conversations).select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
 
     def clean(batches):
         import pyarrow as pa

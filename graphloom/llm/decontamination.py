@@ -15,11 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import batch_shingles, batch_words, mixed, shingles, sized, sliced, table, written
+from ._common import batch_shingles, batch_words, mixed, shingles, sized, sliced, small_batches, table, written
 
 HASHES = 64
 #: Bits of a minhash that are looked up before the whole.
-SEEN_BITS = 18
+SEEN_BITS = 15
 SEEN_MASK = (1 << SEEN_BITS) - 1
 #: Bytes of item texts searched for at once; more of them are searched for in turns.
 ITEMS_AT_ONCE = 4 << 20
@@ -96,7 +96,8 @@ class ItemIndex:
                     continue
                 lo = np.searchsorted(least[:, h], windows[some])
                 hi = np.searchsorted(least[:, h], windows[some], "right")
-                for w, a, b in zip(text[some].tolist(), lo.tolist(), hi.tolist(), strict=True):
+                real = np.flatnonzero(lo < hi)
+                for w, a, b in zip(text[some[real]].tolist(), lo[real].tolist(), hi[real].tolist(), strict=True):
                     for i in range(a, b):
                         hits.add((w, int(ks[order[i, h]])))
         return hits
@@ -115,7 +116,7 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     wanted = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("binary").alias("t")).where("item IS NOT NULL AND t IS NOT NULL")
     total = wanted.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first().n
     passes = max(1, -(-int(total) // at_once))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id IS NOT NULL")
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id IS NOT NULL")
     up, down = share
 
     def found_with(block: list[tuple[int, bytes]]) -> DataFrame:

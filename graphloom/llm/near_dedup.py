@@ -1,9 +1,8 @@
 """Near-duplicates by MinHash with tensored banding.
 
-A document's shingle set has BLOCKS small collections of ROWS minhashes. A table
-key is a pair of collections, so BLOCKS * (BLOCKS - 1) / 2 tables come from
-BLOCKS * ROWS minhashes: about the square root of what separate bands would
-compute. Equal sets are one set from the start. Sets that share a table key are
+A document's shingle set has b small collections of ROWS minhashes. A table key is
+a pair of collections, so b * (b - 1) / 2 tables come from b * ROWS minhashes: about
+the square root of what separate bands would compute. Equal sets are one set from the start. Sets that share a table key are
 gathered into clusters through the smallest id of each key; within a cluster,
 tiles of bounded size compare those pairs that share a key, on full sets, and give
 the links that join what is not yet joined in the tile. Tiles together meet every
@@ -13,25 +12,33 @@ into its pairs.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import batch_words, mixed, shingles, sized, table, written
+from ._common import batch_words, mixed, shingles, sized, sliced, small_batches, table, written
 from .components import components
 
-BLOCKS, ROWS = 16, 3
+ROWS = 3
+#: Probability that a pair right at the limit shares no key, at most.
+MOST_MISSED = 1e-5
 #: Sets in a tile's side at most, and their bytes.
 TILE_ROWS, TILE_BYTES = 1024, 8 << 20
 
 
-def miss_probability(similarity: float, blocks: int = BLOCKS, rows: int = ROWS) -> float:
+def miss_probability(similarity: float, blocks: int, rows: int = ROWS) -> float:
     """Probability that a pair of that similarity shares no key: fewer than two of its collections agree."""
     p = similarity**rows
     return (1 - p) ** blocks + blocks * p * (1 - p) ** (blocks - 1)
 
 
+def blocks_for(similarity: float, rows: int = ROWS) -> int:
+    """Collections that keep miss_probability within MOST_MISSED: 16 for 0.85, 21 for 0.8."""
+    blocks = 2
+    while miss_probability(similarity, blocks, rows) > MOST_MISSED:
+        blocks += 1
+    return blocks
+
+
 def _multipliers(count: int):
     import numpy as np
 
@@ -58,7 +65,7 @@ def signatures(docs: DataFrame, width: int, blocks: int, rows: int) -> DataFrame
         import xxhash
 
         multipliers = _multipliers(blocks * rows)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             words, starts = batch_words(t.as_py() for t in batch.column(1))
             sizes, keys, values = [], [], []
             for i in range(batch.num_rows):
@@ -149,7 +156,7 @@ def full_sets(docs: DataFrame, width: int, blocks: int, rows: int) -> DataFrame:
         import pyarrow as pa
 
         multipliers = _multipliers(blocks * rows)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             words, starts = batch_words(t.as_py() for t in batch.column(1))
             sets = [np.unique(shingles(words[starts[i] : starts[i + 1]], width)) for i in range(batch.num_rows)]
             values = [block_values(x, multipliers, rows).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in sets]
@@ -158,7 +165,7 @@ def full_sets(docs: DataFrame, width: int, blocks: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "id long, blocks array<long>, hashes binary").where(F.octet_length("hashes") > 0)
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: tuple[int, int] = (80, 100), blocks: int = BLOCKS, rows: int = ROWS, tile_rows: int = TILE_ROWS, tile_bytes: int = TILE_BYTES) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: tuple[int, int] = (80, 100), blocks: int | None = None, rows: int = ROWS, tile_rows: int = TILE_ROWS, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id (long), kept boolean.
 
     A set is the distinct width-word shingles of the whole text, A-Z lower-cased, words being runs of
@@ -167,10 +174,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     union, on full sets of 64-bit hashes. component_id is the smallest id reachable over links,
     kept whether it is the row's own. Rows with one id are one document: its sets, if several,
     are linked. A row with a null id has no component and is kept. Other columns are ignored.
-    A pair right at the limit shares no key with miss_probability (7e-5 at 0.8, 7e-6 at 0.85 with
-    the defaults), and then may still be joined through others.
+    blocks: by default as many as keep the probability that a pair right at the limit shares no key
+    within MOST_MISSED; such a pair may still be joined through others.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    blocks = blocks or blocks_for(similarity[0] / similarity[1], rows)
+    slim = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     signed = written(signatures(slim, width, blocks, rows))
     named = signed.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
     per_set = written(named.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("blocks").alias("blocks")))
@@ -206,7 +214,5 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), width=3, similarity=(85, 100))
 
 
-assert math.comb(BLOCKS, 2) == 120  # tables
-
 QUERIES = {"op4_near_dedup": op4_near_dedup}
 SQL: dict[str, str] = {}

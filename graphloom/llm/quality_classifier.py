@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Memo, remembered, table, written
+from ._common import Memo, remembered, small_batches, table, written
 
 #: Word slots (words share them by hash), dimensions, neighbours on each side, index vectors' entries.
 SLOTS, DIMS, WINDOW, ENTRIES = 1 << 14, 32, 2, 4
@@ -193,7 +193,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     learned from; without labels of both kinds the score is the mean label, or 0.5. Repeated rows are
     scored each. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     features = written(pooled(rows, word_vectors(context_vectors(rows.select("text")))))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id IS NOT NULL AND quality IN (0, 1)")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Memo, read_file, remembered, table, vocabulary
+from ._common import Memo, read_file, remembered, small_batches, table, vocabulary
 
 #: Added to a word's count if the word can't be spelt in the vocabulary.
 UNKNOWN = 1 << 40
@@ -111,7 +111,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 n_unknown.append(total >> 40)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n_words, n_tokens, n_unknown))], ["id", "n_words", "n_tokens", "n_unknown"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, "id long, n_words long, n_tokens long, n_unknown long").withColumnRenamed("id", id_col)
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Memo, read_file, remembered, shared_dir, table, vocabulary
+from ._common import Memo, read_file, remembered, shared_dir, small_batches, table, vocabulary
 
 LENGTH, BATCH_ROWS = 2048, 64
 
@@ -194,7 +194,7 @@ def token_files(docs: DataFrame, uri: str, tokenizer_path: str | None = None, en
         counts = write_shard(uri, name, encoded(), dtype, length)
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, *counts)], ["shard", "docs", "ids"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("h"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("h"))
     rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
     made = rows.mapInArrow(write, "shard string, docs long, ids long").collect()  # a row for each partition
     return sorted((r.shard, r.docs, r.ids) for r in made)
