@@ -158,3 +158,9 @@ def causal_paths(edges: DataFrame, nodes: DataFrame, longest: int = 6) -> DataFr
 
     kind = nodes.schema["query"].dataType.simpleString()
     return marked.unionByName(links).groupBy("query").applyInPandas(walk, f"query {kind}, path array<string>")
+
+
+def debug_json(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """(json): a line for each node with its edges, in order of names; a dump of a whole graph is as many lines as nodes."""
+    out = edges.select("src", F.struct("dst", "relation").alias("e")).groupBy(F.col("src").alias("qname")).agg(F.array_sort(F.collect_list("e")).alias("edges"))  # a node's own edges
+    return symbols.join(out, "qname", "left").orderBy("qname").select(F.to_json(F.struct(*symbols.columns, "edges")).alias("json"))

@@ -171,3 +171,45 @@ def test_similar_names(spark):
     names = spark.createDataFrame([("app.checkout",), ("app.check_out",), ("lib.zzz",), ("x.checkouts",)], "qname string")
     got = joins.similar_names(names, spark.createDataFrame([("app.chekout",)], "query string"))
     assert [r.qname for r in got.orderBy("rank").collect()][:1] == ["app.checkout"] and "lib.zzz" not in {r.qname for r in got.collect()}
+
+
+def test_validation(engine):
+    from graphloom import validation
+
+    assert validation.symbol_named(engine.symbols, "done") == "app.util.done"
+    for call in (lambda: validation.symbol_named(engine.symbols, "run"), lambda: validation.token_budget(0), lambda: validation.tag_name("x"), lambda: validation.symbol_name("a b")):
+        with pytest.raises(QueryValidationError):
+            call()
+    line = json.loads(surface.debug_json(engine.symbols.select("qname", "kind"), engine.edges).where("json LIKE '%app.util.done%'").first().json)
+    assert line["qname"]
+
+
+def test_tasks(spark, tmp_path):
+    pytest.importorskip("yaml")
+    from graphloom.sources.tasks import load_tasks
+
+    (tmp_path / "a.yaml").write_text("task_id: t1\nrepo: r\nseed_symbol: s\ntask_type: x\ncohen_kappa: 0.9\nannotation_a: {pipeline_symbols: [a, b]}\n")
+    (tmp_path / "b.yaml").write_text("task_id: t2\nrepo: r\nseed_symbol: s\ntask_type: x\ncohen_kappa: 0.7\n")
+    (tmp_path / "c.yaml").write_text("just text")
+    accepted, rejected = load_tasks(spark, str(tmp_path))
+    assert [(r.task_id, r.pipeline) for r in accepted.collect()] == [("t1", ["a", "b"])] and rejected.count() == 2
+
+
+def test_prune_and_ego(spark):
+    from graphloom.operators import contracts
+
+    ids = spark.createDataFrame([(x,) for x in "abcz"], "id string")
+    edges = spark.createDataFrame([("a", "b"), ("c", "b"), ("a", "q")], "src string, dst string")
+    got = {r.id: r.status for r in contracts.prune_candidates(ids, spark.createDataFrame([("a",)], "id string"), edges).collect()}
+    assert got == {"a": "kept", "b": "kept", "c": "kept", "z": "island"}
+    tags = spark.createDataFrame([("b", "#x"), ("a", "#y")], "node string, tag string")
+    row = contracts.ego_coverage(edges, tags, spark.createDataFrame([("a",)], "node string"), "a", 1).first()
+    assert (row.nodes, row.packed, row.tag_coverage) == (3, 1, 0.5)
+
+
+def test_data_flow_confidences(spark):
+    from graphloom.operators import contracts
+
+    rows = [(1, 1, "x", "load", [], []), (1, 2, "y", "parse", ["x.field"], []), (1, 3, "err", "risky", [], []), (1, 4, "z", "save", ["y", "err", "x[0]"], ["dump"]), (1, 5, "y", None, ["q"], []), (1, 6, None, "end", ["y"], [])]
+    df = spark.createDataFrame(rows, "def int, pos int, target string, call string, inputs array<string>, nested array<string>")
+    assert {(r.src, r.dst, r.confidence) for r in contracts.data_flow(df).collect()} == {("load", "parse", 0.7), ("parse", "save", 0.9), ("load", "save", 0.9), ("dump", "save", 1.0)}
