@@ -159,13 +159,19 @@ def betweenness(t):
     return graph.betweenness(nodes, edges)
 
 
-@query()
+_PI = "pi{k} AS (SELECT n.node, 0.15 / c + 0.85 * (SELECT coalesce(sum(rank), 0) FROM pi{j} WHERE node NOT IN (SELECT src FROM inn)) / c + 0.85 * coalesce(sum(q.rank / d.o), 0) AS rank FROM fnodes n CROSS JOIN fcnt LEFT JOIN inn ON inn.dst = n.node LEFT JOIN pi{j} q ON q.node = inn.src LEFT JOIN fdeg d ON d.src = inn.src GROUP BY n.node, c)"
+_INNER = "inn AS (SELECT DISTINCT src, dst FROM e WHERE dst IN (SELECT qname FROM fn)), fnodes AS (SELECT qname AS node FROM fn), fcnt AS (SELECT count(*)::DOUBLE AS c FROM fnodes), fdeg AS (SELECT src, count(*)::DOUBLE AS o FROM inn GROUP BY src), pi0 AS (SELECT node, 1 / c AS rank FROM fnodes, fcnt), " + ", ".join(_PI.format(k=k, j=k - 1) for k in range(1, 11))
+_MASS = ", ".join(f"sum(CASE WHEN {_EFFECT} = '{d}' THEN mass * rank ELSE 0 END) AS {d.lower()}" for d in flow.DIMENSIONS)
+_SHARE = ", ".join(f"round({d.lower()} / (" + " + ".join(x.lower() for x in flow.DIMENSIONS) + f"), 5) AS {d.lower()}" for d in flow.DIMENSIONS)
+
+
+@query(f"WITH {_WALK}, {_INNER}, total AS (SELECT {_MASS} FROM m JOIN pi10 USING (node)) SELECT {_SHARE} FROM total")
 def global_sink_mass(t):
-    """Rank-weighted effect masses of the whole graph, one row (brute force in tests)."""
+    """Rank-weighted effect masses of the whole graph, one row."""
     edges, internal, _ = _parts_of_walk(t)
     inner = written(edges.join(internal.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
     ranks = graph.pagerank(internal, inner, rounds=10)
-    return flow.sink_mass(_egress(t), ranks).select(*(F.round(d.lower(), 6).alias(d.lower()) for d in flow.DIMENSIONS))
+    return flow.sink_mass(_egress(t), ranks).select(*(F.round(d.lower(), 5).alias(d.lower()) for d in flow.DIMENSIONS))
 
 
 @query("""WITH RECURSIVE e AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % 2000 AS dst, 1 AS k FROM part UNION ALL SELECT p_partkey, (p_partkey * 13 + 5) % 2000, 2 FROM part),
