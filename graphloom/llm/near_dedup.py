@@ -22,7 +22,7 @@ ROWS = 3
 #: Probability that a pair right at the limit shares no key, at most.
 MOST_MISSED = 1e-5
 #: Sets in a tile's side at most, and their bytes.
-TILE_ROWS, TILE_BYTES = 1024, 8 << 20
+TILE_ROWS, TILE_BYTES = 512, 8 << 20
 
 
 def miss_probability(similarity: float, blocks: int, rows: int = ROWS) -> float:
@@ -184,7 +184,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     per_set = written(named.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("blocks").alias("blocks")))
     keys = written(shared_keys(per_set.select("id", "blocks"), blocks))
     pivots = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
-    gathered = written(keys.join(pivots, "key").where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
+    pivots = written(pivots)  # so that the join's two sides are plain shuffles, which can be split
+    shared = keys.join(pivots, "key").select("id", "pivot").where("id <> pivot")
+    # a set's pivots are joined through the smallest of them: as many links as sets, and few among pivots
+    star = shared.groupBy("id").agg(F.min("pivot").alias("b"), F.collect_set("pivot").alias("pivots"))  # as many as tables at most
+    gathered = written(star.select("b", F.explode(F.concat(F.array("id"), "pivots")).alias("a")).where("a <> b").distinct())
     clusters = components(gathered).select("id", F.col("label").alias("cluster"))
     sizes = per_set.groupBy("id").agg(F.max("n_shingles").alias("n")).join(clusters, "id").groupBy("cluster").agg(F.count("*").alias("sets"), F.sum(F.col("n") * 8).alias("bytes"))
     parts = sizes.select("cluster", F.greatest(F.ceil(F.col("sets") / tile_rows), F.ceil(F.col("bytes") / tile_bytes), F.lit(1)).cast("int").alias("parts"))
