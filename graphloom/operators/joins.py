@@ -187,3 +187,43 @@ def similar_names(names: DataFrame, queries: DataFrame, threshold: float = 0.6,
     scored = pairs.select("query", "qname", F.greatest(edit, tokens).alias("score")).where(F.col("score") >= threshold)
     w = Window.partitionBy("query").orderBy(F.desc("score"), "qname")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def state_reads(reads: DataFrame, attributes: DataFrame) -> DataFrame:
+    """(src, dst, relation): attribute reads (reader, class, name) that a class's attributes (class, name, qname) answer, each once."""
+    return reads.join(attributes, ["class", "name"]).select(F.col("reader").alias("src"), F.col("qname").alias("dst"), F.lit("READS_STATE").alias("relation")).distinct()
+
+
+def resolve_call_sites(sites: DataFrame, edges: DataFrame) -> DataFrame:
+    """sites (site, caller, name) with dst where exactly one of the caller's callees (src, dst, name) has that name."""
+    one = edges.groupBy(F.col("src").alias("caller"), "name").agg(F.min("dst").alias("dst"), F.max("dst").alias("other")).where("dst = other").drop("other")
+    return sites.join(one, ["caller", "name"]).select("site", "caller", "dst")
+
+
+def earliest_contracts(sites: DataFrame, packed: DataFrame) -> DataFrame:
+    """(callee, caller, line): of each callee's call sites (caller, callee, line) in packed callers (id), the first by line, then caller."""
+    inside = sites.join(packed.withColumnRenamed("id", "caller"), "caller", "left_semi")
+    return inside.groupBy("callee").agg(F.min(F.struct("line", "caller")).alias("b")).select("callee", "b.caller", "b.line")
+
+
+def external_candidates(calls: DataFrame, imports: DataFrame, packages: DataFrame, externals: DataFrame) -> DataFrame:
+    """(call, external, via): calls (call, file, root, rest) resolved to external symbols (name): by an import (file, local, target) whose package is known, by a package of that name, or by the name alone.
+
+    packages: name; the three ways are tried in that order.
+    """
+    known = externals.select(F.col("name").alias("external")).distinct()
+    top = packages.select(F.col("name").alias("package")).distinct()
+    joined = calls.join(imports.select("file", F.col("local").alias("root"), "target"), ["file", "root"], "left")
+    full = F.concat("root", "rest")
+    way = lambda k, via, package, external: F.struct(F.lit(k).alias("k"), F.lit(via).alias("via"), package.alias("package"), external.alias("external"))
+    tries = F.array(way(0, "import", F.substring_index("target", ".", 1), F.concat("target", "rest")), way(1, "package", F.col("root"), full), way(2, "name", F.col("root"), full))
+    each = joined.select("call", F.explode(tries).alias("t")).select("call", "t.*").join(known, "external", "left_semi")
+    valid = each.where("via = 'name'").unionByName(each.where("via <> 'name'").join(top, "package", "left_semi").select(*each.columns))
+    return valid.groupBy("call").agg(F.min(F.struct("k", "via", "external")).alias("b")).select("call", "b.external", "b.via")
+
+
+def filter_by_tier(nodes: DataFrame, edges: DataFrame, tier: str) -> tuple[DataFrame, DataFrame]:
+    """A package's seed and nodes of a tier (id, role, tier), and the edges (src, dst) both of whose ends stay."""
+    kept = nodes.where((F.col("role") == "seed") | (F.col("tier") == tier))
+    ids = kept.select("id")
+    return kept, edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")

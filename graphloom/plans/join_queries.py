@@ -243,3 +243,47 @@ def infer_sink(t):
     attributes = F.when(kind == "purchase", entry("db.statement", F.lit("insert into t"))).when(kind == "view", entry("db.system", F.lit("mysql"))).when(kind == "click", entry("http.url", F.concat(F.lit("http://h/"), u))).when(kind == "signup", entry("messaging.destination", F.concat(F.lit("q"), u))).otherwise(entry("code.function", F.lit("f")))
     span_kind = F.when(kind == "click", "3").when(kind == "signup", F.when(F.col("value") > 20, "SPAN_KIND_PRODUCER").otherwise("internal"))
     return t("events").select("event_id", traces.infer_sink(attributes, span_kind).alias("s")).select("event_id", "s.tag", "s.detail")
+
+
+@query("WITH r AS (SELECT DISTINCT l_orderkey AS reader, l_suppkey % 50 AS class, l_returnflag AS name FROM lineitem), a AS (SELECT s_suppkey % 50 AS class, 'R' AS name, s_suppkey AS qname FROM supplier) SELECT DISTINCT reader AS src, qname AS dst, 'READS_STATE' AS relation FROM r JOIN a USING (class, name)")
+def link_state_reads(t):
+    reads = t("lineitem").select(F.col("l_orderkey").alias("reader"), (F.col("l_suppkey") % 50).alias("class"), F.col("l_returnflag").alias("name")).distinct()
+    return joins.state_reads(reads, t("supplier").select((F.col("s_suppkey") % 50).alias("class"), F.lit("R").alias("name"), F.col("s_suppkey").alias("qname")))
+
+
+@query("WITH e AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst, l_partkey % 4 AS name FROM lineitem), u AS (SELECT src, name, min(dst) AS dst FROM e GROUP BY 1, 2 HAVING count(*) = 1) SELECT o_orderkey AS site, o_orderkey AS caller, dst FROM orders JOIN u ON u.src = o_orderkey AND u.name = o_custkey % 4")
+def resolve_call_sites(t):
+    edges = t("lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), (F.col("l_partkey") % 4).alias("name")).distinct()
+    return joins.resolve_call_sites(t("orders").select(F.col("o_orderkey").alias("site"), F.col("o_orderkey").alias("caller"), (F.col("o_custkey") % 4).alias("name")), edges)
+
+
+@query("SELECT l_partkey AS callee, min_by(l_orderkey, l_linenumber * 1000000 + l_orderkey) AS caller, min(l_linenumber) AS line FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') GROUP BY 1")
+def derive_contract(t):
+    sites = t("lineitem").select(F.col("l_orderkey").alias("caller"), F.col("l_partkey").alias("callee"), F.col("l_linenumber").alias("line"))
+    return joins.earliest_contracts(sites, t("orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("id")))
+
+
+@query("""WITH c AS (SELECT event_id AS call, user_id AS file, event_type AS root, '.f' || user_id % 3 AS rest FROM events), i AS (SELECT DISTINCT user_id AS file, event_type AS local, 'lib_' || event_type || '.core' AS target FROM events WHERE value > 200),
+p(name) AS (VALUES ('lib_view'), ('lib_click'), ('error')), x AS (SELECT DISTINCT 'lib_' || event_type || '.core.f1' AS name FROM events UNION SELECT DISTINCT event_type || '.f2' FROM events UNION SELECT DISTINCT event_type || '.f1' FROM events),
+t AS (SELECT call, 0 AS k, 'import' AS via, i.target || rest AS external, split_part(i.target, '.', 1) AS pkg FROM c JOIN i ON i.file = c.file AND i.local = c.root UNION ALL SELECT call, 1, 'package', root || rest, root FROM c UNION ALL SELECT call, 2, 'name', root || rest, NULL FROM c)
+SELECT call, min_by(external, k) AS external, min_by(via, k) AS via FROM t WHERE external IN (SELECT name FROM x) AND (via = 'name' OR pkg IN (SELECT name FROM p)) GROUP BY call""")
+def external_candidate_manifest(t):
+    e = t("events")
+    calls = e.select(F.col("event_id").alias("call"), F.col("user_id").alias("file"), F.col("event_type").alias("root"), F.concat(F.lit(".f"), (F.col("user_id") % 3).cast("string")).alias("rest"))
+    imports = e.where("value > 200").select(F.col("user_id").alias("file"), F.col("event_type").alias("local"), F.concat(F.lit("lib_"), "event_type", F.lit(".core")).alias("target")).distinct()
+    kinds = e.select("event_type").distinct()
+    externals = kinds.select(F.explode(F.array(F.concat(F.lit("lib_"), "event_type", F.lit(".core.f1")), F.concat("event_type", F.lit(".f2")), F.concat("event_type", F.lit(".f1")))).alias("name"))
+    packages = e.sparkSession.createDataFrame([("lib_view",), ("lib_click",), ("error",)], "name string")
+    return joins.external_candidates(calls, imports, packages, externals)
+
+
+@query(f"WITH {FK}, {SYM}, k AS (SELECT qname FROM sym WHERE qname LIKE 's:%' OR module = 'geo') SELECT src, dst FROM fk WHERE src IN (SELECT qname FROM k) AND dst IN (SELECT qname FROM k)")
+def filter_by_language_tier(t):
+    nodes = views.symbols(t).select(F.col("qname").alias("id"), F.when(F.col("qname").startswith("s:"), "seed").otherwise("callee").alias("role"), F.when(F.col("module") == "geo", "tier1").otherwise("tier2").alias("tier"))
+    return joins.filter_by_tier(nodes, views.fk_edges(t), "tier1")[1].select("src", "dst")
+
+
+@query("SELECT round(avg(CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 0 END), 4) AS ratio, count(*)::BIGINT AS calls FROM lineitem")
+def call_resolution_ratio(t):
+    resolved = (F.col("l_partkey") % 3 == 0).cast("int")
+    return t("lineitem").agg(F.coalesce(F.round(F.avg(resolved), 4), F.lit(1.0)).alias("ratio"), F.count("*").alias("calls"))
