@@ -53,24 +53,32 @@ def _stash(name: str) -> dict:
 
 
 class Memo(dict):
-    """Results of fn by argument, for the words met most; emptied when it holds cap entries."""
+    """Results of fn by argument, never None, for the arguments met most: of cap entries, those asked for since half as many came are kept."""
 
     def __init__(self, fn, cap: int = 1 << 20):
         super().__init__()
-        self.fn, self.cap = fn, cap
+        self.fn, self.half, self.old = fn, cap // 2, {}
 
-    def __missing__(self, key):
-        if len(self) >= self.cap:
+    def put(self, key, value) -> None:
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
-        self[key] = value = self.fn(key)
+        self[key] = value
+
+    def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.fn(key)
+        self.put(key, value)
         return value
 
 
 def remembered(name: str, key, make):
-    """make() once per Python worker and key; a worker keeps one value for each name."""
-    slot = _stash(name)
-    if slot.get("key") != key:
-        slot["value"], slot["key"] = make(), key
+    """make() once per Python worker and key. A worker keeps one value at all, so that it doesn't hold what an earlier operator remembered."""
+    slot = _stash("remembered")
+    if slot.get("key") != (name, key):
+        slot.clear()
+        slot["value"], slot["key"] = make(), (name, key)
     return slot["value"]
 
 
