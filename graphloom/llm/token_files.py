@@ -156,7 +156,7 @@ def encode_words(tokenizer_json: str, dtype, limit: int):
     return memo
 
 
-def token_files(docs: DataFrame, uri: str, tokenizer_path: str | None = None, end_id: int = 2, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", limit: int = 1 << 20) -> list[tuple[str, int, int]]:
+def token_files(docs: DataFrame, uri: str, tokenizer_path: str | None = None, end_id: int = 2, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", limit: int = 3 << 19) -> list[tuple[str, int, int]]:
     """Encodes docs and writes their ids in ascending order of id_col under uri; (shard, documents, ids) of each shard, in order.
 
     Each document ends with end_id; a null or empty text has that id only. Rows with equal ids come
