@@ -134,7 +134,7 @@ def bootstrap_ci(t):
 
 
 @query("""WITH k AS (SELECT DISTINCT 'a.' || event_type AS name FROM events WHERE value > 360), tx AS (SELECT user_id AS id, string_agg(DISTINCT 'a.' || event_type || ' b.x', ' ') AS text FROM events GROUP BY 1), m AS (SELECT DISTINCT user_id AS id, 'a.' || event_type AS name FROM events UNION SELECT DISTINCT user_id, 'b.x' FROM events)
-SELECT id, count(*)::BIGINT AS mentions, count(*) FILTER (name LIKE 'a.%' AND name NOT IN (SELECT name FROM k))::BIGINT AS phantom, round(count(*) FILTER (name LIKE 'a.%' AND name NOT IN (SELECT name FROM k))::DOUBLE / count(*), 6) AS ratio FROM m GROUP BY id""")
+SELECT id, count(*)::BIGINT AS mentions, count(*) FILTER (name LIKE 'a.%' AND name NOT IN (SELECT name FROM k) AND (SELECT count(*) FROM k) > 0)::BIGINT AS phantom, round(count(*) FILTER (name LIKE 'a.%' AND name NOT IN (SELECT name FROM k) AND (SELECT count(*) FROM k) > 0)::DOUBLE / count(*), 6) AS ratio FROM m GROUP BY id""")
 def detect_hallucinations(t):
     e = t("events")
     known = e.where("value > 360").select(F.concat(F.lit("a."), "event_type").alias("name")).distinct()
