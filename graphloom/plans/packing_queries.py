@@ -177,9 +177,7 @@ def callers_of_callers(t):
     e = views.fk_edges(t)
     b = e.where("dst LIKE 's:%'").select(F.col("dst").alias("seed"), F.col("src").alias("direct"))
     a = e.where("relation = 'INSTANTIATES'").select(F.col("dst").alias("direct"), F.col("src").alias("transitive"))
-    digit = lambda c: F.substring(c, 3, 20).cast("int") % 10
-    a, b = a.withColumn("k", digit("transitive")), b.withColumn("k", digit("seed"))
-    return b.join(a, ["direct", "k"]).select("seed", "direct", "transitive").distinct()
+    return b.join(a, "direct").select("seed", "direct", "transitive").distinct()
 
 
 @query("SELECT doc_id, CASE WHEN n > 0 THEN n / (SELECT count(*) FROM region) ELSE 0 END::DOUBLE AS mentioned FROM (SELECT doc_id, (SELECT count(*) FROM (VALUES ('the'), ('die'), ('que'), ('les'), ('los')) v(w) WHERE contains(text, w)) AS n FROM documents)")
