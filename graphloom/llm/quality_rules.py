@@ -6,8 +6,9 @@ rejections among good documents an exact binomial tail certifies. The allowed
 false rejection rate is split over the signals, so that it holds for the rules
 together; the error probability is split over all strata and signals
 (Bonferroni). Along a signal's cutoffs, tested from the loosest on until the
-first failure, no further correction is due. A stratum with too few labels takes
-the cutoff certified over all strata.
+first failure, no further correction is due. A signal has no rule in a stratum
+whose own labels certify no cutoff: what holds over all strata together need not
+hold in that one.
 """
 
 from __future__ import annotations
@@ -117,8 +118,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang",
 
     docs: doc_id, text and stratum_col; labels: doc_id, quality (1: good). At most alpha of a
     stratum's good documents are rejected by the signals, with probability 1 - delta for all strata
-    at once. Null or empty texts have no words and fail the base rule. A null stratum counts as the
-    stratum ''. Labels that contradict each other are left out; with no labels nothing but the base
+    at once; a signal rejects nothing in a stratum whose own labels certify no cutoff. Null or empty
+    texts have no words and fail the base rule. A null stratum counts as the stratum ''. Labels that contradict each other are left out; with no labels nothing but the base
     rule rejects. Repeated rows are judged each (one of them, the worst, is counted for the cutoffs).
     Other columns of either table are ignored.
     """
@@ -130,14 +131,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang",
     good = told.where("lo = 1 AND hi = 1").select("doc_id")
     seen = rows.where("NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)").select("doc_id", "stratum", *SIGNALS)
     labelled = seen.join(good, "doc_id").groupBy("doc_id").agg(F.min("stratum").alias("stratum"), *(F.max(s).alias(s) for s in SIGNALS))
-    cut = written(cutoffs(labelled, "stratum", alpha, delta))
-    n = cut.count()
-    own = cut.where("stratum IS NOT NULL")
-    overall = cut.where("stratum IS NULL").agg(*(F.max(f"cut_{s}").alias(f"all_{s}") for s in SIGNALS))  # one row, also of nothing
-    judged = rows.join(sized(own, n, 64), "stratum", "left").join(F.broadcast(overall))
+    own = written(cutoffs(labelled, "stratum", alpha, delta)).where("stratum IS NOT NULL")
+    judged = rows.join(sized(own, own.count(), 64), "stratum", "left")
     reject = F.lit(False)
     for s in SIGNALS:
-        reject = reject | F.coalesce(F.col(s) >= F.coalesce(F.col(f"cut_{s}"), F.col(f"all_{s}")), F.lit(False))
+        reject = reject | F.coalesce(F.col(s) >= F.col(f"cut_{s}"), F.lit(False))
     judged = judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~reject)
     return judged.select("doc_id", *COUNTS, "base_failed", "kept", *(F.col(f"c_{c}").alias(c if c not in {"doc_id", *COUNTS, "base_failed", "kept"} else f"c_{c}") for c in carry))
 

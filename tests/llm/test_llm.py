@@ -144,6 +144,17 @@ def test_cutoffs_keep_their_promise(spark):
     assert all(r.cut_symbols == 625 and r.cut_bangs == 25 for r in cut.values()) and set(cut) == {"a", "b", None}
 
 
+def test_no_rule_where_a_stratum_certifies_none(spark):
+    plain, rich = prose(1, 60), prose(2, 60) + " #" * 40
+    docs = spark.range(4200).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 4000, plain).otherwise(rich).alias("text"), F.when(F.col("id") < 4000, "big").otherwise("small").alias("lang"))
+    good = docs.where("doc_id < 4000 OR doc_id % 50 = 0").select("doc_id", F.lit(1).alias("quality"))
+    got = quality_rules.quality_rules(docs, good, carry=("lang",))
+    # 4 of 4,004 good documents have many symbols: certified over both strata, disproved in the small one
+    assert got.where("lang = 'small' AND NOT kept").count() == 0 and got.where("kept").count() == 4200
+    junk = docs.withColumn("text", F.when(F.col("doc_id") == 7, rich).otherwise(F.col("text")))
+    assert [r.doc_id for r in quality_rules.quality_rules(junk, good.where("doc_id <> 7")).where("NOT kept").collect()] == [7]
+
+
 # byte-level BPE
 
 
