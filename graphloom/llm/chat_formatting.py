@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ._common import small_batches, table, written
 
-#: Passages of fewer words link nothing.
+#: Passages of fewer words link as a whole only, and after longer ones of their level.
 LEAST_WORDS = 3
 
 
@@ -53,12 +53,12 @@ def parse_quotes(text: str) -> tuple[str, list[tuple[int, list[str]]], int]:
     return "\n".join(own), passages, quoted
 
 
-def passage_key(text: str) -> bytes | None:
-    """Hash of a passage, blind to case (A-Z) and white space; None if it is too short to link."""
+def passage_key(text: str, least: int = 1) -> bytes | None:
+    """Hash of a passage, blind to case (A-Z) and white space; None if it has fewer than least words."""
     import hashlib
 
     words = text.encode().lower().split()
-    return hashlib.md5(b" ".join(words)).digest() if len(words) >= LEAST_WORDS else None
+    return hashlib.md5(b" ".join(words)).digest() if len(words) >= least else None
 
 
 def own_keys(text: str) -> set[bytes]:
@@ -70,12 +70,18 @@ def own_keys(text: str) -> set[bytes]:
 
 
 def quoted_keys(passages: list[tuple[int, list[str]]]) -> set[tuple[int, int, bytes]]:
-    """(level, 0 for a whole passage or 1 for a line of it, key)."""
+    """(level, 0 for a whole passage, 1 for a line of it or 2 for a whole passage of few words, key).
+
+    A line of few words inside a longer passage is no passage of its own and has no key.
+    """
     found = set()
     for level, lines in passages:
-        for kind, part in [(0, "\n".join(lines)), *((1, x) for x in lines)]:
-            if key := passage_key(part):
+        whole = "\n".join(lines)
+        for kind, part in [(0, whole), *((1, x) for x in lines)]:
+            if key := passage_key(part, LEAST_WORDS):
                 found.add((level, kind, key))
+        if not passage_key(whole, LEAST_WORDS) and (key := passage_key(whole)):
+            found.add((level, 2, key))
     return found
 
 

@@ -326,6 +326,18 @@ def test_chat_formatting(spark, duck):
     assert chat_formatting.link_quotations(empty(df)).count() == 0
 
 
+def test_short_passages_link(spark):
+    rows = [
+        (1, 0, "u", "Shall we go?\n\nSounds good"), (1, 1, "a", "Yes"), (1, 2, "u", "> yes\nGreat"), (1, 3, "a", "> Sounds good\n42"), (1, 4, "u", "> 42\nsure"), (1, 5, "a", "> Nobody said\nok then"),
+        (2, 0, "u", "no"), (2, 1, "a", "a longer line here"), (2, 2, "u", "> a longer line here\n\n> no\nq"), (2, 3, "a", "> a longer line\n> no\nx"), (2, 4, "a", "> \n>\ny"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.root_turn, r.depth) for r in chat_formatting.link_quotations(df).collect()}
+    assert got[1, 2] == (1, 1, 1) and got[1, 3] == (0, 0, 1) and got[1, 4] == (3, 0, 2) and got[1, 5] == (None, 5, 0)
+    # the longer of two passages of a level comes first; a few words inside a longer passage aren't one
+    assert got[2, 2] == (1, 1, 1) and got[2, 3] == (None, 3, 0) and got[2, 4] == (None, 4, 0)
+
+
 # token files
 
 
