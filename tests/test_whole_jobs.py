@@ -1,6 +1,7 @@
 """Queries held against plain Python over whole tables, where their SQL says less."""
 
 from conftest import DATA
+from graphloom.operators import contracts
 from graphloom.plans import all as plans
 from graphloom.plans import views
 
@@ -18,3 +19,35 @@ def test_callers_of_callers_lose_no_order(spark):
     wanted = {(seed, direct, far) for direct, seed, _ in fk if seed.startswith("s:") for far in callers.get(direct, ())}
     got = [tuple(r) for r in plans.QUERIES["callers_of_callers"](spark, DATA).select("seed", "direct", "transitive").collect()]
     assert len(got) == len(wanted) and set(got) == wanted
+
+
+def reached(pairs, start):
+    """Hops of all nodes that start reaches."""
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+    hops, now = {start: 0}, [start]
+    while now:
+        new = []
+        for node in now:
+            for b in out.get(node, ()):
+                if b not in hops:
+                    hops[b] = hops[node] + 1
+                    new.append(b)
+        now = new
+    return hops
+
+
+def test_bfs_ranking_walks_to_the_end(spark):
+    pairs = [(a, b) for a, b, _ in fk_pairs(spark)]
+    wanted = {}
+    for query in sorted({a for a, _ in pairs if a.startswith("n:")}):
+        down, up = reached(pairs, query), reached([(b, a) for a, b in pairs], query)
+        scores = {node: 0.7 / (1 + h) ** 2 for node, h in up.items()} | {node: 1 / (1 + h) ** 2 for node, h in down.items()}
+        order = sorted(scores, key=lambda node: (-scores[node], node))
+        wanted |= {(query, node): (round(scores[node], 6), i + 1) for i, node in enumerate(order)}
+    got = {(r.query, r.node): (r.score, r.rank) for r in plans.QUERIES["bfs_baseline_ranking"](spark, DATA).collect()}
+    assert got == wanted and min(s for s, _ in got.values()) < 0.1
+    chain = spark.createDataFrame([(f"x{i:02d}", f"x{i + 1:02d}") for i in range(12)], "src string, dst string")
+    ranked = contracts.bfs_ranked(chain, spark.createDataFrame([("q", "x00")], "query string, node string"))
+    assert [r.node for r in ranked.orderBy("rank").collect()] == [f"x{i:02d}" for i in range(13)]
