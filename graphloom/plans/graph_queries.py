@@ -50,7 +50,7 @@ def topological_distances(t):
 
     key = F.concat(F.lit("r:"), F.col("r_regionkey").cast("string"))
     edges = views.fk_edges(t).withColumn("cost", scores.edge_cost(scores.relation_weight(F.col("relation"))))
-    found = graph.distances(edges, t("region").select(key.alias("query"), key.alias("node")), 4.0, "reverse")
+    found = graph.distances(edges, t("region").select(key.alias("query"), key.alias("node")), 5.0, "reverse")
     return found.select(F.col("query").alias("seed"), "node", F.round("dist", 6).alias("dist"))
 
 

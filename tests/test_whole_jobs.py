@@ -1,5 +1,7 @@
 """Queries held against plain Python over whole tables, where their SQL says less."""
 
+import heapq
+
 from conftest import DATA
 from graphloom.operators import contracts
 from graphloom.plans import all as plans
@@ -51,3 +53,24 @@ def test_bfs_ranking_walks_to_the_end(spark):
     chain = spark.createDataFrame([(f"x{i:02d}", f"x{i + 1:02d}") for i in range(12)], "src string, dst string")
     ranked = contracts.bfs_ranked(chain, spark.createDataFrame([("q", "x00")], "query string, node string"))
     assert [r.node for r in ranked.orderBy("rank").collect()] == [f"x{i:02d}" for i in range(13)]
+
+
+def test_topological_distances_reach_orders_through_parts(spark):
+    cost = {"EXTENDS": 1 / 0.85, "IMPLEMENTS": 1 / 0.8}
+    back = {}
+    for src, dst, relation in fk_pairs(spark):
+        back.setdefault(dst, []).append((src, cost.get(relation, 1.0)))
+    wanted = {}
+    for seed in sorted(n for n in back if n.startswith("r:")):
+        dist, todo = {}, [(0.0, seed)]
+        while todo:
+            d, node = heapq.heappop(todo)
+            if node not in dist:
+                dist[node] = d
+                for src, c in back.get(node, ()):
+                    if d + c <= 5.0:
+                        heapq.heappush(todo, (d + c, src))
+        wanted |= {(seed, node): round(d, 6) for node, d in dist.items() if node != seed}
+    got = {(r.seed, r.node): r.dist for r in plans.QUERIES["topological_distances"](spark, DATA).collect()}
+    assert got.keys() == wanted.keys() and all(abs(got[k] - d) < 2e-6 for k, d in wanted.items())
+    assert max(got.values()) > 4.0
