@@ -181,7 +181,7 @@ SELECT node, anc AS ancestor, (row_number() OVER (PARTITION BY node ORDER BY p))
 def mro_ancestors(t):
     k = F.col("p_partkey")
     edges = t("part").select(k.alias("src"), F.explode(F.array(F.struct(((k * 7 + 3) % 2000).alias("dst"), F.lit(1).alias("k")), F.struct(((k * 13 + 5) % 2000).alias("dst"), F.lit(2).alias("k")))).alias("e")).select("src", "e.dst", "e.k")
-    return graph.ancestors(edges, F.col("k"), 4)
+    return graph.ancestors(edges, F.col("k"))
 
 
 @query()

@@ -74,3 +74,21 @@ def test_topological_distances_reach_orders_through_parts(spark):
     got = {(r.seed, r.node): r.dist for r in plans.QUERIES["topological_distances"](spark, DATA).collect()}
     assert got.keys() == wanted.keys() and all(abs(got[k] - d) < 2e-6 for k, d in wanted.items())
     assert max(got.values()) > 4.0
+
+
+def test_mro_ancestors_to_depth_ten(spark, tmp_path):
+    spark.range(2000).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    found = plans.QUERIES["mro_ancestors"](spark, str(tmp_path)).where("node < 12").collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r.node, r["rank"])):
+        got.setdefault(r.node, []).append(r.ancestor)
+
+    def visit(path, order):
+        for b in ((path[-1] * 7 + 3) % 2000, (path[-1] * 13 + 5) % 2000):
+            if b not in path:
+                order.append(b)
+                if len(path) < 10:
+                    visit([*path, b], order)
+        return order
+
+    assert got == {node: list(dict.fromkeys(visit([node], []))) for node in range(12)}
