@@ -8,6 +8,7 @@ tables of their own throughout.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -194,18 +195,25 @@ def _split_by_reach(edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, done, empty)
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """(node, rank): rounds of power iteration over nodes (node) and edges, each edge once; nodes without a way out spread over all."""
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int | None = None, tol: float = 1e-6) -> DataFrame:
+    """(node, rank): power iteration over nodes (node) and edges, each edge once; nodes without a way out spread over all.
+
+    Without a number of rounds, until the ranks' changes sum to less than tol a node, which a damping below 1 always reaches.
+    """
     n = nodes.count()
     steps = edges.select("src", "dst").distinct().join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
     degree = steps.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out"))
     steps = written(steps)
     rank = written(nodes.join(degree, "node", "left").select("node", "out", F.lit(1.0 / max(n, 1)).alias("rank")))
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         loose = rank.where("out IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("x")).first().x
         sent = steps.join(rank.where("out IS NOT NULL").select(F.col("node").alias("src"), (F.col("rank") / F.col("out")).alias("share")), "src")
         got = sent.groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("got"))
-        rank = written(rank.join(got, "node", "left").select("node", "out", (F.lit((1 - damping) / max(n, 1) + damping * loose / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")))
+        settled = F.lit((1 - damping) / max(n, 1) + damping * loose / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))
+        new = written(rank.join(got, "node", "left").select("node", "out", settled.alias("rank"), F.abs(settled - F.col("rank")).alias("change")))
+        rank = new.drop("change")
+        if rounds is None and new.agg(F.coalesce(F.sum("change"), F.lit(0.0)).alias("x")).first().x < max(n, 1) * tol:
+            break
     return rank.select("node", "rank")
 
 

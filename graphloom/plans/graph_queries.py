@@ -127,7 +127,7 @@ _RANKS = f"{TR}, nodes AS (SELECT src AS node FROM tr UNION SELECT dst FROM tr),
 def pagerank(t):
     edges = written(views.transitions(t))
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    return graph.pagerank(nodes, edges, rounds=5).withColumn("rank", F.round("rank", 8))
+    return graph.pagerank(nodes, edges).withColumn("rank", F.round("rank", 8))
 
 
 @query(f"""WITH RECURSIVE {TR}, reach(a, b) AS (SELECT src, dst FROM tr UNION SELECT a, dst FROM reach JOIN tr ON src = b WHERE string_split(dst, ':')[2] = string_split(a, ':')[2])

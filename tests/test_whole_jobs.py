@@ -2,8 +2,10 @@
 
 import heapq
 
+import pytest
+
 from conftest import DATA
-from graphloom.operators import contracts
+from graphloom.operators import contracts, graph
 from graphloom.plans import all as plans
 from graphloom.plans import views
 
@@ -92,3 +94,35 @@ def test_mro_ancestors_to_depth_ten(spark, tmp_path):
         return order
 
     assert got == {node: list(dict.fromkeys(visit([node], []))) for node in range(12)}
+
+
+def power_ranks(nodes, pairs):
+    """networkx's power iteration: until the changes sum to less than 1e-6 a node."""
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+    n = len(nodes)
+    rank = dict.fromkeys(nodes, 1 / n)
+    while True:
+        loose = sum(x for node, x in rank.items() if node not in out)
+        new = dict.fromkeys(nodes, 0.15 / n + 0.85 * loose / n)
+        for a, ends in out.items():
+            for b in ends:
+                new[b] += 0.85 * rank[a] / len(ends)
+        if sum(abs(new[node] - rank[node]) for node in nodes) < n * 1e-6:
+            return new
+        rank = new
+
+
+def test_pagerank_settles(spark):
+    chain = [(f"x{i:02d}", f"x{i + 1:02d}") for i in range(40)] + [("x40", "x38"), ("x05", "x03")]
+    nodes = sorted({x for p in chain for x in p})
+    frame = spark.createDataFrame(chain, "src string, dst string")
+    got = {r.node: r["rank"] for r in graph.pagerank(spark.createDataFrame([(x,) for x in nodes], "node string"), frame).collect()}
+    assert got == pytest.approx(power_ranks(nodes, chain), abs=1e-9)
+
+
+def test_pagerank_query_settles(spark):
+    pairs = [(r.src, r.dst) for r in views.transitions(lambda n: spark.read.parquet(f"{DATA}/{n}.parquet")).collect()]
+    got = {r.node: r["rank"] for r in plans.QUERIES["pagerank"](spark, DATA).collect()}
+    assert got == pytest.approx(power_ranks({x for p in pairs for x in p}, pairs), abs=2e-8)
