@@ -105,7 +105,7 @@ def mode_by_group(rows: DataFrame, group: str, text: str, order: str, most: int
     return counted.groupBy(group).agg(F.max_by(F.struct(text, "n"), F.struct(F.col("n"), -F.col("k"))).alias("b")).select(group, f"b.{text}", "b.n")
 
 
-def bootstrap_mean(rows: DataFrame, keys: list[str], value: str, resamples: int = 1000, confidence: float = 0.95) -> DataFrame:
+def bootstrap_mean(rows: DataFrame, keys: list[str], value: str, resamples: int = 10_000, confidence: float = 0.95) -> DataFrame:
     """keys, mean, low, high: Poisson bootstrap. Each row draws its weight in each resample from a hash, so one pass of partial sums is enough."""
     draw = lambda b: (F.pmod(F.xxhash64(*keys, value, F.lit(b), F.col("r_")), F.lit(1_000_003)) / 1_000_003)
     # inverse of the Poisson(1) distribution, in thousandths of its steps

@@ -130,7 +130,7 @@ def identify_failures(t):
 @query()
 def bootstrap_ci(t):
     """Mean value of each event type with a 95 % Poisson-bootstrap interval (statistical test in tests)."""
-    return metrics.bootstrap_mean(t("events").select("event_type", "value"), ["event_type"], "value", 200)
+    return metrics.bootstrap_mean(t("events").select("event_type", "value"), ["event_type"], "value")
 
 
 @query("""WITH k AS (SELECT DISTINCT 'a.' || event_type AS name FROM events WHERE value > 360), tx AS (SELECT user_id AS id, string_agg(DISTINCT 'a.' || event_type || ' b.x', ' ') AS text FROM events GROUP BY 1), m AS (SELECT DISTINCT user_id AS id, 'a.' || event_type AS name FROM events UNION SELECT DISTINCT user_id, 'b.x' FROM events)

@@ -1,11 +1,12 @@
 """Queries held against plain Python over whole tables, where their SQL says less."""
 
 import heapq
+import inspect
 
 import pytest
 
 from conftest import DATA
-from graphloom.operators import contracts, graph
+from graphloom.operators import contracts, graph, metrics
 from graphloom.plans import all as plans
 from graphloom.plans import views
 
@@ -126,3 +127,17 @@ def test_pagerank_query_settles(spark):
     pairs = [(r.src, r.dst) for r in views.transitions(lambda n: spark.read.parquet(f"{DATA}/{n}.parquet")).collect()]
     got = {r.node: r["rank"] for r in plans.QUERIES["pagerank"](spark, DATA).collect()}
     assert got == pytest.approx(power_ranks({x for p in pairs for x in p}, pairs), abs=2e-8)
+
+
+def test_bootstrap_draws_ten_thousand(spark, monkeypatch):
+    calls, real = [], metrics.bootstrap_mean
+
+    def noted(*given, **named):
+        bound = inspect.signature(real).bind(*given, **named)
+        bound.apply_defaults()
+        calls.append(bound.arguments["resamples"])
+        return real(*given, **named)
+
+    monkeypatch.setattr(metrics, "bootstrap_mean", noted)
+    frame = plans.QUERIES["bootstrap_ci"](spark, DATA)
+    assert calls == [10_000] and frame.columns == ["event_type", "mean", "low", "high"]
