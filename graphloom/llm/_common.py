@@ -19,16 +19,19 @@ BROADCAST_LIMIT = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A query's table."""
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the shared folder of the cluster (spark.checkpoint.dir).
 
-    Only where that setting is absent, as in tests on local[n], a folder of this machine serves.
+    Where that setting is absent, a folder of this machine serves on a local master, as in tests; on any other it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _stash("scratch").setdefault("dir", None) or tempfile.mkdtemp(prefix="graphloom-")
         _stash("scratch")["dir"] = base
         base = f"file://{base}"
@@ -52,8 +55,12 @@ def _stash(name: str) -> dict:
     return sys.__dict__.setdefault("_graphloom_stash", {}).setdefault(name, {})
 
 
+#: Longer keys aren't remembered: they seldom come again, and a memo's bytes follow its number of entries.
+LONGEST_KEY = 64
+
+
 class Memo(dict):
-    """Results of fn by argument, never None, for the arguments met most: of cap entries, those asked for since half as many came are kept."""
+    """Results of fn by argument (text or bytes of up to LONGEST_KEY), never None, for the arguments met most: of cap entries, those asked for since half as many came are kept."""
 
     def __init__(self, fn, cap: int = 1 << 20):
         super().__init__()
@@ -66,6 +73,8 @@ class Memo(dict):
         self[key] = value
 
     def __missing__(self, key):
+        if len(key) > LONGEST_KEY:
+            return self.fn(key)
         value = self.old.pop(key, None)
         if value is None:
             value = self.fn(key)
@@ -82,12 +91,23 @@ def remembered(name: str, key, make):
     return slot["value"]
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df; from now on its session hands Python workers rows rows at a time, if it had Spark's default: texts are long and memory is short."""
+def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """spark, which from now on hands Python workers rows rows at a time, if it had Spark's default: texts are long and memory is short.
+
+    For queries and pipelines, which own their session. Operators leave it as it is and cut batches by bytes.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(key) == "10000":
-        df.sparkSession.conf.set(key, str(rows))
-    return df
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+    return spark
+
+
+def free_name(wanted: str, taken) -> str:
+    """wanted, with as many q_ before it as keep it apart from the names taken (Spark's names are blind to case)."""
+    low = {c.lower() for c in taken}
+    while wanted.lower() in low:
+        wanted = f"q_{wanted}"
+    return wanted
 
 
 def read_file(path: str) -> bytes:

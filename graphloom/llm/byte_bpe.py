@@ -14,7 +14,7 @@ from heapq import heappop, heappush
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Memo, read_file, remembered, small_batches, table, vocabulary
+from ._common import Memo, read_file, remembered, sliced, table, vocabulary
 
 #: Bits of a bitmap word, as a power of two.
 WORD = 6  # as in the shifts and masks of encode
@@ -116,8 +116,8 @@ def byte_bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
 
     Whole texts are encoded without special tokens; a null or empty text has no ids. The ids are
     decoded again, and decoded_sha256 is of those bytes. Null ids stay null, repeated rows are
-    encoded each, other columns of docs are ignored. limit: pre-tokens whose ids a Python worker
-    remembers.
+    encoded each, other columns of docs are ignored. limit: pre-tokens, of up to 64
+    characters, whose ids a Python worker remembers.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_file(ranks_path or vocabulary("byte_bpe_50k.tiktoken")))
     pattern = pattern or split_pattern()
@@ -136,7 +136,7 @@ def byte_bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
 
         bpe, memo, names = remembered("byte_bpe", (hashlib.md5(ranks.value).digest(), limit), make)
         pieces, ids_of, name = regex.compile(pattern).findall, memo.__getitem__, names.__getitem__
-        for batch in batches:
+        for batch in sliced(batches, 1):
             counts, encoded, decoded, lists = [], [], [], []
             for text in batch.column(1):
                 ids = array.array("I", b"".join(map(ids_of, pieces(text.as_py() or "")))).tolist()
@@ -152,7 +152,7 @@ def byte_bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
                 names_.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names_)
 
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 

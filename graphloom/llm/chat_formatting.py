@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import small_batches, table, written
+from ._common import sliced, table, written
 
 #: Passages of fewer words link as a whole only, and after longer ones of their level.
 LEAST_WORDS = 3
@@ -91,7 +91,7 @@ def _parsed(messages: DataFrame, what: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches, 2):
             conv, turn, out = [], [], []
             for c, t, text in zip(*(x.to_pylist() for x in batch.columns[:3]), strict=True):
                 own, passages, _ = parse_quotes(text or "")
@@ -140,12 +140,12 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     with a null conversation or turn links nothing. Rows with one conversation and turn are one message
     for the links and stay apart in the result. Other columns are ignored.
     """
-    rows = small_batches(conversations).select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
 
     def clean(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches, 3):
             done = [parse_quotes(text or "") for text in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([d[0] for d in done], pa.string()), pa.array([d[2] for d in done], pa.int64())], ["conv", "turn", "role", "text", "n_quoted_lines"])
 
@@ -167,16 +167,30 @@ def chat_segments(conversations: DataFrame) -> DataFrame:
     return linked.withColumn("segment", segment).orderBy("conv_id", "root_turn", "turn")
 
 
-def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chat_segments(table(spark, sf_dir, "conversations"))
+def _digests(conversations: DataFrame) -> DataFrame:
+    rows = chat_segments(conversations)
     rows = rows.withColumn("parent_turn", F.coalesce("parent_turn", F.lit(-1).cast("long")))
     return rows.select("conv_id", "turn", "role", "parent_turn", "root_turn", "depth", "n_quoted_lines", F.sha2("text", 256).alias("text_sha256"), F.sha2("segment", 256).alias("segment_sha256"))
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digests(table(spark, sf_dir, "conversations"))
+
+
+def chat_formatting_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations with every message quoting the two before it, one inside the other, where no message of the table quotes."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    for level in (1, 2):
+        mark = "> " * level
+        said = rows.select("conv_id", (F.col("turn") + level).alias("turn"), F.concat(F.lit(mark), F.replace("text", F.lit("\n"), F.lit("\n" + mark))).alias(f"said{level}"))
+        rows = rows.join(said, ["conv_id", "turn"], "left")
+    return _digests(rows.select("conv_id", "turn", "role", F.concat_ws("\n", "said2", "said1", "text").alias("text")))
+
+
 _MARK = r"^[ \t]*>(?:[ \t]*>)* ?"
-_KEY = r"CASE WHEN len(regexp_extract_all({0}, '[^ \t\n\x0B\f\r]+')) >= 3 THEN array_to_string(regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+'), ' ') END"
+_WORDS = r"regexp_extract_all(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+')"
 _SQL = rf"""
-WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, coalesce(text, '') AS text FROM MESSAGES),
 l0 AS (SELECT r, conv_id, turn, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM m),
 l1 AS (SELECT *, CASE WHEN regexp_matches(line, '{_MARK}') THEN length(regexp_replace(regexp_extract(line, '{_MARK}'), '[^>]', '', 'g')) ELSE 0 END AS level FROM l0),
 l2 AS (SELECT *, level = 0 AND coalesce(lead(level) OVER w, 0) > 0 AND regexp_matches(line, '\bwrote:[ \t\r]*$') AS intro,
@@ -187,9 +201,10 @@ q AS (SELECT r, count(*)::BIGINT AS n FROM body GROUP BY r),
 own AS (SELECT l2.r, string_agg(line, chr(10) ORDER BY i) AS text FROM l2 JOIN edge USING (r) JOIN q USING (r) WHERE level = 0 AND NOT intro AND i BETWEEN lo AND hi GROUP BY l2.r),
 c AS (SELECT m.r, conv_id, turn, role, CASE WHEN q.n IS NULL THEN m.text ELSE coalesce(own.text, '') END AS text, coalesce(q.n, 0)::BIGINT AS n_quoted_lines FROM m LEFT JOIN q USING (r) LEFT JOIN own USING (r)),
 parts AS (SELECT conv_id, turn, text AS part FROM c UNION ALL SELECT conv_id, turn, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) FROM c UNION ALL SELECT conv_id, turn, unnest(string_split(text, chr(10))) FROM c),
-first_ AS (SELECT conv_id, key, min(turn) AS parent FROM (SELECT conv_id, turn, {_KEY.format("part")} AS key FROM parts) WHERE key IS NOT NULL GROUP BY conv_id, key),
+first_ AS (SELECT conv_id, ws, min(turn) AS parent FROM (SELECT conv_id, turn, {_WORDS} AS ws FROM parts) WHERE len(ws) > 0 GROUP BY conv_id, ws),
 said AS (SELECT conv_id, turn, level, 0 AS kind, string_agg(said, chr(10) ORDER BY i) AS part FROM body GROUP BY r, conv_id, turn, level, island UNION ALL SELECT conv_id, turn, level, 1, said FROM body),
-found AS (SELECT s.conv_id, s.turn, s.level, s.kind, f.parent FROM (SELECT *, {_KEY.format("part")} AS key FROM said) s JOIN first_ f ON s.conv_id = f.conv_id AND s.key = f.key WHERE f.parent < s.turn),
+found AS (SELECT s.conv_id, s.turn, s.level, CASE WHEN len(s.ws) >= {LEAST_WORDS} THEN s.kind ELSE 2 END AS kind, f.parent
+    FROM (SELECT *, {_WORDS} AS ws FROM said) s JOIN first_ f ON s.conv_id = f.conv_id AND s.ws = f.ws WHERE f.parent < s.turn AND (len(s.ws) >= {LEAST_WORDS} OR s.kind = 0)),
 link AS (SELECT conv_id, turn, parent FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, kind, parent DESC) AS k FROM found) WHERE k = 1),
 up AS (SELECT conv_id, turn, parent, parent AS root, 1 AS depth FROM link UNION ALL SELECT up.conv_id, up.turn, up.parent, link.parent, up.depth + 1 FROM up JOIN link ON link.conv_id = up.conv_id AND link.turn = up.root),
 top AS (SELECT conv_id, turn, max(parent) AS parent, min(root) AS root, max(depth) AS depth FROM up GROUP BY conv_id, turn)
@@ -198,5 +213,8 @@ SELECT c.conv_id, c.turn, c.role, coalesce(top.parent, -1)::BIGINT AS parent_tur
 FROM c LEFT JOIN top ON c.conv_id = top.conv_id AND c.turn = top.turn
 """
 
-QUERIES = {"op8_chat_formatting": op8_chat_formatting}
-SQL = {"op8_chat_formatting": _SQL}
+_QUOTED = """(SELECT c.conv_id, c.turn, c.role, concat_ws(chr(10), '> > ' || replace(b.text, chr(10), chr(10) || '> > '), '> ' || replace(a.text, chr(10), chr(10) || '> '), c.text) AS text
+    FROM conversations c LEFT JOIN conversations a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1 LEFT JOIN conversations b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2)"""
+
+QUERIES = {"op8_chat_formatting": op8_chat_formatting, "chat_formatting_quoted": chat_formatting_quoted}
+SQL = {"op8_chat_formatting": _SQL.replace("MESSAGES", "conversations"), "chat_formatting_quoted": _SQL.replace("MESSAGES", _QUOTED)}

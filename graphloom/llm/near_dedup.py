@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import batch_words, mixed, shingles, sized, sliced, small_batches, table, written
+from ._common import batch_words, mixed, shingles, sized, sliced, table, written
 from .components import components
 
 ROWS = 3
@@ -178,7 +178,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     within MOST_MISSED; such a pair may still be joined through others.
     """
     blocks = blocks or blocks_for(similarity[0] / similarity[1], rows)
-    slim = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     signed = written(signatures(slim, width, blocks, rows))
     named = signed.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
     per_set = written(named.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("blocks").alias("blocks")))

@@ -25,6 +25,8 @@ SIGNALS = {"symbols": ("n_symbols", "n_words"), "bangs": ("n_bangs", "n_words"),
 STEP, STEPS = 25, 40
 #: Windows' hashes and positions share 64 bits; longer texts take the exact path.
 POSITION_BITS = 20
+#: False rejections allowed in op2, and in a query whose cutoffs fewer labels certify.
+ALPHA, LOOSE_ALPHA = 0.02, 0.2
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 _KEYS = f"sort_array(transform(slice(q_words, 1, greatest(size(q_words) - 2, 0)), (w, i) -> (xxhash64(w, get(q_words, i + 1), get(q_words, i + 2)) & {-1 << POSITION_BITS}L) | i))"
@@ -97,13 +99,10 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 def cutoffs(labelled: DataFrame, stratum: str, alpha: float, delta: float) -> DataFrame:
     """One row per stratum: stratum, and for each signal its cutoff in thousandths (null: no rule).
 
-    labelled: a row for each good labelled document, with stratum and the signals' thousandths.
-    The row of the null stratum holds what is certified over all of them.
+    labelled: a row for each good labelled document, with stratum (not null) and the signals' thousandths.
     """
     bins = F.array(*(F.struct(F.lit(s).alias("signal"), F.least(F.floor(F.col(s) / STEP), F.lit(STEPS)).cast("long").alias("bin")) for s in SIGNALS))
-    counted = labelled.select(stratum, F.explode(bins).alias("b")).groupBy(stratum, "b.signal", "b.bin").agg(F.count("*").alias("n"))
-    counted = counted.select(F.explode(F.array(F.struct(F.col(stratum).alias("s")), F.struct(F.lit(None).cast("string").alias("s")))).alias("e"), "signal", "bin", "n")
-    per_bin = counted.groupBy(F.col("e.s").alias("stratum"), "signal", "bin").agg(F.sum("n").alias("n"))
+    per_bin = labelled.select(F.col(stratum).alias("stratum"), F.explode(bins).alias("b")).groupBy("stratum", "b.signal", "b.bin").agg(F.count("*").alias("n"))
     packed = per_bin.groupBy("stratum", "signal").agg(F.sum("n").alias("total"), F.collect_list(F.struct("bin", "n")).alias("bins"))  # at most STEPS + 1 bins
     steps = packed.select("stratum", "signal", "total", F.explode(F.sequence(F.lit(1), F.lit(STEPS))).alias("step"), "bins")
     rejected = steps.withColumn("k", F.aggregate("bins", F.lit(0).cast("long"), lambda a, b: a + F.when(b.bin >= F.col("step"), b.n).otherwise(0)))
@@ -113,15 +112,16 @@ def cutoffs(labelled: DataFrame, stratum: str, alpha: float, delta: float) -> Da
     return best.groupBy("stratum").agg(*(F.max(F.when(F.col("signal") == s, F.col("cutoff"))).alias(f"cut_{s}") for s in SIGNALS))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", alpha: float = 0.02, delta: float = 0.05, carry: tuple[str, ...] = ()) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", alpha: float = ALPHA, delta: float = 0.05, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, the columns of COUNTS, base_failed, kept, and the columns named in carry.
 
     docs: doc_id, text and stratum_col; labels: doc_id, quality (1: good). At most alpha of a
     stratum's good documents are rejected by the signals, with probability 1 - delta for all strata
     at once; a signal rejects nothing in a stratum whose own labels certify no cutoff. Null or empty
-    texts have no words and fail the base rule. A null stratum counts as the stratum ''. Labels that contradict each other are left out; with no labels nothing but the base
-    rule rejects. Repeated rows are judged each (one of them, the worst, is counted for the cutoffs).
-    Other columns of either table are ignored.
+    texts have no words and fail the base rule. A null stratum counts as the stratum ''; a null id has
+    no label. Labels that contradict each other are left out; with no labels nothing but the base rule
+    rejects. Repeated rows are judged each (one of them, the worst, is counted for the cutoffs). An empty
+    table gives no rows. Other columns of either table are ignored.
     """
     keep = [F.col(c).alias(f"c_{c}") for c in carry]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), *keep)
@@ -131,7 +131,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang",
     good = told.where("lo = 1 AND hi = 1").select("doc_id")
     seen = rows.where("NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)").select("doc_id", "stratum", *SIGNALS)
     labelled = seen.join(good, "doc_id").groupBy("doc_id").agg(F.min("stratum").alias("stratum"), *(F.max(s).alias(s) for s in SIGNALS))
-    own = written(cutoffs(labelled, "stratum", alpha, delta)).where("stratum IS NOT NULL")
+    own = written(cutoffs(labelled, "stratum", alpha, delta))
     judged = rows.join(sized(own, own.count(), 64), "stratum", "left")
     reject = F.lit(False)
     for s in SIGNALS:
@@ -141,16 +141,23 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang",
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
+    """The rows of docs that the rules keep, with all their columns, whatever their names; odd rows as in quality_rules.
+
+    A null or empty text fails the base rule and goes; a null id or a repeated row stays or goes by its text.
+    """
     names = docs.columns
-    whole = docs.withColumn("q_row", F.struct(*names))
-    return quality_rules(whole, labels, carry=("q_row",), **settings).where("kept").select(*(F.col("q_row")[c].alias(c) for c in names))
+    whole = docs.select("doc_id", "text", settings.get("stratum_col", "lang"), F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names))).alias("q_row"))
+    return quality_rules(whole, labels, carry=("q_row",), **settings).where("kept").select(*(F.col(f"q_row.c{i}").alias(c) for i, c in enumerate(names)))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def quality_rules_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), alpha=LOOSE_ALPHA)
+
+
 _SQL = r"""
 WITH w AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
     regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS ws,
@@ -172,14 +179,13 @@ v AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_fa
 good AS (SELECT v.* FROM v JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND max(quality) = 1) l ON v.doc_id = l.doc_id WHERE NOT base_failed),
 long AS (SELECT stratum, 'symbols' AS signal, symbols AS x FROM good UNION ALL SELECT stratum, 'bangs', bangs FROM good
     UNION ALL SELECT stratum, 'repeats', repeats FROM good UNION ALL SELECT stratum, 'dup_lines', dup_lines FROM good),
-both_ AS (SELECT stratum, signal, x FROM long UNION ALL SELECT NULL, signal, x FROM long),
-fam AS (SELECT count(*) AS families FROM (SELECT DISTINCT stratum, signal FROM both_)),
-st AS (SELECT stratum, signal, step, count(*) AS n, sum(CASE WHEN x >= step * 25 THEN 1 ELSE 0 END)::BIGINT AS k FROM both_, (SELECT unnest(range(1, 41)) AS step) GROUP BY stratum, signal, step),
-js AS (SELECT st.stratum, st.signal, st.step, st.n, st.k, unnest(range(0, st.k + 1)) AS j FROM st WHERE st.k < st.n * 0.005),
-tail AS (SELECT stratum, signal, step, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.005) + (n - j) * ln(0.995))) AS p FROM js GROUP BY stratum, signal, step),
+fam AS (SELECT count(*) AS families FROM (SELECT DISTINCT stratum, signal FROM long)),
+st AS (SELECT stratum, signal, step, count(*) AS n, sum(CASE WHEN x >= step * 25 THEN 1 ELSE 0 END)::BIGINT AS k FROM long, (SELECT unnest(range(1, 41)) AS step) GROUP BY stratum, signal, step),
+js AS (SELECT st.stratum, st.signal, st.step, st.n, st.k, unnest(range(0, st.k + 1)) AS j FROM st WHERE st.k < st.n * RISK),
+tail AS (SELECT stratum, signal, step, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(RISK) + (n - j) * ln(1 - RISK))) AS p FROM js GROUP BY stratum, signal, step),
 best AS (SELECT stratum, signal, min(step * 25) AS cutoff FROM tail, fam WHERE p * families <= 0.05 GROUP BY stratum, signal),
 strata AS (SELECT DISTINCT stratum AS s FROM v), sig AS (SELECT unnest(['symbols', 'bangs', 'repeats', 'dup_lines']) AS g),
-cut AS (SELECT s, g, coalesce(b.cutoff, a.cutoff) AS cutoff FROM strata CROSS JOIN sig LEFT JOIN best b ON b.stratum = s AND b.signal = g LEFT JOIN best a ON a.stratum IS NULL AND a.signal = g),
+cut AS (SELECT s, g, cutoff FROM strata CROSS JOIN sig LEFT JOIN best b ON b.stratum = s AND b.signal = g),
 wide AS (SELECT s, max(CASE WHEN g = 'symbols' THEN cutoff END) AS c1, max(CASE WHEN g = 'bangs' THEN cutoff END) AS c2,
     max(CASE WHEN g = 'repeats' THEN cutoff END) AS c3, max(CASE WHEN g = 'dup_lines' THEN cutoff END) AS c4 FROM cut GROUP BY s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -187,5 +193,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v JOIN wide ON v.stratum = wide.s
 """
 
-QUERIES = {"op2_quality_rules": op2_quality_rules}
-SQL = {"op2_quality_rules": _SQL}
+QUERIES = {"op2_quality_rules": op2_quality_rules, "quality_rules_loose": quality_rules_loose}
+SQL = {name: _SQL.replace("RISK", str(alpha / len(SIGNALS))) for name, alpha in (("op2_quality_rules", ALPHA), ("quality_rules_loose", LOOSE_ALPHA))}

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Memo, read_file, remembered, small_batches, table, vocabulary
+from ._common import Memo, read_file, remembered, sliced, table, vocabulary
 
 #: Added to a word's count if the word can't be spelt in the vocabulary.
 UNKNOWN = 1 << 40
@@ -85,8 +85,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Words are runs of characters other than \\x20 and \\x09-\\x0D. A word that
     the vocabulary can't spell counts as one token and in n_unknown. Null or
     empty texts have zeros; a null id stays null; repeated rows are counted
-    each; other columns of docs are ignored. limit: words whose counts a
-    Python worker remembers.
+    each; other columns of docs are ignored. limit: words, of up to 64 bytes, whose
+    counts a Python worker remembers.
     """
     model = docs.sparkSession.sparkContext.broadcast(read_file(model_path or vocabulary("piece_bpe_32k.model")))
 
@@ -101,7 +101,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         memo = remembered("token_counts", hashlib.md5(model.value).digest(), make)
         get = memo.__getitem__
-        for batch in batches:
+        for batch in sliced(batches, 1):
             n_words, n_tokens, n_unknown = [], [], []
             for text in batch.column(1):
                 words = (text.as_py() or b"").split()
@@ -111,7 +111,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 n_unknown.append(total >> 40)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n_words, n_tokens, n_unknown))], ["id", "n_words", "n_tokens", "n_unknown"])
 
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, "id long, n_words long, n_tokens long, n_unknown long").withColumnRenamed("id", id_col)
 
 

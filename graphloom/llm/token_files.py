@@ -1,7 +1,7 @@
 """Token ids in Arrow files of equal-length sequences.
 
 Each shard is an Arrow file whose batches hold two fixed-size lists per row: the
-ids of one sequence and the mask of those that are not padding. All rows have the
+ids of one sequence and the mask (a byte each) of those that are not padding. All rows have the
 same size, so a sequence's place follows from its number, and a memory-mapped file
 is read without copying. A second file per shard lists its documents: id, place of
 its first token in the shard, number of tokens. Shards follow each other in
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Memo, read_file, remembered, shared_dir, small_batches, table, vocabulary
+from ._common import Memo, read_file, remembered, shared_dir, sliced, table, vocabulary
 
 LENGTH, BATCH_ROWS = 2048, 64
 
@@ -48,15 +48,15 @@ def write_shard(uri: str, name: str, docs, dtype, length: int = LENGTH, batch_ro
     store, path = open_store(uri)
     store.create_dir(path, recursive=True)
     own = f"{path}/_{name}-{uuid.uuid4().hex}"
-    schema = pa.schema([pa.field("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), pa.field("mask", pa.list_(pa.bool_(), length))], {"length": str(length)})
+    schema = pa.schema([pa.field("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), pa.field("mask", pa.list_(pa.uint8(), length))], {"length": str(length)})
     full, ids, starts, sizes, held, total = length * batch_rows, [], [], [], [], 0
     waiting = 0
 
     def batch(flat):
         pad = -len(flat) % length
-        mask = np.ones(len(flat) + pad, bool)
+        mask = np.ones(len(flat) + pad, np.uint8)
         if pad:
-            mask[-pad:] = False
+            mask[-pad:] = 0
             flat = np.concatenate([flat, np.zeros(pad, dtype)])
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), length) for x in (flat, mask)]
         return pa.record_batch(lists, schema=schema)
@@ -104,13 +104,13 @@ class Shard:
         return 0 if not k else (k - 1) * self.rows + self.file.get_batch(k - 1).num_rows
 
     def _flat(self, batch: int, column: int):
-        values = self.file.get_batch(batch).column(column).flatten()
-        return values.to_numpy(zero_copy_only=column == 0)
+        return self.file.get_batch(batch).column(column).flatten().to_numpy(zero_copy_only=True)
 
     def sequence(self, i: int):
-        """ids and mask of the i-th sequence; the ids are a view of the file."""
+        """ids and mask (booleans) of the i-th sequence, both views of the file."""
         at = i % self.rows * self.length
-        return tuple(self._flat(i // self.rows, c)[at : at + self.length] for c in (0, 1))
+        ids, mask = (self._flat(i // self.rows, c)[at : at + self.length] for c in (0, 1))
+        return ids, mask.view(bool)
 
     def tokens(self, start: int, count: int):
         """The ids from the start-th on, as views one after the other."""
@@ -126,34 +126,60 @@ class Shard:
 TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def encode_words(tokenizer_json: str, dtype, limit: int):
-    """Memo: bytes of a white-space separated word -> its ids as bytes.
+class Encoder:
+    """Ids of a text's white-space separated words, as the tokenizer gives them for the whole text.
 
-    The tokenizer drops white space, so words are encoded alone. It parts a letter or digit from
-    punctuation after it, so a word and its closing punctuation are too; and it lower-cases, so an
-    ASCII word has the ids of its lower-case form.
+    The tokenizer drops white space, so words are encoded alone and remembered. It parts a letter or digit from
+    punctuation after it, so an ASCII letter or digit and the closing punctuation of its word are too
+    (after others, lower-casing may leave a mark that goes with the punctuation); and it lower-cases, so an
+    ASCII word has the ids of its lower-case form. Special tokens are cut out of the text as the tokenizer
+    cuts them, before all else. Added tokens of other kinds reach beyond words: such a tokenizer gets whole texts.
     """
-    import os
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import numpy as np
-    from tokenizers import Tokenizer
+    def __init__(self, tokenizer_json: str, limit: int, end_id: int = 0):
+        import json
+        import os
+        import re
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        parsed = json.loads(tokenizer_json)
+        self.whole = Tokenizer.from_str(tokenizer_json)
+        self.plain = Tokenizer.from_str(tokenizer_json)  # for what is left between special tokens
+        self.plain.encode_special_tokens = True
+        added = parsed["added_tokens"]
+        self.dtype = id_type(1 + max([end_id, *parsed["model"]["vocab"].values(), *(t["id"] for t in added)]))
+        self.by_words = all(t["special"] and not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) for t in added)
+        self.special = {t["content"].encode(): self._packed([t["id"]]) for t in added}
+        longest_first = sorted(self.special, key=len, reverse=True)
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, longest_first)) + b")").split if added else lambda text: [text]
+        self.memo = Memo(self._word, limit)
+
+    def _packed(self, ids) -> bytes:
+        import numpy as np
 
-    tokenizer = Tokenizer.from_str(tokenizer_json)
-    tokenizer.encode_special_tokens = True
+        return np.array(ids, self.dtype).tobytes()
 
-    def encode(word):
+    def _word(self, word: bytes) -> bytes:
         if b"'" not in word:
             body = word.rstrip(TAIL)
-            if body and len(body) < len(word) and body.decode("utf-8", "replace")[-1].isalnum():
-                return memo[body] + memo[word[len(body) :]]
+            if body and len(body) < len(word) and body[-1:].isalnum():  # of bytes: ASCII only
+                return self.memo[body] + self.memo[word[len(body) :]]
             low = word.lower() if word.isascii() else word
             if low != word:
-                return memo[low]
-        return np.array(tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype).tobytes()
+                return self.memo[low]
+        return self._packed(self.plain.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
 
-    memo = Memo(encode, limit)
-    return memo
+    def encode(self, text: bytes) -> bytes:
+        """The ids of text, as bytes of dtype."""
+        if not self.by_words:
+            return self._packed(self.whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        get = self.memo.__getitem__
+        parts = self.cut(text)
+        if len(parts) == 1:
+            return b"".join(map(get, text.split()))
+        return b"".join(self.special[part] if k % 2 else b"".join(map(get, part.split())) for k, part in enumerate(parts))
 
 
 def token_files(docs: DataFrame, uri: str, tokenizer_path: str | None = None, end_id: int = 2, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", limit: int = 3 << 19) -> list[tuple[str, int, int]]:
@@ -161,40 +187,34 @@ def token_files(docs: DataFrame, uri: str, tokenizer_path: str | None = None, en
 
     Each document ends with end_id; a null or empty text has that id only. Rows with equal ids come
     in the order of their texts' hashes; a null id comes first and is kept. Every shard starts a new
-    sequence, its last one is padded. Other columns are ignored. limit: words whose ids a Python
-    worker remembers. The tokenizer must lower-case, drop white space and part
+    sequence, its last one is padded. Other columns are ignored. limit: words, of up to 64 bytes, whose
+    ids a Python worker remembers. The tokenizer must lower-case, drop white space and part
     letters from punctuation (checked against whole texts in tests).
     """
     spec = docs.sparkSession.sparkContext.broadcast(read_file(tokenizer_path or vocabulary("word_bpe_49k.json")))
 
     def write(batches):
         import hashlib
-        import json
 
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        def make():
-            parsed = json.loads(spec.value)
-            size = 1 + max([*parsed["model"]["vocab"].values(), *(t["id"] for t in parsed["added_tokens"])])
-            dtype = id_type(max(size, end_id + 1))
-            return dtype, encode_words(spec.value.decode(), dtype, limit)
-
-        dtype, memo = remembered("token_files", (hashlib.md5(spec.value).digest(), limit), make)
-        end, get = np.array([end_id], dtype).tobytes(), memo.__getitem__
+        encoder = remembered("token_files", (hashlib.md5(spec.value).digest(), limit, end_id), lambda: Encoder(spec.value.decode(), limit, end_id))
+        dtype = encoder.dtype
+        end = np.array([end_id], dtype).tobytes()
 
         def encoded():
-            for batch in batches:
+            for batch in sliced(batches, 1):
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    yield doc_id, np.frombuffer(b"".join([*map(get, (text.as_py() or b"").split()), end]), dtype)
+                    yield doc_id, np.frombuffer(encoder.encode(text.as_py() or b"") + end, dtype)
 
         number = TaskContext.get().partitionId()
         name = f"part-{number:06d}"
         counts = write_shard(uri, name, encoded(), dtype, length)
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, *counts)], ["shard", "docs", "ids"])
 
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("h"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("h"))
     rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
     made = rows.mapInArrow(write, "shard string, docs long, ids long").collect()  # a row for each partition
     return sorted((r.shard, r.docs, r.ids) for r in made)

@@ -141,7 +141,7 @@ def test_cutoffs_keep_their_promise(spark):
     good = spark.createDataFrame(rows, "stratum string, symbols long, bangs long, repeats long, dup_lines long")
     cut = {r.stratum: r for r in quality_rules.cutoffs(good, "stratum", 0.02, 0.05).collect()}
     # 2 % of good documents have 600: a cutoff there would reject more than 0.5 %
-    assert all(r.cut_symbols == 625 and r.cut_bangs == 25 for r in cut.values()) and set(cut) == {"a", "b", None}
+    assert all(r.cut_symbols == 625 and r.cut_bangs == 25 for r in cut.values()) and set(cut) == {"a", "b"}
 
 
 def test_no_rule_where_a_stratum_certifies_none(spark):
@@ -301,10 +301,20 @@ def test_sharding(odd, limit):
     assert sharding.assign_shards(empty(df), limit).count() == 0
 
 
-def test_write_shards(spark, tmp_path):
-    df = spark.createDataFrame([(i, "x" * 10) for i in range(40)], "doc_id long, text string")
-    shards = sharding.write_shards(df, str(tmp_path / "out"), 60)
-    assert sum(r.n_docs for r in shards.collect()) == 40 and spark.read.parquet(str(tmp_path / "out")).count() == 40
+@pytest.mark.parametrize("limit", [60, 10**6])
+def test_write_shards(spark, odd, tmp_path, limit):
+    rows = [(1, "a"), (1, "b"), (None, "c"), (2, "d"), (2, "d"), (3, None), (4, ""), *((i, "x" * 10) for i in range(10, 50)), (60, "y" * 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("clash").alias("shard"), F.struct(F.lit(1).alias("a b")).alias("n_bytes"), F.lit(0).alias("q.row"))
+    shards = {r.shard: (r.n_docs, r.shard_bytes) for r in sharding.write_shards(df, str(tmp_path / "out"), limit).collect()}
+    found = spark.read.schema("doc_id long, text string, shard string, n_bytes struct<`a b`:int>, `q.row` int, q_shard string").parquet(str(tmp_path / "out")).collect()
+    assert sorted(((r.doc_id, r.text) for r in found), key=str) == sorted(rows, key=str) and all(r.shard == "clash" and r.n_bytes["a b"] == 1 for r in found)
+    sizes = collections.defaultdict(lambda: [0, 0])
+    for r in found:
+        sizes[r.q_shard][0] += 1
+        sizes[r.q_shard][1] += len((r.text or "").encode())
+    assert {k: tuple(v) for k, v in sizes.items()} == shards and (len(shards) > 8 if limit == 60 else len(shards) == 1)
+    assert sharding.write_shards(empty(df), str(tmp_path / "none"), limit).count() == 0
+    assert sharding.write_shards(odd[0], str(tmp_path / "odd"), limit).agg(F.sum("n_docs")).first()[0] == len(odd[1])
 
 
 # chat formatting
@@ -345,10 +355,11 @@ def test_token_files(spark, odd, tmp_path):
     from tokenizers import Tokenizer
 
     df, rows = odd
+    more = [(100, "end of <|endoftext|> text"), (101, "<|ENDOFTEXT|>, TÜRKÇE DİLİ. İ! don't"), (102, "a<|startoftext|>b<|endoftext|>")]
+    df, rows = df.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string")), [*rows, *more]
     uri = f"file://{tmp_path}/shards"
     shards = token_files.token_files(df, uri, length=64)
     tokenizer = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     ids = sorted(((i, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in rows), key=lambda x: (x[0] is not None, x[0] or 0))
     got = sorted((tuple(r) for r in token_files.read_digests(spark, uri, shards).collect()), key=lambda x: x[1])
     at, wanted = 0, []
@@ -361,13 +372,37 @@ def test_token_files(spark, odd, tmp_path):
         shard = token_files.Shard(uri, name)
         for k in range(len(shard)):
             seq, mask = shard.sequence(k)
-            assert len(seq) == 64 and not seq.flags.owndata
+            assert len(seq) == 64 and not seq.flags.owndata and not mask.flags.owndata
             flat += seq[mask].tolist()
         assert -(-n // 64) == len(shard)
     assert flat == [t for _, x in ids for t in x]
     assert token_files.read_digests(spark, uri + "e", token_files.token_files(empty(df), uri + "e")).count() == 0
 
 
+def test_words_alone_equal_whole_texts():
+    from tokenizers import Tokenizer
+
+    path, rng = vocabulary("word_bpe_49k.json"), random.Random(5)
+    whole, own = Tokenizer.from_file(path), token_files.Encoder(open(path).read(), 1 << 12, 2)
+    pool = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "İ", "ß", "é", "e\u0301", "\u0301", "\u0307", "\u00a0", "\u2003", "\u0085", "\u001c", "Σ", " ", "\n", "B", "word", "don't", "'S", "1", "½", "!", "...", "中文", "ﬁ", "\U0001F600", "\u200d", "K", "가", "ᄀ", "ᅡ", "-", "x" * 70]
+    for k in range(20_000):
+        chars = lambda: chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x370), rng.randrange(0x370, 0x2100)]))
+        text = "".join(rng.choice(pool) if k % 2 else chars() for _ in range(rng.randint(0, 13)))
+        assert np.frombuffer(own.encode(text.encode()), own.dtype).tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_added_tokens_that_reach_beyond_words():
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(vocabulary("word_bpe_49k.json")))
+    spec["added_tokens"].append({"id": 49408, "content": "new york", "single_word": False, "lstrip": True, "rstrip": False, "normalized": True, "special": False})
+    text = json.dumps(spec)
+    ids = np.frombuffer(token_files.Encoder(text, 100, 2).encode(b"in  New York now <|endoftext|>"), np.uint16).tolist()
+    assert ids == Tokenizer.from_str(text).encode("in  New York now <|endoftext|>", add_special_tokens=False).ids and 49408 in ids
+
+
 # line dedup
 
 
