@@ -110,6 +110,17 @@ def free_name(wanted: str, taken) -> str:
     return wanted
 
 
+#: Partial results of a table that one merging task reads, for as many tasks as its cube; beyond that more.
+MERGED_AT_ONCE = 64
+
+
+def merged(parts: DataFrame, merge, schema: str) -> DataFrame:
+    """parts (chunk int, part int: the task that made it, and others) merged by merge to one row per chunk, in rounds of groups."""
+    for group in (F.col("part") / MERGED_AT_ONCE, F.col("part") / MERGED_AT_ONCE, F.lit(0)):
+        parts = parts.withColumn("part", F.floor(group).cast("int")).groupBy("chunk", "part").applyInArrow(merge, schema)
+    return parts
+
+
 def read_file(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import batch_shingles, batch_words, mixed, shingles, sized, sliced, table, written
+from ._common import batch_shingles, batch_words, free_name, mixed, shingles, sized, sliced, table, written
 
 HASHES = 64
 #: Bits of a minhash that are looked up before the whole.
@@ -155,9 +155,14 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """The rows of docs that contain no item, with all their columns."""
-    hit = written(contained(docs, items, id_col=id_col, **settings).select(F.col(id_col).alias("q_hit")).distinct())
-    return docs.join(sized(hit, hit.count(), 16), F.col(id_col) == F.col("q_hit"), "left_anti")
+    """The rows of docs that contain no item, with all their columns, whatever their names.
+
+    Rows with one id are one document: all go if one of them contains an item. Rows with a null id,
+    or a null or empty text of their own, stay. Without items all rows stay; an empty table gives no rows.
+    """
+    name = free_name("hit", docs.columns)
+    hit = written(contained(docs, items, id_col=id_col, **settings).select(F.col(id_col).alias(name)).distinct())
+    return docs.join(sized(hit, hit.count(), 16), F.col(id_col) == F.col(name), "left_anti")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,13 +14,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from ._common import sized, table, written
+from ._common import free_name, merged, sized, sliced, table, written
 
-#: Bytes of text for each bit of a filter (about 8 bits a line), and log2 of its bits at most (27: 16 MB).
-BYTES_PER_BIT, MOST_BITS, CHUNK = 32, 27, 1 << 16
-#: Partial filters of a chunk are merged in groups first.
-MERGE_GROUPS = 32
+#: Bytes of text for each bit of a filter (about 8 bits a line), log2 of its bits at most (29: 64 MB), bytes that travel together.
+BYTES_PER_BIT, MOST_BITS, CHUNK = 32, 29, 1 << 16
 
 
 def line_keys(text: bytes | None, least: int) -> list[tuple[int, bytes]]:
@@ -57,8 +56,8 @@ def _seen_twice(docs: DataFrame, least: int, log_bits: int):
         import numpy as np
         from pyspark import TaskContext
 
-        once, twice = np.zeros(1 << log_bits, bool), np.zeros(1 << log_bits, bool)
-        for batch in batches:
+        once, twice = (np.zeros((1 << log_bits) // 8, np.uint8) for _ in range(2))
+        for batch in sliced(batches, 0):
             hashes: list[bytes] = []
             for text in batch.column(0):
                 hashes.extend(_distinct_hashes(text.as_py(), least))
@@ -67,15 +66,15 @@ def _seen_twice(docs: DataFrame, least: int, log_bits: int):
                 for h in hashes:
                     counts[h] = counts.get(h, 0) + 1
                 bits = _bits(list(counts), log_bits)
-                again = once[bits].all(1) | (np.fromiter(counts.values(), np.int64) > 1)
-                twice[bits[again]] = True
-                once[bits] = True
-        group = TaskContext.get().partitionId() % MERGE_GROUPS
-        packed = [np.packbits(x) for x in (once, twice)]
-        for chunk, at in enumerate(range(0, len(packed[0]), CHUNK)):
-            parts = [x[at : at + CHUNK] for x in packed]
+                place, bit = bits >> 3, (128 >> (bits & 7)).astype(np.uint8)
+                again = ((once[place] & bit) > 0).all(1) | (np.fromiter(counts.values(), np.int64) > 1)
+                np.bitwise_or.at(twice, place[again], bit[again])
+                np.bitwise_or.at(once, place, bit)
+        part = TaskContext.get().partitionId()
+        for chunk, at in enumerate(range(0, len(once), CHUNK)):
+            parts = [x[at : at + CHUNK] for x in (once, twice)]
             if parts[0].any():
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([group], pa.int32()), *(pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in parts)], ["chunk", "part", "once", "twice"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([part], pa.int32()), *(pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in parts)], ["chunk", "part", "once", "twice"])
 
     def merge(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
@@ -87,15 +86,15 @@ def _seen_twice(docs: DataFrame, least: int, log_bits: int):
             for a, b in zip(batch.column("once").to_pylist(), batch.column("twice").to_pylist(), strict=True):
                 a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
                 once, twice = (a, b) if once is None else (once | a, twice | b | once & a)
-        yield pa.RecordBatch.from_arrays([pa.array([keys[0].as_py()], pa.int32()), pa.array([0], pa.int32()), *(pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in (once, twice))], ["chunk", "part", "once", "twice"])
+        yield pa.RecordBatch.from_arrays([*(pa.array([k.as_py()], pa.int32()) for k in keys), *(pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in (once, twice))], ["chunk", "part", "once", "twice"])
 
     schema = "chunk int, part int, once binary, twice binary"
-    parts = docs.select("q_text").mapInArrow(partial, schema)
-    merged = parts.groupBy("chunk", "part").applyInArrow(merge, schema).groupBy("chunk").applyInArrow(merge, schema)
     import zlib
 
+    filters = merged(docs.select("q_text").mapInArrow(partial, schema), merge, schema)
+
     out = bytearray(max(1, (1 << log_bits) // 8))
-    for row in merged.select("chunk", "twice").collect():  # MOST_BITS bits together at most
+    for row in filters.select("chunk", "twice").collect():  # MOST_BITS bits together at most
         chunk = zlib.decompress(row.twice)
         out[row.chunk * CHUNK : row.chunk * CHUNK + len(chunk)] = chunk
     return bytes(out)
@@ -114,7 +113,7 @@ def repeated_lines(docs: DataFrame, least: int = 40, copies: int = 5, most_bits:
         import numpy as np
 
         packed = np.frombuffer(twice.value, np.uint8)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             ids, hashes = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = _distinct_hashes(text.as_py(), least)
@@ -134,25 +133,25 @@ def repeated_lines(docs: DataFrame, least: int = 40, copies: int = 5, most_bits:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 40, copies: int = 5, most_bits: int = MOST_BITS) -> DataFrame:
-    """docs with the lines that at least copies documents share taken out of text_col, and n_lines, n_dropped (long; q_ is put before a name that docs has).
+    """docs with the lines that at least copies documents share taken out of text_col, and n_lines, n_dropped (long; q_ is put before a name that docs has, until it has none such).
 
     A line's key is the line without \\x20 and \\x09-\\x0D at its ends, A-Z lower-cased; keys of at
     least least code points count. Such a line stays only in the largest id that has it, there each
     time. A null or empty text is one empty line and comes out empty. Rows with a null id lose
     nothing and aren't counted; rows with equal ids are one document. All columns of docs stay.
     """
-    count_names = [n if n not in docs.columns else f"q_{n}" for n in ("n_lines", "n_dropped")]
+    count_names = [free_name(n, docs.columns) for n in ("n_lines", "n_dropped")]
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("q_text"))
     lost = written(repeated_lines(slim, least, copies, most_bits))
     size = lost.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("keys")).first()
-    rows = docs.select(F.col(id_col).cast("long").alias("q_id"), F.col(text_col).cast("binary").alias("q_text"), *(F.col(c).alias(f"q{i}_") for i, c in enumerate(docs.columns) if c != text_col))
+    rows = docs.select(F.col(id_col).cast("long").alias("q_id"), F.col(text_col).cast("binary").alias("q_text"), *(F.col(f"`{c}`").alias(f"q{i}_") for i, c in enumerate(docs.columns) if c != text_col))
     rows = rows.join(sized(lost.select(F.col("doc_id").alias("q_id"), "keys"), 1, 64 * size.rows + 32 * size["keys"]), "q_id", "left")
     others = [(f"q{i}_", c) for i, c in enumerate(docs.columns) if c != text_col]
 
     def drop(batches):
         import xxhash
 
-        for batch in batches:
+        for batch in sliced(batches, 0):
             texts, n_lines, n_dropped = [], [], []
             for text, keys in zip(batch.column("q_text"), batch.column("keys"), strict=True):
                 text = text.as_py() or b""
@@ -168,7 +167,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), *(batch.column(a) for a, _ in others)], ["q_text", "q_lines", "q_dropped", *(a for a, _ in others)])
 
     types = {f.name: f.dataType for f in docs.schema}
-    schema = "q_text binary, q_lines long, q_dropped long" + "".join(f", {a} {types[c].simpleString()}" for a, c in others)
+    schema = StructType([StructField("q_text", BinaryType()), StructField("q_lines", LongType()), StructField("q_dropped", LongType()), *(StructField(a, types[c]) for a, c in others)])
     out = rows.select("q_text", "keys", *(a for a, _ in others)).mapInArrow(drop, schema)
     back = {c: F.col(a).alias(c) for a, c in others} | {text_col: F.col("q_text").cast("string").alias(text_col)}
     return out.select(*(back[c] for c in docs.columns), F.col("q_lines").alias(count_names[0]), F.col("q_dropped").alias(count_names[1]))

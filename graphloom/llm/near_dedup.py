@@ -2,20 +2,26 @@
 
 A document's shingle set has b small collections of ROWS minhashes. A table key is
 a pair of collections, so b * (b - 1) / 2 tables come from b * ROWS minhashes: about
-the square root of what separate bands would compute. Equal sets are one set from the start. Sets that share a table key are
-gathered into clusters through the smallest id of each key; within a cluster,
-tiles of bounded size compare those pairs that share a key, on full sets, and give
-the links that join what is not yet joined in the tile. Tiles together meet every
-pair of a cluster, so no link between components is lost and no group is expanded
-into its pairs.
+the square root of what separate bands would compute. Equal sets are one set from the
+start. The sets of a key gather round its smallest id, the key's pivot; a pivot's star
+holds every set that shares one of its keys with it, so any two sets that share a key
+share a star. Candidates are verified on full sets, in tiles of bounded size.
+
+First each set goes to the star of its smallest pivot only, a large star being dealt
+into tiles in two ways at random: the links found there join nearly all of what
+belongs together. Then the stars whose sets are still in more than one component, and
+weren't compared in full, are worked off: tiles of a star are pairs of parts, where
+sets of one large component have parts of their own, and parts of one component aren't
+compared with each other. So every pair of different components that shares a key is
+compared, and no group is expanded into its pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import batch_words, mixed, shingles, sized, sliced, table, written
+from ._common import batch_words, free_name, mixed, shingles, sized, sliced, table, written
 from .components import components
 
 ROWS = 3
@@ -106,15 +112,13 @@ def shared_keys(sets: DataFrame, blocks: int) -> DataFrame:
     return alive.where(F.size("alive") > 1).mapInArrow(pairs, "key long, id long")
 
 
-def tile_links(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Links (a, b) that join what is similar within each cluster.
+def tile_links(tiles: DataFrame, by: list[str], similarity: tuple[int, int]) -> DataFrame:
+    """Links (a, b) that join what is similar within each tile: a group of rows with the same columns by.
 
-    members: cluster, parts (parts of the cluster), id, blocks array<long>, hashes binary (sorted
-    uint64). Each pair of parts is a tile. similarity: (85, 100) for 0.85.
+    tiles: by, part int (a tile of two parts compares rows of different parts only), label long (rows
+    with one label are joined already), id, blocks array<long>, hashes binary (sorted uint64).
+    similarity: (85, 100) for 0.85.
     """
-    rows = members.withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    tiles = rows.select("cluster", "part", "id", "blocks", "hashes", others).withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")}).drop("other")
     up, down = similarity
 
     def compare(pdf):
@@ -125,8 +129,8 @@ def tile_links(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
         sets = [np.frombuffer(x, np.uint64) for x in pdf["hashes"]]
         values = np.array(pdf["blocks"].tolist(), np.int64)
         part, ids = pdf["part"].to_numpy(), pdf["id"].to_numpy()
-        across = pdf["lo"].iat[0] != pdf["hi"].iat[0]
-        label = np.searchsorted(ids, ids)  # rows of one id are joined from the start
+        across = len(np.unique(part)) > 1
+        label = pdf["label"].to_numpy().copy()
         links: list[tuple[int, int]] = []
         for i in range(1, len(ids)):
             near = ((values[:i] == values[i]).sum(1) >= 2) & (label[:i] != label[i])
@@ -145,7 +149,62 @@ def tile_links(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
                     waiting = waiting[label[waiting] != label[i]]
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return tiles.groupBy("cluster", "lo", "hi").applyInPandas(compare, "a long, b long")
+    return tiles.select(*by, "part", "label", "id", "blocks", "hashes").groupBy(*by).applyInPandas(compare, "a long, b long")
+
+
+def parts_of(sets: str, size: str, tile_rows: int, tile_bytes: int):
+    """Parts of at most about tile_rows sets and tile_bytes bytes."""
+    return F.greatest(F.ceil(F.col(sets) / tile_rows), F.ceil(F.col(size) / tile_bytes)).cast("int")
+
+
+def home_tiles(stars: DataFrame, sizes: DataFrame, tile_rows: int, tile_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(pivot, way, part, id): each set in the tile of its smallest pivot, and that pivot itself; and (pivot, parts) of the tiles.
+
+    A pivot with more than one tile deals its sets in two ways, and is in every tile of them.
+    """
+    home = stars.groupBy("id").agg(F.min("pivot").alias("pivot"))
+    home = written(home.join(sizes, "id").select("pivot", "id", "bytes"))
+    dealt = home.groupBy("pivot").agg(F.count("*").alias("sets"), F.sum("bytes").alias("bytes")).select("pivot", parts_of("sets", "bytes", tile_rows, tile_bytes).alias("parts"))
+    dealt = written(dealt)
+    ways = F.explode(F.sequence(F.lit(0), F.when(F.col("parts") > 1, 1).otherwise(0))).alias("way")
+    own = home.join(dealt, "pivot").select("pivot", "id", "parts", ways).withColumn("part", F.pmod(F.xxhash64("id", "way"), "parts").cast("int"))
+    itself = dealt.select("pivot", F.col("pivot").alias("id"), "parts", ways).select("pivot", "id", "way", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return own.select("pivot", "way", "part", "id").unionByName(itself.select("pivot", "way", "part", "id")), dealt
+
+
+def open_tiles(stars: DataFrame, dealt: DataFrame, labels: DataFrame, sizes: DataFrame, tile_rows: int, tile_bytes: int) -> DataFrame:
+    """(pivot, lo, hi, part, label, id): tiles of the stars that hold pairs of different labels which no tile of home_tiles compared.
+
+    Parts of a star: sets whose label fills half a tile have parts of that label alone, the others
+    share parts. Two parts of one label are no tile.
+    """
+    away = F.col("id") != F.col("pivot")
+    members = written(
+        stars.unionByName(stars.select("pivot", F.col("pivot").alias("id")).distinct())
+        .join(sizes, "id")
+        .join(stars.groupBy("id").agg(F.min("pivot").alias("home")), "id", "left")
+        .join(labels, "id", "left")
+        .select("pivot", "id", F.coalesce("label", "id").alias("label"), "bytes", (away & (F.col("home") != F.col("pivot"))).alias("guest"))
+    )
+    state = members.groupBy("pivot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("guest").alias("guests")).join(dealt, "pivot", "left")
+    waiting = written(state.where("lo < hi AND (guests OR coalesce(parts, 1) > 1)").select("pivot"))
+    left = members.join(waiting, "pivot", "left_semi")
+    fill = left.groupBy("pivot", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).withColumn("parts", parts_of("n", "bytes", tile_rows, tile_bytes))
+    heavy = (F.col("n") * 2 > tile_rows) | (F.col("bytes") * 2 > tile_bytes)
+    light = fill.where(~heavy).groupBy("pivot").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).select("pivot", parts_of("n", "bytes", tile_rows, tile_bytes).alias("mixed"))
+    ordered = Window.partitionBy("pivot").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)  # a star has at most two heavy labels for each tile's worth of sets
+    alone = fill.where(heavy).select("pivot", "label", F.col("parts").alias("own"), F.coalesce(F.sum("parts").over(ordered), F.lit(0)).cast("int").alias("before"))
+    alone = written(alone)
+    total = alone.groupBy("pivot").agg(F.sum("own").cast("int").alias("pure"))
+    dealt_left = left.join(alone, ["pivot", "label"], "left").join(light, "pivot", "left").join(total, "pivot", "left")
+    dealt_left = dealt_left.withColumns({"mixed": F.coalesce("mixed", F.lit(0)), "pure": F.coalesce("pure", F.lit(0))})
+    first = F.col("mixed") + F.col("before")
+    part = F.when(F.col("own").isNull(), F.pmod(F.xxhash64("id"), F.greatest("mixed", F.lit(1)))).otherwise(first + F.pmod(F.xxhash64("id"), "own")).cast("int")
+    span = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>"))
+    zero, end = F.lit(0), F.col("mixed") + F.col("pure")
+    others = F.when(F.col("own").isNull(), span(zero, end)).otherwise(F.concat(span(zero, first), span(first + F.col("own"), end)))
+    tiles = dealt_left.select("pivot", "id", "label", part.alias("part"), F.explode(others).alias("other"))
+    return tiles.select("pivot", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "label", "id")
 
 
 def full_sets(docs: DataFrame, width: int, blocks: int, rows: int) -> DataFrame:
@@ -185,21 +244,26 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = written(shared_keys(per_set.select("id", "blocks"), blocks))
     pivots = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
     pivots = written(pivots)  # so that the join's two sides are plain shuffles, which can be split
-    shared = keys.join(pivots, "key").select("id", "pivot").where("id <> pivot")
-    # a set's pivots are joined through the smallest of them: as many links as sets, and few among pivots
-    star = shared.groupBy("id").agg(F.min("pivot").alias("b"), F.collect_set("pivot").alias("pivots"))  # as many as tables at most
-    gathered = written(star.select("b", F.explode(F.concat(F.array("id"), "pivots")).alias("a")).where("a <> b").distinct())
-    clusters = components(gathered).select("id", F.col("label").alias("cluster"))
-    sizes = per_set.groupBy("id").agg(F.max("n_shingles").alias("n")).join(clusters, "id").groupBy("cluster").agg(F.count("*").alias("sets"), F.sum(F.col("n") * 8).alias("bytes"))
-    parts = sizes.select("cluster", F.greatest(F.ceil(F.col("sets") / tile_rows), F.ceil(F.col("bytes") / tile_bytes), F.lit(1)).cast("int").alias("parts"))
-    wanted = written(clusters.join(parts, "cluster").select("id", "cluster", "parts"))
-    near = sized(wanted, wanted.count(), 24)
+    stars = written(keys.join(pivots, "key").where("id <> pivot").select("pivot", "id").distinct())
+    sizes = per_set.groupBy("id").agg((F.max("n_shingles") * 8).alias("bytes"))
     again = named.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("n > 1")
     repeated = written(again)
+    wanted = written(stars.select(F.explode(F.array("pivot", "id")).alias("id")).distinct())
+    near = sized(wanted, wanted.count(), 16)
     sets = full_sets(slim.join(near, F.col("doc_id") == F.col("id"), "left_semi"), width, blocks, rows)
     if repeated.limit(1).count():
         sets = sets.groupBy("id", "hashes").agg(F.first("blocks").alias("blocks"))
-    found = tile_links(sets.join(near, "id"), similarity)
+    homes, dealt = home_tiles(stars, sizes, tile_rows, tile_bytes)
+    homes = homes.withColumns({"label": F.col("id"), "tile": F.col("part"), "part": F.lit(0)})
+    found = written(tile_links(sets.join(homes, "id"), ["pivot", "way", "tile"], similarity))
+    joined = components(found)
+    tiles = written(open_tiles(stars, dealt, joined, sizes, tile_rows, tile_bytes))
+    if tiles.limit(1).count():
+        ids = written(tiles.select(F.col("id").alias("open")).distinct())
+        rest = full_sets(slim.join(sized(ids, ids.count(), 16), F.col("doc_id") == F.col("open"), "left_semi"), width, blocks, rows)
+        if repeated.limit(1).count():
+            rest = rest.groupBy("id", "hashes").agg(F.first("blocks").alias("blocks"))
+        found = found.unionByName(written(tile_links(rest.join(tiles, "id"), ["pivot", "lo", "hi"], similarity)))
     own = named.join(repeated.where("lo <> hi").select("doc_id"), "doc_id", "left_semi").select("doc_id", "set_key").join(per_set.select("set_key", "id"), "set_key")
     labels = components(found.unionByName(own.select(F.col("doc_id").alias("a"), F.col("id").alias("b"))))
     by_set = per_set.join(labels, "id", "left").select("set_key", F.coalesce("label", "id").alias("component_id"))
@@ -209,9 +273,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def near_dedup_filter(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of docs that near_dedup keeps, one document of each group, with all their columns."""
-    lost = written(near_dedup(docs, **settings).where("NOT kept").select(F.col("doc_id").alias("q_lost")).distinct())
-    return docs.join(sized(lost, lost.count(), 16), F.col("doc_id") == F.col("q_lost"), "left_anti")
+    """The rows of docs that near_dedup keeps, one document of each group, with all their columns, whatever their names.
+
+    Rows with one id are one document and stay or go together; rows with a null id, and those whose
+    text has no words, stay. An empty table gives no rows.
+    """
+    id_col, name = settings.get("id_col", "doc_id"), free_name("lost", docs.columns)
+    lost = written(near_dedup(docs, **settings).where("NOT kept").select(F.col(id_col).alias(name)).distinct())
+    return docs.join(sized(lost, lost.count(), 16), F.col(id_col) == F.col(name), "left_anti")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

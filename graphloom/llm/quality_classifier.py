@@ -17,14 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Memo, remembered, table, written
+from ._common import Memo, merged, remembered, sized, sliced, table, written
 
-#: Word slots (words share them by hash), dimensions, neighbours on each side, index vectors' entries.
-SLOTS, DIMS, WINDOW, ENTRIES = 1 << 14, 32, 2, 4
+#: Word slots (words share them by hash; the sums of all of them are sent), dimensions, neighbours on each side, index vectors' entries.
+SLOTS, DIMS, WINDOW, ENTRIES = 1 << 16, 32, 2, 4
+#: Slots whose partial sums travel together.
+CHUNK = 1 << 12
 #: Labelled documents to learn from at most: those with the smallest hashes of their ids.
 MOST_LABELLED = 40_000
-#: Partial context sums are merged in groups first.
-MERGE_GROUPS = 32
+#: A label's document id has a hash of so many values.
+HASHES = 1 << 30
 
 
 def index_vectors():
@@ -41,7 +43,7 @@ def index_vectors():
 def _slot_of():
     import xxhash
 
-    return remembered("word_slot", SLOTS, lambda: Memo(lambda w: xxhash.xxh3_64_intdigest(w) % SLOTS)).__getitem__
+    return remembered("word_slot", SLOTS, lambda: Memo(lambda w: xxhash.xxh3_64_intdigest(w) % SLOTS, 1 << 17)).__getitem__
 
 
 def context_vectors(texts: DataFrame):
@@ -51,48 +53,48 @@ def context_vectors(texts: DataFrame):
         import numpy as np
         from pyspark import TaskContext
 
-        slot_of, pairs = _slot_of(), np.zeros(0, np.int64)
+        slot_of = _slot_of()
         index, total = index_vectors(), np.zeros((SLOTS, DIMS), np.int64)
-        places = [np.flatnonzero(v) for v in index]
-        where = np.array(places)
+        where = np.array([np.flatnonzero(v) for v in index])
         signs = np.take_along_axis(index, where, 1)
-        for batch in batches:
+        for batch in sliced(batches, 0, 8 << 20):
             flat, ends = [], []
             for text in batch.column(0):
-                words = (text.as_py() or b"").split()
-                flat.extend(map(slot_of, words))
+                flat.extend(map(slot_of, (text.as_py() or b"").split()))
                 ends.append(len(flat))
             if not flat:
                 continue
-            slots = np.array(flat, np.int64)
+            used, slots = np.unique(np.array(flat, np.int64), return_inverse=True)
+            found, at, sign = np.zeros(len(used) * DIMS), where[used], signs[used]
             text_of = np.repeat(np.arange(len(ends)), np.diff([0, *ends]))
             for d in range(1, WINDOW + 1):
                 same = text_of[d:] == text_of[:-d]
                 left, right = slots[:-d][same], slots[d:][same]
                 for word, near in ((left, right), (right, left)):
                     for e in range(ENTRIES):
-                        counted = np.bincount(word * DIMS + where[near, e], weights=signs[near, e], minlength=SLOTS * DIMS)
-                        total += counted.astype(np.int64).reshape(SLOTS, DIMS)
-        group = TaskContext.get().partitionId() % MERGE_GROUPS
-        yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["part", "sums"])
+                        found += np.bincount(word * DIMS + at[near, e], weights=sign[near, e], minlength=len(found))
+            total[used] += found.astype(np.int64).reshape(-1, DIMS)
+        part = pa.array([TaskContext.get().partitionId()], pa.int32())
+        for chunk in range(0, SLOTS, CHUNK):
+            if total[chunk : chunk + CHUNK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), part, pa.array([zlib.compress(total[chunk : chunk + CHUNK].tobytes(), 1)], pa.binary())], ["chunk", "part", "sums"])
 
     def merge(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        total = np.zeros(SLOTS * DIMS, np.int64)
+        total = np.zeros(CHUNK * DIMS, np.int64)
         for batch in batches:
             for sums in batch.column("sums"):
                 total += np.frombuffer(zlib.decompress(sums.as_py()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["part", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], pa.int32()) for k in keys] + [pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["chunk", "part", "sums"])
 
     import numpy as np
 
-    schema = "part int, sums binary"
-    merged = texts.mapInArrow(partial, schema).groupBy("part").applyInArrow(merge, schema).groupBy("part").applyInArrow(merge, schema)
-    total = np.zeros(SLOTS * DIMS, np.int64)
-    for row in merged.collect():  # one array of a fixed size
-        total += np.frombuffer(zlib.decompress(row.sums), np.int64)
-    return total.reshape(SLOTS, DIMS)
+    schema = "chunk int, part int, sums binary"
+    total = np.zeros((SLOTS, DIMS), np.int64)
+    for row in merged(texts.mapInArrow(partial, schema), merge, schema).collect():  # SLOTS * DIMS integers together
+        total[row.chunk : row.chunk + CHUNK] = np.frombuffer(zlib.decompress(row.sums), np.int64).reshape(CHUNK, DIMS)
+    return total
 
 
 def word_vectors(contexts):
@@ -104,25 +106,42 @@ def word_vectors(contexts):
     return np.hstack([contexts / np.maximum(norm, 1.0), own]).astype(np.float32)
 
 
-def pooled(docs: DataFrame, vectors) -> DataFrame:
-    """doc_id and features array<float>: mean of its words' vectors, root mean square of each dimension, log of 1 + words."""
-    sent = docs.sparkSession.sparkContext.broadcast(vectors)  # SLOTS * 2 * DIMS floats
+def pooled(texts, vectors):
+    """A row of features (float32) of each text (bytes or None): mean of its words' vectors, root mean square of each dimension, log of 1 + words."""
+    import numpy as np
 
-    def run(batches):
-        import numpy as np
+    slot_of, out = _slot_of(), []
+    for text in texts:
+        slots = list(map(slot_of, (text or b"").split()))
+        used, counts = np.unique(np.array(slots, np.int64), return_counts=True)
+        found = vectors[used]
+        weights = counts.astype(np.float32) / max(1, len(slots))
+        out.append(np.concatenate([weights @ found, np.sqrt(weights @ (found * found)), [np.float32(np.log1p(len(slots)))]]))
+    return np.array(out, np.float32).reshape(-1, 2 * vectors.shape[1] + 1)
 
-        slot_of, vectors = _slot_of(), sent.value
-        for batch in batches:
-            out = []
-            for text in batch.column(1):
-                slots = list(map(slot_of, (text.as_py() or b"").split()))
-                used, counts = np.unique(np.array(slots, np.int64), return_counts=True)
-                n, found = max(1, len(slots)), vectors[used]
-                weights = counts.astype(np.float32) / n
-                out.append(np.concatenate([weights @ found, np.sqrt(weights @ (found * found)), [np.float32(np.log1p(len(slots)))]]).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float32()))], ["doc_id", "features"])
 
-    return docs.mapInArrow(run, "doc_id long, features array<float>")
+def learned_rows(rows: DataFrame, labels: DataFrame, most_labelled: int) -> DataFrame:
+    """doc_id, text, quality of the labelled rows to learn from: all, or hardly more than the most_labelled with the smallest hashes.
+
+    Held-out rows and contradictory labels are left out; rows with one id come each.
+    """
+    told = labels.select(F.col("doc_id").cast("long").alias("told"), "quality").where("told IS NOT NULL AND quality IN (0, 1)")
+    told = told.groupBy("told").agg(F.min("quality").alias("quality"), F.max("quality").alias("hi")).where("quality = hi").where(~held_out(F.col("told"))).select("told", "quality")
+    told = written(told.join(rows.select(F.col("doc_id").alias("told")), "told", "left_semi"))
+    n = told.count()
+    if n > most_labelled:
+        share = (most_labelled + 10 * most_labelled**0.5 + 10) / n
+        told = told.where(id_hash(F.col("told")) < int(share * HASHES))
+        n = int(share * n)
+    return rows.join(sized(told, n, 24), F.col("doc_id") == F.col("told")).select("doc_id", "text", "quality")
+
+
+def held_out(doc_id):
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
+
+
+def id_hash(doc_id):
+    return F.pmod(F.xxhash64(doc_id), F.lit(HASHES))
 
 
 class Network:
@@ -191,31 +210,37 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     never learned from; contradictory labels aren't either. Scores come from the text alone. A null or
     empty text has the score of a document without words; a null id counts as not held out and isn't
     learned from; without labels of both kinds the score is the mean label, or 0.5. Repeated rows are
-    scored each. Other columns are ignored.
+    scored each; of rows with one id that is labelled, one is learned from. An empty table gives no rows.
+    Other columns are ignored. Texts are read three times: for the sums, the labelled ones, the scores.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    features = written(pooled(rows, word_vectors(context_vectors(rows.select("text")))))
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id IS NOT NULL AND quality IN (0, 1)")
-    told = told.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("hi")).where("quality = hi").where(~held_out)
-    known = features.where(~held_out).groupBy("doc_id").agg(F.min("features").alias("features")).join(told, "doc_id")
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled).select("quality", "features").toPandas()
+    vectors = docs.sparkSession.sparkContext.broadcast(word_vectors(context_vectors(rows.select("text"))))  # SLOTS * 2 * DIMS floats
+
+    def featured(batches):
+        for batch in sliced(batches, 1):
+            x = pooled((t.as_py() for t in batch.column(1)), vectors.value)
+            lists = pa.ListArray.from_arrays(pa.array(range(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2)], ["doc_id", "features", "quality"])
+
+    known = learned_rows(rows, labels, most_labelled).select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
+    known = known.mapInArrow(featured, "doc_id long, features array<float>, quality int")
+    known = known.groupBy("doc_id").agg(F.min("features").alias("features"), F.first("quality").alias("quality"))
+    sample = known.orderBy(id_hash(F.col("doc_id")), "doc_id").limit(most_labelled).select("quality", "features").toArrow()
     import numpy as np
 
-    y = sample["quality"].to_numpy(np.float64)
+    y = sample["quality"].to_numpy().astype(np.float64)
     if len(set(y)) == 2:
-        model = Network().fit(np.array(sample["features"].tolist(), np.float64), y)
+        x = sample["features"].combine_chunks().flatten().to_numpy().reshape(len(y), -1)
+        model = Network().fit(x.astype(np.float64), y)
     else:
         model = Constant(float(y.mean()) if len(y) else 0.5)
 
     def score(batches):
-        for batch in batches:
-            width = len(batch.column(1)[0]) if batch.num_rows else 0
-            x = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(-1, width) if width else np.zeros((0, 1))
-            s = model.score(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        for batch in sliced(batches, 1):
+            s = model.score(pooled((t.as_py() for t in batch.column(1)), vectors.value).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    out = features.select("doc_id", "features", held_out.alias("held_out")).mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    out = rows.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
     return out.withColumnRenamed("doc_id", id_col)
 
 
