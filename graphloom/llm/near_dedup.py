@@ -162,10 +162,8 @@ def home_tiles(stars: DataFrame, sizes: DataFrame, tile_rows: int, tile_bytes: i
 
     A pivot with more than one tile deals its sets in two ways, and is in every tile of them.
     """
-    home = stars.groupBy("id").agg(F.min("pivot").alias("pivot"))
-    home = written(home.join(sizes, "id").select("pivot", "id", "bytes"))
+    home = stars.groupBy("id").agg(F.min("pivot").alias("pivot")).join(sizes, "id").select("pivot", "id", "bytes")
     dealt = home.groupBy("pivot").agg(F.count("*").alias("sets"), F.sum("bytes").alias("bytes")).select("pivot", parts_of("sets", "bytes", tile_rows, tile_bytes).alias("parts"))
-    dealt = written(dealt)
     ways = F.explode(F.sequence(F.lit(0), F.when(F.col("parts") > 1, 1).otherwise(0))).alias("way")
     own = home.join(dealt, "pivot").select("pivot", "id", "parts", ways).withColumn("part", F.pmod(F.xxhash64("id", "way"), "parts").cast("int"))
     itself = dealt.select("pivot", F.col("pivot").alias("id"), "parts", ways).select("pivot", "id", "way", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -187,14 +185,13 @@ def open_tiles(stars: DataFrame, dealt: DataFrame, labels: DataFrame, sizes: Dat
         .select("pivot", "id", F.coalesce("label", "id").alias("label"), "bytes", (away & (F.col("home") != F.col("pivot"))).alias("guest"))
     )
     state = members.groupBy("pivot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("guest").alias("guests")).join(dealt, "pivot", "left")
-    waiting = written(state.where("lo < hi AND (guests OR coalesce(parts, 1) > 1)").select("pivot"))
+    waiting = state.where("lo < hi AND (guests OR coalesce(parts, 1) > 1)").select("pivot")
     left = members.join(waiting, "pivot", "left_semi")
     fill = left.groupBy("pivot", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).withColumn("parts", parts_of("n", "bytes", tile_rows, tile_bytes))
     heavy = (F.col("n") * 2 > tile_rows) | (F.col("bytes") * 2 > tile_bytes)
     light = fill.where(~heavy).groupBy("pivot").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).select("pivot", parts_of("n", "bytes", tile_rows, tile_bytes).alias("mixed"))
     ordered = Window.partitionBy("pivot").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)  # a star has at most two heavy labels for each tile's worth of sets
     alone = fill.where(heavy).select("pivot", "label", F.col("parts").alias("own"), F.coalesce(F.sum("parts").over(ordered), F.lit(0)).cast("int").alias("before"))
-    alone = written(alone)
     total = alone.groupBy("pivot").agg(F.sum("own").cast("int").alias("pure"))
     dealt_left = left.join(alone, ["pivot", "label"], "left").join(light, "pivot", "left").join(total, "pivot", "left")
     dealt_left = dealt_left.withColumns({"mixed": F.coalesce("mixed", F.lit(0)), "pure": F.coalesce("pure", F.lit(0))})
@@ -247,11 +244,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = written(keys.join(pivots, "key").where("id <> pivot").select("pivot", "id").distinct())
     sizes = per_set.groupBy("id").agg((F.max("n_shingles") * 8).alias("bytes"))
     again = named.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("n > 1")
-    repeated = written(again)
-    wanted = written(stars.select(F.explode(F.array("pivot", "id")).alias("id")).distinct())
+    repeated = again.limit(1).count() > 0
+    wanted = stars.select(F.explode(F.array("pivot", "id")).alias("id")).distinct()
     near = sized(wanted, wanted.count(), 16)
     sets = full_sets(slim.join(near, F.col("doc_id") == F.col("id"), "left_semi"), width, blocks, rows)
-    if repeated.limit(1).count():
+    if repeated:
         sets = sets.groupBy("id", "hashes").agg(F.first("blocks").alias("blocks"))
     homes, dealt = home_tiles(stars, sizes, tile_rows, tile_bytes)
     homes = homes.withColumns({"label": F.col("id"), "tile": F.col("part"), "part": F.lit(0)})
@@ -259,13 +256,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = components(found)
     tiles = written(open_tiles(stars, dealt, joined, sizes, tile_rows, tile_bytes))
     if tiles.limit(1).count():
-        ids = written(tiles.select(F.col("id").alias("open")).distinct())
+        ids = tiles.select(F.col("id").alias("open")).distinct()
         rest = full_sets(slim.join(sized(ids, ids.count(), 16), F.col("doc_id") == F.col("open"), "left_semi"), width, blocks, rows)
-        if repeated.limit(1).count():
+        if repeated:
             rest = rest.groupBy("id", "hashes").agg(F.first("blocks").alias("blocks"))
         found = found.unionByName(written(tile_links(rest.join(tiles, "id"), ["pivot", "lo", "hi"], similarity)))
-    own = named.join(repeated.where("lo <> hi").select("doc_id"), "doc_id", "left_semi").select("doc_id", "set_key").join(per_set.select("set_key", "id"), "set_key")
-    labels = components(found.unionByName(own.select(F.col("doc_id").alias("a"), F.col("id").alias("b"))))
+    if repeated:  # an id's sets are one document
+        own = named.join(again.where("lo <> hi").select("doc_id"), "doc_id", "left_semi").select("doc_id", "set_key").join(per_set.select("set_key", "id"), "set_key")
+        found = found.unionByName(own.select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
+    labels = components(found)
     by_set = per_set.join(labels, "id", "left").select("set_key", F.coalesce("label", "id").alias("component_id"))
     out = signed.join(by_set, "set_key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
