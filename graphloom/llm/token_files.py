@@ -1,7 +1,8 @@
 """Token ids in Arrow files of equal-length sequences.
 
 Each shard is an Arrow file whose batches hold two fixed-size lists per row: the
-ids of one sequence and the mask (a byte each) of those that are not padding. All rows have the
+ids of one sequence and the mask (a byte each) of those that are not padding. Masks
+are alike but for the last, so their lists are dictionary values. All rows have the
 same size, so a sequence's place follows from its number, and a memory-mapped file
 is read without copying. A second file per shard lists its documents: id, place of
 its first token in the shard, number of tokens. Shards follow each other in
@@ -48,20 +49,24 @@ def write_shard(uri: str, name: str, docs, dtype, length: int = LENGTH, batch_ro
     store, path = open_store(uri)
     store.create_dir(path, recursive=True)
     own = f"{path}/_{name}-{uuid.uuid4().hex}"
-    schema = pa.schema([pa.field("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), pa.field("mask", pa.list_(pa.uint8(), length))], {"length": str(length)})
+    mask = pa.dictionary(pa.int8(), pa.list_(pa.uint8(), length))
+    schema = pa.schema([pa.field("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), pa.field("mask", mask)], {"length": str(length)})
     full, ids, starts, sizes, held, total = length * batch_rows, [], [], [], [], 0
     waiting = 0
 
     def batch(flat):
         pad = -len(flat) % length
-        mask = np.ones(len(flat) + pad, np.uint8)
+        rows = (len(flat) + pad) // length
+        which, masks = np.zeros(rows, np.int8), np.ones(2 * length if pad else length, np.uint8)
         if pad:
-            mask[-pad:] = 0
             flat = np.concatenate([flat, np.zeros(pad, dtype)])
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), length) for x in (flat, mask)]
-        return pa.record_batch(lists, schema=schema)
+            masks[-pad:] = 0
+            which[-1] = 1
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), length) for x in (flat, masks)]
+        return pa.record_batch([lists[0], pa.DictionaryArray.from_arrays(pa.array(which), lists[1])], schema=schema)
 
-    with store.open_output_stream(own) as out, pa.ipc.new_file(out, schema) as writer:
+    deltas = pa.ipc.IpcWriteOptions(emit_dictionary_deltas=True)
+    with store.open_output_stream(own) as out, pa.ipc.new_file(out, schema, options=deltas) as writer:
         for doc_id, tokens in docs:
             ids.append(doc_id)
             starts.append(total)
@@ -103,20 +108,22 @@ class Shard:
         k = self.file.num_record_batches
         return 0 if not k else (k - 1) * self.rows + self.file.get_batch(k - 1).num_rows
 
-    def _flat(self, batch: int, column: int):
-        return self.file.get_batch(batch).column(column).flatten().to_numpy(zero_copy_only=True)
+    def _ids(self, batch: int):
+        return self.file.get_batch(batch).column(0).flatten().to_numpy(zero_copy_only=True)
 
     def sequence(self, i: int):
         """ids and mask (booleans) of the i-th sequence, both views of the file."""
-        at = i % self.rows * self.length
-        ids, mask = (self._flat(i // self.rows, c)[at : at + self.length] for c in (0, 1))
-        return ids, mask.view(bool)
+        at = i % self.rows
+        masks = self.file.get_batch(i // self.rows).column(1)
+        mask = masks.dictionary.flatten().to_numpy(zero_copy_only=True).view(bool)
+        which = masks.indices[at].as_py() * self.length
+        return self._ids(i // self.rows)[at * self.length : (at + 1) * self.length], mask[which : which + self.length]
 
     def tokens(self, start: int, count: int):
         """The ids from the start-th on, as views one after the other."""
         full = self.rows * self.length
         while count > 0:
-            part = self._flat(start // full, 0)[start % full : start % full + count]
+            part = self._ids(start // full)[start % full : start % full + count]
             yield part
             start += len(part)
             count -= len(part)
@@ -130,8 +137,8 @@ class Encoder:
     """Ids of a text's white-space separated words, as the tokenizer gives them for the whole text.
 
     The tokenizer drops white space, so words are encoded alone and remembered. It parts a letter or digit from
-    punctuation after it, so an ASCII letter or digit and the closing punctuation of its word are too
-    (after others, lower-casing may leave a mark that goes with the punctuation); and it lower-cases, so an
+    punctuation after it, so a Latin letter or digit and the closing punctuation of its word are too
+    (after others, as the dotted capital I, its normal form may end in a mark that goes with the punctuation); and it lower-cases, so an
     ASCII word has the ids of its lower-case form. Special tokens are cut out of the text as the tokenizer
     cuts them, before all else. Added tokens of other kinds reach beyond words: such a tokenizer gets whole texts.
     """
@@ -164,7 +171,7 @@ class Encoder:
     def _word(self, word: bytes) -> bytes:
         if b"'" not in word:
             body = word.rstrip(TAIL)
-            if body and len(body) < len(word) and body[-1:].isalnum():  # of bytes: ASCII only
+            if body and len(body) < len(word) and (last := body.decode("utf-8", "replace")[-1]).isalnum() and last < "\u0250" and last != "\u0130":
                 return self.memo[body] + self.memo[word[len(body) :]]
             low = word.lower() if word.isascii() else word
             if low != word:
@@ -176,9 +183,9 @@ class Encoder:
         if not self.by_words:
             return self._packed(self.whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
         get = self.memo.__getitem__
-        parts = self.cut(text)
-        if len(parts) == 1:
+        if not any(token in text for token in self.special):
             return b"".join(map(get, text.split()))
+        parts = self.cut(text)
         return b"".join(self.special[part] if k % 2 else b"".join(map(get, part.split())) for k, part in enumerate(parts))
 
 
