@@ -12,8 +12,9 @@ from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..storage import sized, written
+from ..storage import shared_dir, sized, written
 
 #: Edges of a component that one task may hold; larger ones are worked on as tables.
 COMPONENT_EDGES = 200_000
@@ -27,61 +28,76 @@ def oriented(edges: DataFrame, direction: str = "forward") -> DataFrame:
     return {"forward": edges, "reverse": back, "both": edges.unionByName(back)}[direction]
 
 
-def bfs(edges: DataFrame, sources: DataFrame, direction: str = "forward", max_hops: int = 100, blocked: DataFrame | None = None) -> DataFrame:
+def bfs(edges: DataFrame, sources: DataFrame, direction: str = "forward", max_hops: int | None = None, blocked: DataFrame | None = None) -> DataFrame:
     """(query, node, hops): hops of each node from its query's sources (query, node), which have 0.
 
-    Nodes of blocked (node) are reached but not walked on from. All queries advance together.
+    Walks until nothing new is found, or max_hops if given. Nodes of blocked (node) are reached but not
+    walked on from. All queries advance together. What is found at a hop is a folder of one table,
+    so that every round reads what is known by one scan.
     """
-    steps = oriented(edges.select("src", "dst"), direction).distinct()
-    frontier = written(sources.select("query", "node").distinct().withColumn("hops", F.lit(0)))
-    seen = [frontier]
-    for hop in range(1, max_hops + 1):
+    spark = edges.sparkSession
+    steps = written(oriented(edges.select("src", "dst"), direction).distinct())
+    base = shared_dir(spark)
+    start = sources.select("query", "node").distinct()
+    start.write.parquet(f"{base}/hops=0")
+    plain = StructType([StructField(f.name, f.dataType) for f in start.schema])
+    read = lambda path: spark.read.schema(plain).parquet(path)
+    everything = lambda: spark.read.schema(StructType([*plain.fields, StructField("hops", IntegerType())])).option("basePath", base).parquet(base)
+    for hop in count(1):
+        frontier = read(f"{base}/hops={hop - 1}")
+        if max_hops is not None and hop > max_hops or not frontier.limit(1).count():
+            return everything()
         at = frontier if blocked is None or hop == 1 else frontier.join(blocked, "node", "left_anti")
         near = at.join(steps, F.col("node") == F.col("src")).select("query", F.col("dst").alias("node")).distinct()
-        known = reduce(DataFrame.unionByName, seen)
-        frontier = written(near.join(known, ["query", "node"], "left_anti").withColumn("hops", F.lit(hop)))
-        if not frontier.limit(1).count():
-            break
-        seen.append(frontier)
-    return reduce(DataFrame.unionByName, seen)
+        near.join(everything().drop("hops"), ["query", "node"], "left_anti").write.parquet(f"{base}/hops={hop}")
 
 
-def distances(edges: DataFrame, sources: DataFrame, cutoff: float, direction: str = "forward", max_rounds: int = 100) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame, cutoff: float, direction: str = "forward") -> DataFrame:
     """(query, node, dist): cheapest cost over edges (src, dst, cost) from any source, up to cutoff inclusive; sources themselves are left out.
 
-    Both directions: the smaller of the two walks' distances, not walks that turn.
+    Costs must not be negative. Runs until no distance falls. Both directions: the smaller of the two
+    walks' distances, not walks that turn.
     """
     if direction == "both":
-        ways = [distances(edges, sources, cutoff, d, max_rounds) for d in ("forward", "reverse")]
+        ways = [distances(edges, sources, cutoff, d) for d in ("forward", "reverse")]
         return ways[0].unionByName(ways[1]).groupBy("query", "node").agg(F.min("dist").alias("dist"))
     steps = written(oriented(edges.select("src", "dst", "cost"), direction).groupBy("src", "dst").agg(F.min("cost").alias("cost")))
+    _no_negative(steps)
     start = sources.select("query", "node").distinct()
     best = written(start.withColumn("dist", F.lit(0.0)))
     moved = best
-    for _ in range(max_rounds):
+    while True:
         near = moved.join(steps, F.col("node") == F.col("src")).select("query", F.col("dst").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"))
         offered = near.where(F.col("dist") <= cutoff).groupBy("query", "node").agg(F.min("dist").alias("offer"))
         new = written(best.join(offered, ["query", "node"], "full").select("query", "node", F.least("dist", "offer").alias("dist"), (F.col("dist").isNull() | (F.col("offer") < F.col("dist"))).alias("moved")))
         moved = new.where("moved").select("query", "node", "dist")
         best = new.select("query", "node", "dist")
         if not moved.limit(1).count():
-            break
-    return best.join(start, ["query", "node"], "left_anti")
+            return best.join(start, ["query", "node"], "left_anti")
+
 
+def _no_negative(steps: DataFrame) -> None:
+    if steps.where("cost < 0").limit(1).count():
+        raise ValueError("costs must not be negative")
 
-def confirmed_reachable(edges: DataFrame, sources: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(query, node, dist, confirmed): undirected cheapest walks over (src, dst, cost, confirmed), and whether the walk uses a confirmed edge; at equal cost one that does is taken."""
+
+def confirmed_reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(query, node, dist, confirmed): undirected cheapest walks over (src, dst, cost, confirmed), and whether the walk uses a confirmed edge; at equal cost one that does is taken.
+
+    Costs must not be negative. Runs until no walk gets better; each round walks on only from where one did.
+    """
     steps = written(oriented(edges.select("src", "dst", "cost", "confirmed"), "both"))
-    best = written(sources.select("query", "node", F.struct(F.lit(0.0).alias("dist"), F.lit(True).alias("plain")).alias("at")))
-    for _ in range(max_rounds):
+    _no_negative(steps)
+    best = written(sources.select("query", "node", F.struct(F.lit(0.0).alias("dist"), F.lit(True).alias("plain")).alias("at")).distinct())
+    moved = best
+    while True:
         way = F.struct((F.col("at.dist") + F.col("cost")).alias("dist"), (F.col("at.plain") & ~F.col("confirmed")).alias("plain"))
-        near = best.join(steps, F.col("node") == F.col("src")).select("query", F.col("dst").alias("node"), way.alias("at"))
-        new = near.unionByName(best).groupBy("query", "node").agg(F.min("at").alias("at"))
-        new = written(new.join(best.withColumnRenamed("at", "old"), ["query", "node"], "left"))
+        offered = moved.join(steps, F.col("node") == F.col("src")).select("query", F.col("dst").alias("node"), way.alias("at")).groupBy("query", "node").agg(F.min("at").alias("offer"))
+        new = written(best.join(offered, ["query", "node"], "full").select("query", "node", F.least("at", "offer").alias("at"), (F.col("at").isNull() | (F.col("offer") < F.col("at"))).alias("moved")))
+        moved = new.where("moved").select("query", "node", "at")
         best = new.select("query", "node", "at")
-        if not new.where("old IS NULL OR at <> old").limit(1).count():
-            break
-    return best.select("query", "node", "at.dist", (~F.col("at.plain")).alias("confirmed")).join(sources, ["query", "node"], "left_anti")
+        if not moved.limit(1).count():
+            return best.select("query", "node", "at.dist", (~F.col("at.plain")).alias("confirmed")).join(sources, ["query", "node"], "left_anti")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -185,7 +201,7 @@ def _split_by_reach(edges: DataFrame) -> DataFrame:
             if not new.where("moved").limit(1).count():
                 break
         inside = left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b")
-        back = bfs(written(inside.select("src", "dst")), colour.where("node = colour").select(F.col("colour").alias("query"), "node"), "reverse", max_hops=1 << 30)
+        back = bfs(written(inside.select("src", "dst")), colour.where("node = colour").select(F.col("colour").alias("query"), "node"), "reverse")
         members = written(back.select("node", F.col("query").alias("colour")))
         named = members.groupBy("colour").agg(F.min("node").alias("scc")).join(members, "colour").select("node", "scc")
         done.append(written(named))
@@ -217,28 +233,33 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     return rank.select("node", "rank")
 
 
-def longest_path(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(node, depth): edges on the longest path that ends in each node of a DAG."""
+def longest_path(edges: DataFrame) -> DataFrame:
+    """(node, depth): edges on the longest path that ends in each node of a DAG; a cycle is an error."""
     plain = written(edges.select("src", "dst").distinct())
     depth = written(plain.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("depth", F.lit(0)))
-    for _ in range(max_rounds):
-        near = plain.join(depth.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg((F.max("depth") + 1).alias("near"))
-        new = written(depth.join(near, "node", "left").select("node", F.greatest("depth", "near").alias("depth"), (F.col("near") > F.col("depth")).alias("moved")))
+    nodes, moved = depth.count(), depth
+    for _ in range(nodes):  # a path of more edges than nodes has a cycle
+        near = moved.join(plain, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg((F.max("depth") + 1).alias("near"))
+        new = written(depth.join(near, "node", "left").select("node", F.greatest("depth", "near").alias("depth"), (F.coalesce(F.col("near") > F.col("depth"), F.lit(False))).alias("moved")))
         depth = new.select("node", "depth")
-        if not new.where("moved").limit(1).count():
+        moved = new.where("moved").select("node", "depth")
+        if not moved.limit(1).count():
             return depth
-    raise ValueError("a cycle: longest paths need a DAG")
+    if nodes:
+        raise ValueError("a cycle: longest paths need a DAG")
+    return depth
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, exact_nodes: int = 300, samples: int = 25) -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame, exact_nodes: int | None = 300, samples: int = 25) -> DataFrame:
     """(node, choke): share of shortest paths through each node, normalised, 6 digits.
 
-    Exact up to exact_nodes nodes; beyond, from the samples nodes with the smallest hashes, scaled up.
+    Exact up to exact_nodes nodes (None: always); beyond, from the samples nodes with the smallest hashes, scaled up.
     Counts of shortest paths go outwards level by level for all sources at once, dependencies back.
     """
     n = nodes.count()
     steps = written(edges.select("src", "dst").where("src <> dst").distinct().join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi"))
-    sources = nodes if n <= exact_nodes else nodes.orderBy(F.xxhash64("node"), "node").limit(samples)
+    exact = exact_nodes is None or n <= exact_nodes
+    sources = nodes if exact else nodes.orderBy(F.xxhash64("node"), "node").limit(samples)
     levels = [written(sources.select(F.col("node").alias("query"), "node", F.lit(1.0).alias("paths")))]
     while True:
         known = reduce(DataFrame.unionByName, levels).select("query", "node")
@@ -257,7 +278,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, exact_nodes: int = 300, samp
         below = written(dep)
         scores.append(below.select("node", "dep"))
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    if n > exact_nodes:
+    if not exact:
         scale *= n / min(samples, n)
     if not scores:
         return nodes.select("node", F.lit(0.0).alias("choke"))
@@ -266,17 +287,23 @@ def betweenness(nodes: DataFrame, edges: DataFrame, exact_nodes: int = 300, samp
 
 
 def ancestors(edges: DataFrame, order: Column, max_depth: int = 10) -> DataFrame:
-    """(node, ancestor, rank): ancestors over EXTENDS-like edges (src, dst) in depth-first pre-order, siblings by order, each once, up to max_depth."""
-    step = edges.select("src", "dst", F.row_number().over(Window.partitionBy("src").orderBy(order)).alias("pos"))  # one class's bases
+    """(node, ancestor, rank): ancestors over EXTENDS-like edges (src, dst) in depth-first pre-order, siblings by order, each once, up to max_depth.
+
+    Of several ways of one length to an ancestor only the first can lead to the first place of anything
+    above it, so each round keeps one way for each node and ancestor.
+    """
+    step = written(edges.select("src", "dst", F.row_number().over(Window.partitionBy("src").orderBy(order)).alias("pos")))  # one class's bases
     path = lambda pos: F.format_string("%06d", pos)
-    level = step.select(F.col("src").alias("node"), F.col("dst").alias("ancestor"), path(F.col("pos")).alias("path"), F.array("src", "dst").alias("seen"))
-    levels = [level]
+    first = lambda df: written(df.groupBy("node", "ancestor").agg(F.min(F.struct("path", "seen")).alias("b")).select("node", "ancestor", "b.path", "b.seen"))
+    levels = [first(step.select(F.col("src").alias("node"), F.col("dst").alias("ancestor"), path(F.col("pos")).alias("path"), F.array("src", "dst").alias("seen")))]
     for _ in range(max_depth - 1):
-        level = level.join(step, F.col("ancestor") == F.col("src")).where(~F.array_contains("seen", F.col("dst")))
-        level = level.select("node", F.col("dst").alias("ancestor"), F.concat("path", path(F.col("pos"))).alias("path"), F.concat("seen", F.array("dst")).alias("seen"))
+        near = levels[-1].join(step, F.col("ancestor") == F.col("src")).where(~F.array_contains("seen", F.col("dst")))
+        level = first(near.select("node", F.col("dst").alias("ancestor"), F.concat("path", path(F.col("pos"))).alias("path"), F.concat("seen", F.array("dst")).alias("seen")))
+        if not level.limit(1).count():
+            break
         levels.append(level)
-    first = reduce(DataFrame.unionByName, levels).groupBy("node", "ancestor").agg(F.min("path").alias("path"))
-    return first.select("node", "ancestor", F.row_number().over(Window.partitionBy("node").orderBy("path")).alias("rank"))
+    best = reduce(DataFrame.unionByName, (x.select("node", "ancestor", "path") for x in levels)).groupBy("node", "ancestor").agg(F.min("path").alias("path"))
+    return best.select("node", "ancestor", F.row_number().over(Window.partitionBy("node").orderBy("path")).alias("rank"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -295,8 +322,8 @@ def graph_metrics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     inside = written(weak.join(F.broadcast(largest), "component").select("node", "component", "size"))  # one row is sent
     part = edges.join(inside.select(F.col("node").alias("src")), "src", "left_semi")
     one = lambda df: df.select(F.lit(0).alias("query"), "node")
-    far = bfs(part, one(inside.orderBy("node").limit(1)), "both", 1 << 30).orderBy(F.desc("hops"), "node").limit(1)
-    sweep = bfs(part, one(far), "both", 1 << 30).agg(F.max("hops").alias("diameter"))
+    far = bfs(part, one(inside.orderBy("node").limit(1)), "both").orderBy(F.desc("hops"), "node").limit(1)
+    sweep = bfs(part, one(far), "both").agg(F.max("hops").alias("diameter"))
     share = F.round(F.col("isolated") / F.col("nodes"), 4).alias("isolated_ratio")
     return counts.join(F.broadcast(inside.agg(F.max("size").alias("largest")))).join(F.broadcast(sweep)).select("nodes", share, "largest", "diameter")  # single rows
 

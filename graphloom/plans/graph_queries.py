@@ -43,7 +43,7 @@ def bounded_reverse_reach(t):
 _COST = "1 / CASE relation WHEN 'EXTENDS' THEN 0.85 WHEN 'IMPLEMENTS' THEN 0.8 ELSE 1.0 END::DOUBLE"
 
 
-@query(f"""WITH RECURSIVE {FK}, e AS (SELECT src, dst, {_COST} AS cost FROM fk), b(seed, node, dist) AS (SELECT 'r:' || r_regionkey, 'r:' || r_regionkey, 0.0::DOUBLE FROM region UNION SELECT seed, src, dist + cost FROM b JOIN e ON dst = node WHERE dist + cost <= 4.0)
+@query(f"""WITH RECURSIVE {FK}, e AS (SELECT src, dst, {_COST} AS cost FROM fk), b(seed, node, dist) AS (SELECT 'r:' || r_regionkey, 'r:' || r_regionkey, 0.0::DOUBLE FROM region UNION SELECT seed, src, dist + cost FROM b JOIN e ON dst = node WHERE dist + cost <= 5.0)
 SELECT seed, node, round(min(dist), 6) AS dist FROM b WHERE node <> seed GROUP BY seed, node""")
 def topological_distances(t):
     from ..functions import scores
@@ -119,11 +119,11 @@ def relative_depth(t):
     return flow.relative_depth(views.fk_edges(t), s.where("kind = 'function'").select(node), s.where("kind = 'class'").select(node))
 
 
-_PR = "pr{k} AS (SELECT n.node, 0.15 / c + 0.85 * (SELECT coalesce(sum(rank), 0) FROM pr{j} WHERE node NOT IN (SELECT src FROM tr)) / c + 0.85 * coalesce(sum(q.rank / d.o), 0) AS rank FROM nodes n CROSS JOIN cnt LEFT JOIN tr ON tr.dst = n.node LEFT JOIN pr{j} q ON q.node = tr.src LEFT JOIN deg d ON d.src = tr.src GROUP BY n.node, c)"
-_RANKS = f"{TR}, nodes AS (SELECT src AS node FROM tr UNION SELECT dst FROM tr), cnt AS (SELECT count(*)::DOUBLE AS c FROM nodes), deg AS (SELECT src, count(*)::DOUBLE AS o FROM tr GROUP BY src), pr0 AS (SELECT node, 1 / c AS rank FROM nodes, cnt), " + ", ".join(_PR.format(k=k, j=k - 1) for k in range(1, 6))
-
-
-@query(f"WITH {_RANKS} SELECT node, round(rank, 8) AS rank FROM pr5")
+@query(f"""WITH RECURSIVE {TR}, nodes AS (SELECT src AS node FROM tr UNION SELECT dst FROM tr), cnt AS (SELECT count(*)::DOUBLE AS c FROM nodes), ways AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS o FROM tr),
+pr(k, node, rank, change) AS (SELECT 0, node, 1 / c, c FROM nodes, cnt UNION ALL SELECT k + 1, node, new, sum(abs(new - rank)) OVER () FROM (
+  SELECT p.k, p.node, p.rank, (0.15 + 0.85 * loose) / c + 0.85 * coalesce(got, 0) AS new FROM pr p CROSS JOIN cnt LEFT JOIN (SELECT dst, sum(q.rank / o) AS got FROM pr q JOIN ways ON ways.src = q.node GROUP BY dst) g ON g.dst = p.node
+  CROSS JOIN (SELECT coalesce(sum(rank), 0) AS loose FROM pr WHERE node NOT IN (SELECT src FROM tr)) l WHERE p.change >= c * 1e-6))
+SELECT node, round(rank, 8) AS rank FROM pr WHERE k = (SELECT max(k) FROM pr)""")
 def pagerank(t):
     edges = written(views.transitions(t))
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
@@ -176,7 +176,7 @@ def global_sink_mass(t):
 
 @query("""WITH RECURSIVE e AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % 2000 AS dst, 1 AS k FROM part UNION ALL SELECT p_partkey, (p_partkey * 13 + 5) % 2000, 2 FROM part),
 s AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY k) AS pos FROM e),
-a(node, anc, path, seen, depth) AS (SELECT src, dst, printf('%06d', pos), [src, dst], 1 FROM s UNION ALL SELECT node, s.dst, path || printf('%06d', pos), list_append(seen, s.dst), depth + 1 FROM a JOIN s ON s.src = a.anc WHERE depth < 4 AND NOT list_contains(seen, s.dst))
+a(node, anc, path, seen, depth) AS (SELECT src, dst, printf('%06d', pos), [src, dst], 1 FROM s UNION ALL SELECT node, s.dst, path || printf('%06d', pos), list_append(seen, s.dst), depth + 1 FROM a JOIN s ON s.src = a.anc WHERE depth < 10 AND NOT list_contains(seen, s.dst))
 SELECT node, anc AS ancestor, (row_number() OVER (PARTITION BY node ORDER BY p))::INTEGER AS rank FROM (SELECT node, anc, min(path) AS p FROM a GROUP BY 1, 2)""")
 def mro_ancestors(t):
     k = F.col("p_partkey")

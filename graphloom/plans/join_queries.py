@@ -135,10 +135,10 @@ def usage_closure(t):
     return joins.usage_closure(targets, views.fk_edges(t), held)
 
 
-@query(f"WITH {FK}, {SYM} SELECT a.module AS caller_module, fk.dst AS target, count(*)::BIGINT AS callers FROM fk JOIN sym a ON a.qname = fk.src JOIN sym b ON b.qname = fk.dst WHERE a.module <> b.module AND fk.dst LIKE 'p:%' AND length(fk.dst) % 2 = 0 GROUP BY 1, 2")
+@query(f"WITH {FK}, {SYM} SELECT a.module AS caller_module, fk.dst AS target, count(*)::BIGINT AS callers FROM fk JOIN sym a ON a.qname = fk.src JOIN sym b ON b.qname = fk.dst WHERE a.module <> b.module AND fk.dst LIKE 'p:%' GROUP BY 1, 2")
 def visibility_violations(t):
     s = views.symbols(t)
-    e = views.fk_edges(t).where("dst LIKE 'p:%' AND length(dst) % 2 = 0")
+    e = views.fk_edges(t).where("dst LIKE 'p:%'")
     joined = e.join(s.select(F.col("qname").alias("src"), F.col("module").alias("caller_module")), "src").join(s.select(F.col("qname").alias("dst"), F.col("module").alias("own")), "dst")
     return joined.where("caller_module <> own").groupBy("caller_module", F.col("dst").alias("target")).agg(F.count("*").alias("callers"))
 

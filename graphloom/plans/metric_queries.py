@@ -51,10 +51,10 @@ def coverage_summary(t):
 
 
 @query(f"""WITH {P}, b(feature, bit) AS (VALUES {_BITS}), idf AS (SELECT bit, ln((SELECT count(*) FROM pp)::DOUBLE / (1 + count(*))) AS idf FROM pp, b WHERE mask & (1::BIGINT << bit) <> 0 GROUP BY bit),
-m AS (SELECT p_name AS query, bit_or(mask) AS mask, sum(p_size) AS tokens FROM pp WHERE p_size > 45 GROUP BY 1) SELECT query, round(sum(idf) * 1000 / max(tokens), 5) AS fcc FROM m JOIN idf ON mask & (1::BIGINT << bit) <> 0 GROUP BY query""")
+m AS (SELECT p_name AS query, bit_or(mask) AS mask, sum(p_size) AS tokens FROM pp GROUP BY 1) SELECT query, round(sum(idf) * 1000 / max(tokens), 5) AS fcc FROM m JOIN idf ON mask & (1::BIGINT << bit) <> 0 GROUP BY query""")
 def feature_coverage_per_token(t):
     p = views.part_paths(t)
-    packages = p.where("p_size > 45").select(F.col("p_name").alias("query"), "mask", F.col("p_size").alias("tokens"))
+    packages = p.select(F.col("p_name").alias("query"), "mask", F.col("p_size").alias("tokens"))
     return metrics.covered_idf(packages, metrics.bit_frequencies(p)).withColumn("fcc", F.round("fcc", 5))
 
 

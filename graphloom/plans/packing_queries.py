@@ -172,7 +172,7 @@ def module_contracts(t):
     return profiles.subsystem_profile(edges, symbols, contracts).select("module", "purity_ratio", "state_locality")
 
 
-@query(f"WITH {FK} SELECT DISTINCT b.dst AS seed, b.src AS direct, a.src AS transitive FROM fk b JOIN fk a ON a.dst = b.src WHERE b.dst LIKE 's:%' AND a.relation = 'INSTANTIATES' AND substr(b.dst, 3)::INT % 10 = substr(a.src, 3)::INT % 10")
+@query(f"WITH {FK} SELECT DISTINCT b.dst AS seed, b.src AS direct, a.src AS transitive FROM fk b JOIN fk a ON a.dst = b.src WHERE b.dst LIKE 's:%' AND a.relation = 'INSTANTIATES'")
 def callers_of_callers(t):
     e = views.fk_edges(t)
     b = e.where("dst LIKE 's:%'").select(F.col("dst").alias("seed"), F.col("src").alias("direct"))

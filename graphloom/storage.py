@@ -15,9 +15,11 @@ BROADCAST_LIMIT = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset, as in tests, under a folder of this machine."""
+    """A new folder under spark.checkpoint.dir; where that is unset, under a folder of this machine on a local master, as in tests, and an error on any other."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + _own.setdefault("dir", tempfile.mkdtemp(prefix="graphloom-"))
     return f"{base.rstrip('/')}/graphloom-{uuid.uuid4().hex}"
 
