@@ -55,6 +55,14 @@ def shares_package(a: Column, b: Column) -> Column:
     return F.substring_index(a, ".", 1) == F.substring_index(b, ".", 1)
 
 
+def relative_module(module: Column, is_package: Column, level: Column, name: Column) -> Column:
+    """The module that 'from <level dots>name import' names: level - 1 steps up from the module's package, level 0 the name itself."""
+    parts = F.split(module, r"\.")
+    base = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - level + F.when(is_package, 1).otherwise(0), F.lit(0)))
+    tail = F.when(F.coalesce(name, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array(name))
+    return F.when(level == 0, F.coalesce(name, F.lit(""))).otherwise(F.array_join(F.concat(base, tail), "."))
+
+
 def chain_segments(chain: Column) -> Column:
     """Segments of a plain dotted reference, null for anything else."""
     return F.when(chain.rlike(r"^[A-Za-z_]\w*(\.[A-Za-z_]\w*)*$"), F.split(chain, r"\."))

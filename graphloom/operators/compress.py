@@ -215,11 +215,24 @@ def enforce_budget(packages: DataFrame, tolerance: float = 0.05) -> DataFrame:
     return df.withColumn("stub", F.col("free") & (F.col("total") - saved > F.col("budget") * (1 + tolerance))).drop("free", "total")
 
 
-def signature_stub(header: Column, doc: Column) -> Column:
-    """A header and, if there is one, the first line of its documentation."""
-    return F.when(F.coalesce(F.trim(doc), F.lit("")) == "", F.concat(header, F.lit(" ..."))).otherwise(F.concat(header, F.lit('\n    """'), F.substring_index(F.trim(doc), "\n", 1), F.lit('"""\n    ...')))
+def signature_stub(text: Column, most: int = 10) -> Column:
+    """A definition's lines up to the first that ends in ':' and '...'; null if none of the first most lines does."""
+    lines = F.slice(F.split(text, "\n"), 1, most)
+    ends = F.array_position(F.transform(lines, lambda x: F.rtrim(x).endswith(":")), F.lit(True)).cast("int")
+    return F.when(ends > 0, F.concat(F.array_join(F.slice(lines, F.lit(1), ends), "\n"), F.lit(" ...")))
 
 
-def oversized_literal(text: Column, elements: Column, most: int = 400) -> Column:
-    """A literal's text, or of one over most characters its beginning and how many elements it has."""
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, 80), F.lit(f" ... ["), elements.cast("string"), F.lit(" elements, "), F.length(text).cast("string"), F.lit(" characters]")))
+def constant_stub(name: Column, text: Column, entries: Column, tokens: Column, most: int = 64) -> Column:
+    """A constant's text, or of one over most tokens its name, bracket and number of entries; null if it is no display of any."""
+    bracket = F.regexp_extract(text, r"=\s*([\[{(])", 1)
+    close = F.translate(bracket, "[{(", "]})")
+    return F.when(tokens <= most, text).when(bracket != "", F.concat(name, F.lit(" = "), bracket, F.lit("..."), close, F.lit("  # "), entries.cast("string"), F.lit(" entries")))
+
+
+#: Tags that say that a symbol reaches outside.
+IO_TAGS = ("#db_read", "#db_write", "#external_io", "#event_producer", "#io_sink")
+
+
+def infallible(purity: Column, complexity: Column, throws: Column, effects: Column, tags: Column) -> Column:
+    """Whether nothing can go wrong in a symbol: pure, of two paths at most, nothing thrown, no effects and no tag that reaches outside."""
+    return (purity == "pure") & (complexity <= 2) & (F.size(throws) == 0) & (F.size(effects) == 0) & ~F.arrays_overlap(tags, F.array(*map(F.lit, IO_TAGS)))

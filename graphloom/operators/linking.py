@@ -22,10 +22,18 @@ def heritage_edges(clauses: DataFrame, imports: DataFrame, symbols: DataFrame, w
     return keyed.select(F.col("qname").alias("src"), F.concat("target", rest).alias("dst"), "relation").join(types, "dst", "left_semi").select("src", "dst", "relation").distinct()
 
 
+def type_names(asked: DataFrame, types: DataFrame) -> DataFrame:
+    """(module, name, qname) of asked (module, name): a type of the module itself, else the only one of that name anywhere; types: module, name, qname."""
+    only = types.groupBy("name").agg(F.min("qname").alias("q1"), F.max("qname").alias("q2")).where("q1 = q2").select("name", F.col("q1").alias("only"))
+    own = types.groupBy("module", "name").agg(F.min("qname").alias("own"))
+    return asked.select("module", "name").distinct().join(own, ["module", "name"], "left").join(only, "name", "left").select("module", "name", F.coalesce("own", "only").alias("qname")).where("qname IS NOT NULL")
+
+
 def embed_edges(embeds: DataFrame, types: DataFrame) -> DataFrame:
-    """(src, dst, relation EMBEDS) of embeds (module, name, embedded) whose embedded type is one of the same module; types: module, name, qname."""
-    of = lambda name, out: types.select("module", F.col("name").alias(name), F.col("qname").alias(out))
-    return embeds.join(of("name", "src"), ["module", "name"]).join(of("embedded", "dst"), ["module", "embedded"]).select("src", "dst", F.lit("EMBEDS").alias("relation")).distinct()
+    """(src, dst, relation EMBEDS) of embeds (module, name, embedded) whose embedded type is known, by type_names; types: module, name, qname."""
+    known = type_names(embeds.select("module", F.col("embedded").alias("name")), types).select("module", F.col("name").alias("embedded"), F.col("qname").alias("dst"))
+    own = types.select("module", "name", F.col("qname").alias("src"))
+    return embeds.join(own, ["module", "name"]).join(known, ["module", "embedded"]).select("src", "dst", F.lit("EMBEDS").alias("relation")).distinct()
 
 
 def promoted_methods(asked: DataFrame, embeds: DataFrame, methods: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import joins, traces
+from ..operators import joins, linking, traces
 from ..storage import written
 from . import views
 from .catalog import query
@@ -135,12 +135,10 @@ def usage_closure(t):
     return joins.usage_closure(targets, views.fk_edges(t), held)
 
 
-@query(f"WITH {FK}, {SYM} SELECT a.module AS caller_module, fk.dst AS target, count(*)::BIGINT AS callers FROM fk JOIN sym a ON a.qname = fk.src JOIN sym b ON b.qname = fk.dst WHERE a.module <> b.module AND fk.dst LIKE 'p:%' GROUP BY 1, 2")
+@query(f"WITH {FK}, {SYM} SELECT a.module AS caller_module, fk.dst AS target, count(*)::BIGINT AS callers FROM fk JOIN sym a ON a.qname = fk.src JOIN sym b ON b.qname = fk.dst WHERE a.module <> b.module AND fk.dst IN (SELECT 'p:' || p_partkey FROM part WHERE p_size > 25) GROUP BY 1, 2")
 def visibility_violations(t):
-    s = views.symbols(t)
-    e = views.fk_edges(t).where("dst LIKE 'p:%'")
-    joined = e.join(s.select(F.col("qname").alias("src"), F.col("module").alias("caller_module")), "src").join(s.select(F.col("qname").alias("dst"), F.col("module").alias("own")), "dst")
-    return joined.where("caller_module <> own").groupBy("caller_module", F.col("dst").alias("target")).agg(F.count("*").alias("callers"))
+    private = t("part").where("p_size > 25").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("id"))
+    return linking.visibility_violations(views.fk_edges(t), views.symbols(t), private)
 
 
 @query("""WITH e AS (SELECT l_orderkey AS src, l_partkey AS dst, CASE WHEN l_returnflag = 'N' THEN 'OVERRIDES' ELSE 'CALLS' END AS relation, l_linenumber AS args FROM lineitem), c AS (SELECT p_partkey AS qname, p_size % 7 AS params FROM part)
@@ -283,7 +281,6 @@ def filter_by_language_tier(t):
     return joins.filter_by_tier(nodes, views.fk_edges(t), "tier1")[1].select("src", "dst")
 
 
-@query("SELECT round(avg(CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 0 END), 4) AS ratio, count(*)::BIGINT AS calls FROM lineitem")
+@query("SELECT round(avg(CASE WHEN p_size > 25 THEN 1 ELSE 0 END), 4) AS ratio, count(*)::BIGINT AS calls FROM lineitem LEFT JOIN part ON p_partkey = l_partkey")
 def call_resolution_ratio(t):
-    resolved = (F.col("l_partkey") % 3 == 0).cast("int")
-    return t("lineitem").agg(F.coalesce(F.round(F.avg(resolved), 4), F.lit(1.0)).alias("ratio"), F.count("*").alias("calls"))
+    return linking.resolution_ratio(t("lineitem").select(F.col("l_partkey").alias("target")), t("part").where("p_size > 25").select(F.col("p_partkey").alias("qname")))

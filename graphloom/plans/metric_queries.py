@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import bits
-from ..operators import metrics, profiles
+from ..operators import metrics, profiles, reports
 from . import views
 from .catalog import query
 
@@ -120,11 +120,74 @@ def merge_report_rows(t):
     return metrics.latest_by_key(t("events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
 
 
-@query("SELECT user_id % 10 AS cell, round(avg(value) FILTER (event_type = 'click'), 5) AS click, round(avg(value) FILTER (event_type = 'view'), 5) AS view, round(avg(value) FILTER (event_type = 'purchase'), 5) AS purchase, avg(value) FILTER (event_type = 'click') < avg(value) FILTER (event_type = 'view') AS below, avg(value) FILTER (event_type = 'click') < avg(value) FILTER (event_type = 'purchase') - 0.2 AS under_oracle FROM events GROUP BY 1")
+_CELLS = "cells AS (SELECT user_id % 40 AS task, event_type AS engine, 1 AS budget, value AS tsr FROM events), wide AS (SELECT task, budget, avg(tsr) FILTER (engine = 'click') AS own, avg(tsr) FILTER (engine = 'view') AS b1, avg(tsr) FILTER (engine = 'cart') AS b2, avg(tsr) FILTER (engine = 'purchase') AS oracle FROM cells GROUP BY 1, 2)"
+
+
+def _cells(t):
+    return t("events").select((F.col("user_id") % 40).alias("task"), F.col("event_type").alias("engine"), F.lit(1).alias("budget"), F.col("value").alias("tsr"), (F.col("value") % 7).alias("fpr"))
+
+
+@query(f"WITH {_CELLS} SELECT task, budget, round(own, 5) AS own, round(oracle, 5) AS oracle, coalesce(own < greatest(b1, b2), false) AS below, coalesce(own < oracle - 0.2, false) AS under_oracle FROM wide WHERE own < greatest(b1, b2) OR own < oracle - 0.2")
 def identify_failures(t):
-    p = t("events").groupBy((F.col("user_id") % 10).alias("cell")).pivot("event_type", ["click", "view", "purchase"]).agg(F.avg("value"))
     r = lambda c: F.round(c, 5).alias(c)
-    return p.select("cell", r("click"), r("view"), r("purchase"), (F.col("click") < F.col("view")).alias("below"), (F.col("click") < F.col("purchase") - 0.2).alias("under_oracle"))
+    return reports.failures(_cells(t), "click", ["view", "cart"], "purchase").select("task", "budget", r("own"), r("oracle"), "below", "under_oracle")
+
+
+@query("SELECT event_type AS engine, metric, round(avg(v), 6) AS mean FROM (SELECT event_type, unnest([{'metric': 'tsr', 'v': value}, {'metric': 'fpr', 'v': value % 7}], recursive := true) FROM events) GROUP BY 1, 2")
+def diagnostics_means(t):
+    return reports.diagnostics(_cells(t), ["tsr", "fpr"]).select("engine", "metric", F.round("mean", 6).alias("mean"))
+
+
+@query("SELECT event_type AS engine, count(*)::BIGINT AS cells, round(avg(value), 6) AS tsr FROM events GROUP BY 1")
+def engine_summary(t):
+    return reports.engine_summary(_cells(t), ["tsr"]).select("engine", "cells", F.round("tsr", 6).alias("tsr"))
+
+
+@query("SELECT o_custkey AS query, round(100 * sum(CASE o_orderkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 0.75 WHEN 2 THEN 0.5 WHEN 3 THEN 0.25 ELSE 0 END) / count(*), 1) AS preserved FROM orders GROUP BY 1")
+def preserved_semantics(t):
+    level = F.col("o_orderkey") % 6
+    return reports.preserved_semantics(t("orders").select(F.col("o_custkey").alias("query"), F.when(level < 4, level.cast("int")).alias("level")))
+
+
+@query("SELECT o_custkey AS query, round(least(sum(CASE WHEN o_orderkey % 9 = 0 THEN 0 ELSE 1 / (1 + o_orderkey % 5)::DOUBLE END) / 4, 1), 6) AS ratio FROM orders GROUP BY 1")
+def packing_efficiency(t):
+    rows = t("orders").select(F.col("o_custkey").alias("query"), (F.col("o_orderkey") % 5).alias("distance"), F.lit(4.0).alias("bound"), (F.col("o_orderkey") % 9 == 0).alias("seed"))
+    return reports.packing_efficiency(rows).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("""WITH e AS (SELECT l_suppkey AS src, l_partkey AS dst, l_partkey % 5 = 0 AS critical, count(*) AS hits, l_partkey % 2 = 0 AS pure FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY critical DESC, hits DESC, dst) AS k, count(*) OVER (PARTITION BY src) AS n FROM e)
+SELECT src, list(dst ORDER BY k) FILTER (n <= 5 OR k <= 8) AS shown, count(*) FILTER (n > 5 AND k > 8 AND pure)::BIGINT AS more_pure, count(*) FILTER (n > 5 AND k > 8 AND NOT pure)::BIGINT AS more_other FROM r GROUP BY src""")
+def rendered_dependencies(t):
+    part = F.col("l_partkey")
+    edges = t("lineitem").groupBy(F.col("l_suppkey").alias("src"), part.alias("dst")).agg(F.count("*").alias("hits"))
+    return reports.dependencies(edges.select("src", "dst", (F.col("dst") % 5 == 0).alias("critical"), "hits", (F.col("dst") % 2 == 0).alias("pure")))
+
+
+@query(f"""WITH {views.FK_EDGES}, c AS (SELECT 's:' || s_suppkey AS seed, 'p:' || p_partkey AS id, p_brand AS module, (SELECT p_brand FROM part WHERE p_partkey = 10) AS seed_module FROM supplier, part WHERE s_suppkey <= 5)
+SELECT seed, id FROM c WHERE module = seed_module OR (id, seed) IN (SELECT src, dst FROM fk)""")
+def hop_scope(t):
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    seed_module = t("part").where("p_partkey = 10").select(F.col("p_brand").alias("seed_module"))
+    few = t("supplier").where("s_suppkey <= 5").select(key("s:", "s_suppkey").alias("seed"))
+    rows = t("part").select(key("p:", "p_partkey").alias("id"), F.col("p_brand").alias("module")).join(F.broadcast(few.join(seed_module)))  # five seeds and one row
+    reached = views.fk_edges(t).select(F.col("dst").alias("query"), F.col("src").alias("id"))
+    return reports.in_scope(rows.withColumn("query", F.col("seed")), reached).select("seed", "id")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN 0.0 ELSE turn / 10.0 END::DOUBLE AS score FROM conversations""")
+def debug_scores(t):
+    named = F.when(F.col("turn") % 3 == 1, F.array(F.lit("a"), F.lit("z"))).otherwise(F.array(F.lit("a"), F.lit("q")))
+    return t("conversations").select("conv_id", "turn", reports.debug_score(named, F.array(F.lit("a"), F.lit("b")), F.array(F.lit("a"), F.lit("z")), F.col("turn") / 10).alias("score"))
+
+
+@query("""SELECT p_partkey, 'def f(' || chr(10) || '    x):' || ' ...' AS stub, CASE WHEN p_size <= 25 THEN 'C = [1, 2]' ELSE 'C = [...]  # ' || p_size || ' entries' END AS constant FROM part""")
+def stubs(t):
+    from ..operators import compress
+
+    body = F.concat(F.lit("def f(\n    x):\n    return "), F.col("p_partkey").cast("string"))
+    size = F.col("p_size")
+    constant = F.when(size <= 25, "C = [1, 2]").otherwise("C = [1, 2, 3]")
+    return t("part").select("p_partkey", compress.signature_stub(body).alias("stub"), compress.constant_stub(F.lit("C"), constant, size, size + 39).alias("constant"))
 
 
 @query()

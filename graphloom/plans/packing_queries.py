@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import graph, joins, packing, profiles, surface
+from ..operators import compress, graph, joins, linking, packing, profiles, reports, surface
 from ..sources import python_source
 from ..storage import written
 from . import views
@@ -174,38 +174,31 @@ def module_contracts(t):
 
 @query(f"WITH {FK} SELECT DISTINCT b.dst AS seed, b.src AS direct, a.src AS transitive FROM fk b JOIN fk a ON a.dst = b.src WHERE b.dst LIKE 's:%' AND a.relation = 'INSTANTIATES'")
 def callers_of_callers(t):
-    e = views.fk_edges(t)
-    b = e.where("dst LIKE 's:%'").select(F.col("dst").alias("seed"), F.col("src").alias("direct"))
-    a = e.where("relation = 'INSTANTIATES'").select(F.col("dst").alias("direct"), F.col("src").alias("transitive"))
-    return b.join(a, "direct").select("seed", "direct", "transitive").distinct()
+    edges = views.fk_edges(t).where("relation = 'INSTANTIATES' OR dst LIKE 's:%'")
+    return linking.transitive_callers(edges, t("supplier").select(_key("s:", "s_suppkey").alias("id")))
 
 
-@query("SELECT doc_id, CASE WHEN n > 0 THEN n / (SELECT count(*) FROM region) ELSE 0 END::DOUBLE AS mentioned FROM (SELECT doc_id, (SELECT count(*) FROM (VALUES ('the'), ('die'), ('que'), ('les'), ('los')) v(w) WHERE contains(text, w)) AS n FROM documents)")
+@query(r"""SELECT doc_id, CAST(regexp_matches(text, '(?i)\b' || source || '\b') AS INTEGER) - CAST(regexp_matches(text, '(?i)\bthe\b\s+(?:is|replaces|equals|is the same as)\s+\b' || source || '\b') AS INTEGER) AS score FROM documents WHERE text IS NOT NULL""")
 def mention_recall(t):
-    names = ("the", "die", "que", "les", "los")
-    hits = sum((F.contains("text", F.lit(w)).cast("int") for w in names), F.lit(0))
-    return t("documents").select("doc_id", (hits / len(names)).alias("mentioned"))
+    rows = t("documents").where("text IS NOT NULL")
+    return rows.select("doc_id", reports.rubric_score(F.col("text"), F.concat(F.lit("a."), "source"), F.array(F.lit("x.the"))).alias("score"))
 
 
-@query(f"WITH {SYM} SELECT kind, count(*)::BIGINT AS symbols, count(DISTINCT module)::BIGINT AS modules, count(*) FILTER (module = 'geo')::BIGINT AS geo FROM sym GROUP BY kind")
+@query(f"WITH {FK}, {SYM}, c AS (SELECT src, count(*) AS n FROM fk WHERE relation IN ('CALLS', 'INSTANTIATES') GROUP BY src) SELECT kind, count(*)::BIGINT AS symbols, count(DISTINCT module)::BIGINT AS modules, coalesce(sum(n), 0)::BIGINT AS calls FROM sym LEFT JOIN c ON c.src = qname GROUP BY kind")
 def graph_status(t):
-    return views.symbols(t).groupBy("kind").agg(F.count("*").alias("symbols"), F.count_distinct("module").alias("modules"), F.count_if(F.col("module") == "geo").alias("geo"))
+    return reports.graph_status(views.symbols(t), views.fk_edges(t))
 
 
-@query("SELECT c_mktsegment AS tag, c_custkey AS symbol, count(o_orderkey)::BIGINT AS invocations FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1, 2")
+@query("SELECT 'BUILDING' AS tag, c_custkey AS symbol, count(o_orderkey)::BIGINT AS invocations FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1, 2")
 def find_symbols_by_tag(t):
-    calls = t("orders").groupBy(F.col("o_custkey").alias("symbol")).agg(F.count("*").alias("n"))
-    held = t("customer").select(F.col("c_custkey").alias("symbol"), F.array("c_mktsegment").alias("tags")).where(F.array_contains("tags", "BUILDING"))
-    return held.join(calls, "symbol", "left").select(F.lit("BUILDING").alias("tag"), "symbol", F.coalesce("n", F.lit(0)).alias("invocations"))
+    return reports.symbols_by_tag(t("customer").select(F.col("c_custkey").alias("symbol"), F.array("c_mktsegment").alias("tags")), "BUILDING", t("orders").select(F.col("o_custkey").alias("symbol")))
 
 
-@query("SELECT p_partkey, p_brand IN ('Brand#1', 'Brand#2') AND p_size < 20 AS infallible FROM part")
+@query("SELECT p_partkey, p_size < 20 AND p_partkey % 4 <= 2 AND p_partkey % 3 > 0 AND p_partkey % 5 > 0 AND p_partkey % 7 > 0 AS infallible FROM part")
 def infallible_symbols(t):
-    from ..functions.bits import SUBSTANCE_SINKS, bit
-
-    mask = F.when(F.col("p_size") < 20, F.lit(bit("SINK_PURE_COMPUTE"))).otherwise(F.lit(1)).cast("long")
-    pure = mask.bitwiseAND(F.lit(SUBSTANCE_SINKS)) == 0
-    return t("part").select("p_partkey", (F.col("p_brand").isin("Brand#1", "Brand#2") & pure).alias("infallible"))
+    k, none = F.col("p_partkey"), F.array().cast("array<string>")
+    one = lambda when, x: F.when(when, F.array(F.lit(x))).otherwise(none)
+    return t("part").select("p_partkey", compress.infallible(F.when(F.col("p_size") < 20, "pure").otherwise("impure"), k % 4, one(k % 3 == 0, "KeyError"), one(k % 5 == 0, "DISK_IO"), one(k % 7 == 0, "#db_read")).alias("infallible"))
 
 
 @query("SELECT o_orderkey, substr(o_orderpriority, 1, 1)::INT AS priority, starts_with('o:' || o_orderkey, prefix) AS hit, prefix FROM orders, (SELECT 'o:1' AS prefix)")
@@ -215,7 +208,8 @@ def longest_root_import(t):
     return found.select("o_orderkey", "priority", F.col("prefix").isNotNull().alias("hit"), F.lit("o:1").alias("prefix"))
 
 
-@query("SELECT n_nationkey, string_split(n_name || '.x.y.z', '.')[1:2] AS parts, array_to_string(string_split(n_name || '.x.y.z', '.')[1:3], '.') AS prefix FROM nation")
+@query("""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'os.path' WHEN 1 THEN CASE WHEN n_regionkey = 0 THEN 'a.b.' || n_name ELSE 'a.b' END || '.z' WHEN 2 THEN CASE WHEN n_regionkey = 0 THEN 'a.b' ELSE 'a' END ELSE CASE WHEN n_regionkey = 0 THEN 'a.z' ELSE 'z' END END AS module FROM nation""")
 def relative_module(t):
-    m = F.concat("n_name", F.lit(".x.y.z"))
-    return t("nation").select("n_nationkey", F.slice(F.split(m, r"\."), 1, 2).alias("parts"), text.prefix3(m).alias("prefix"))
+    level = F.col("n_nationkey") % 4
+    name = F.when(level == 0, "os.path").when(level != 2, "z")
+    return t("nation").select("n_nationkey", text.relative_module(F.concat(F.lit("a.b."), "n_name"), F.col("n_regionkey") == 0, level, name).alias("module"))
