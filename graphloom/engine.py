@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
+from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Protocol, runtime_checkable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scores, text
-from .functions.bits import bit, compose_mask
-from .operators import graph, joins, packing, profiles, surface
+from .functions.bits import compose_mask
+from .operators import compress, graph, joins, packing, profiles, reports, surface, tagging
 from .plans.tag_filter import QueryValidationError, tag_filter
 from .sources import files, python_source
 from .storage import written
@@ -19,6 +22,20 @@ TASK_TYPES = ("implement", "debug", "blast", "architecture", "redundancy")
 SNAPSHOT_VERSION = 1
 
 
+@runtime_checkable
+class CompressionProvider(Protocol):
+    """Texts of definitions at four resolutions: (qname, l0, l1, l2, l3), as compress.compress gives them."""
+
+    def __call__(self, files: DataFrame, definitions: DataFrame) -> DataFrame: ...
+
+
+class RetrievalEngine(ABC):
+    """An engine that benchmarks can ask: packages of (query, id, ord) for queries."""
+
+    @abstractmethod
+    def retrieve(self, *queries: Query) -> DataFrame: ...
+
+
 class SymbolNotFoundError(LookupError):
     """A seed that isn't there; candidates are names like it."""
 
@@ -52,12 +69,13 @@ class Query:
 
 
 @dataclass
-class Engine:
+class Engine(RetrievalEngine):
     """Symbols, edges and masks of one repository, as tables; queries of many seeds run in one job."""
 
     files: DataFrame
     symbols: DataFrame
     edges: DataFrame
+    sinks: DataFrame | None = None
     _before: list[Callable] = field(default_factory=list)
     _after: list[Callable] = field(default_factory=list)
 
@@ -87,16 +105,12 @@ class Engine:
     def masks(self) -> DataFrame:
         """(qname, module, cost, verification, mask): form and output of each definition, roles by degree, sinks by what it calls."""
         calls = self.edges.where("relation IN ('CALLS', 'INSTANTIATES')")
-        root = F.substring_index("dst", ".", 1)
-        sinks = F.when(root.isin("requests", "httpx", "aiohttp", "socket", "urllib"), bit("SINK_NETWORK_IO")).when(root.isin("sqlite3", "sqlalchemy", "psycopg2"), bit("SINK_DATABASE_IO")).when(root.isin("open", "pathlib", "shutil", "io"), bit("SINK_FILESYSTEM_IO")).when(root.isin("subprocess", "os", "sys"), bit("SINK_PROCESS_IO")).when(root.isin("time", "datetime"), bit("SINK_TIME_IO")).when(root.isin("random", "secrets"), bit("SINK_RANDOMNESS")).otherwise(0)
-        direct = calls.groupBy(F.col("src").alias("qname")).agg(F.bit_or(sinks.cast("long")).alias("direct"))
-        # callees of three statements or fewer lend their sinks to callers
-        small = self.symbols.where("n_statements <= 3").select(F.col("qname").alias("dst")).join(direct.withColumnRenamed("qname", "dst"), "dst")
-        lent = calls.select("src", "dst").distinct().join(small, "dst").groupBy(F.col("src").alias("qname")).agg(F.bit_or("direct").alias("lent"))
-        df = self.symbols.join(direct, "qname", "left").join(lent, "qname", "left")
-        own = compose_mask(F.col("direct"), F.col("lent"))
-        substance = F.when(own != 0, own).when(F.size("mutations") == 0, F.lit(bit("SINK_PURE_COMPUTE")).cast("long")).otherwise(F.lit(0).cast("long"))
-        df = df.withColumn("substance", substance).withColumn("exported", text.visibility(F.col("name"), F.lit("python"), F.lit(True)) == "public")
+        spark = self.symbols.sparkSession
+        chains = calls.select(F.col("src").alias("caller"), F.lit("python").alias("language"), F.col("dst").alias("chain"), F.lit(None).cast("string").alias("target"))
+        direct = tagging.sink_bits(chains, tagging.default_registry(spark) if self.sinks is None else self.sinks)
+        facts = self.symbols.select("qname", "n_statements", (F.size("mutations") > 0).alias("mutates"))
+        df = self.symbols.join(tagging.substance(direct, calls, facts).withColumnRenamed("mask", "substance"), "qname", "left")
+        df = df.withColumn("exported", text.visibility(F.col("name"), F.lit("python"), F.lit(True)) == "public")
         roles = profiles.role_bits(df.where("kind <> 'class'").select("qname", "substance", "exported"), calls)
         body = self.files.select("path", "content")
         df = df.join(roles, "qname", "left").join(body, "path", "left")
@@ -155,6 +169,66 @@ class Engine:
         lines = self.manifest(query.resolved()[0]).collect()  # one seed's manifest
         return self.retrieve_requested(query.resolved()[0], choose([r.line for r in lines]))
 
+    def retrieve_three_pass(self, query: Query, choose: Callable[[list[str]], list[str]], externals: DataFrame, choose_external: Callable[[list[str]], list[str]]) -> tuple[DataFrame, DataFrame]:
+        """What retrieve_two_pass gives, and of externals (name, cost, body) those that choose_external picks from their names, first come within a share of the budget.
+
+        externals is what one query may choose from, by name; the choice comes back as (id, ord).
+        """
+        spark = self.symbols.sparkSession
+        picked = self.retrieve_two_pass(query, choose)
+        names = [r.name for r in externals.select("name").orderBy("name").collect()]  # one query's offer
+        wanted = spark.createDataFrame([(n, i) for i, n in enumerate(dict.fromkeys(choose_external(names)))], "name string, ord int")
+        budget = spark.range(1).select(scores.split_external_budget(F.lit(query.budget)).alias("b")).first().b
+        fitted = packing.first_fit(wanted.join(externals, "name").select(F.lit(0).alias("query"), F.lit(budget).alias("budget"), "ord", F.col("name").alias("qname"), "cost"))
+        return picked, fitted.where("admitted").select(F.col("qname").alias("id"), "ord")
+
+    def compressed(self, result: DataFrame, provider: CompressionProvider = compress.compress) -> DataFrame:
+        """result (query, id, ...) with the texts l0 to l3 of its definitions and their estimated costs c0 to c3."""
+        calls = self.edges.where("relation IN ('CALLS', 'INSTANTIATES')").groupBy(F.col("src").alias("qname")).agg(F.array_sort(F.collect_set("dst")).alias("calls"))
+        found = self.symbols.join(result.select(F.col("id").alias("qname")).distinct(), "qname", "left_semi").join(calls, "qname", "left")
+        sources = self.files.select("path", "language", F.col("content").alias("source"))
+        texts = compress.with_costs(provider(sources, found.select("qname", "path", "name", "start", "end", F.array().cast("array<string>").alias("tags"), "calls")))
+        return result.join(texts.withColumnRenamed("qname", "id"), "id", "left")
+
+    def build_package(self, queries: list[Query], result: DataFrame | None = None) -> DataFrame:
+        """Packages whose text keeps to the budget: retrieved nodes with body and cost, the farthest transitive ones as stubs where all would not fit.
+
+        result: what retrieve or, with a query, role and distance, a request gave; by default what the queries retrieve.
+        """
+        spark = self.symbols.sparkSession
+        rows = self.compressed(result if result is not None else self.retrieve(*queries))
+        budgets = spark.createDataFrame([(i, q.budget) for i, q in enumerate(queries)], "query int, budget int")
+        priced = rows.join(F.broadcast(budgets), "query").withColumns({"full_cost": F.coalesce("c0", "cost"), "stub_cost": F.coalesce("c3", "cost")})  # a row for each query
+        fitted = compress.enforce_budget(priced)
+        body = F.when(F.col("stub"), F.col("l3")).otherwise(F.coalesce("l0", "body"))
+        return fitted.withColumns({"body": body, "cost": F.when(F.col("stub"), F.col("stub_cost")).otherwise(F.col("full_cost"))}).drop("full_cost", "stub_cost", "budget")
+
+    def build_package_requested(self, query: Query, requested: list[str], universe: DataFrame | None = None) -> DataFrame:
+        """The package of the names requested for a query's seed, in their order, and the seed's callees; what doesn't fit its budget as stubs."""
+        seed = query.resolved()[0]
+        self.check_seeds((seed,))
+        direct = self.edges.where((F.col("src") == seed) & F.col("relation").isin("CALLS", "INSTANTIATES")).select(F.col("dst").alias("id"), F.lit("callee").alias("called")).distinct()
+        rows = self.retrieve_requested(seed, requested, universe).join(self.masks().withColumnRenamed("qname", "id"), "id").join(direct, "id", "left")
+        role = F.when(F.col("id") == seed, "seed").otherwise(F.coalesce("called", F.lit("transitive")))
+        return self.build_package([query], rows.select(F.lit(0).alias("query"), "id", role.alias("role"), F.col("ord").cast("double").alias("distance"), "kind", F.col("path").alias("file"), "start", "end", "cost", "mask", "body", "ord"))
+
+    def warnings(self, package: DataFrame, queries: list[Query]) -> DataFrame:
+        """(query, code, severity): packages over their budget, with stubs, or of nothing but the seed."""
+        spark = self.symbols.sparkSession
+        budgets = spark.createDataFrame([(i, q.budget) for i, q in enumerate(queries)], "query int, budget int")
+        sums = package.groupBy("query").agg(F.sum("cost").alias("used"), F.count("*").alias("nodes"), F.max("stub").alias("stubbed")).join(F.broadcast(budgets), "query")
+        told = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))) for c, code, severity in ((F.col("used") > F.col("budget") * 1.05, "BUDGET_OVERFLOW", "high"), (F.col("stubbed"), "BODY_STUBBED", "low"), (F.col("nodes") == 1, "ISOLATED_SEED", "low")))))
+        return sums.select("query", F.explode(told).alias("w")).select("query", "w.code", "w.severity")
+
+    def explain(self, query: Query, detail: str = "full") -> DataFrame:
+        """(query, xml) of a package with its warnings, at a level of detail: full, manifest (no bodies) or summary (no nodes)."""
+        package = written(self.build_package([query]))
+        spark = self.symbols.sparkSession
+        heads = spark.createDataFrame([(0, query.resolved()[0], query.budget)], "query int, seed string, budget int")
+        packages = heads.join(package.groupBy("query").agg(F.sum("cost").alias("used")), "query")
+        edges = surface.induced_edges(package, self.edges.select("src", "dst", "relation").distinct())
+        return surface.render_xml(packages, surface.detail_level(package, detail), edges, self.warnings(package, [query]))
+
     def manifest(self, seed: str, hops: int = 3) -> DataFrame:
         """(qname, line): candidates within hops of the seed, or of its package prefix, with kind and what they call."""
         spark = self.symbols.sparkSession
@@ -182,9 +256,39 @@ class Engine:
         """(qname, path) of the symbols that a tag expression holds for."""
         return self.masks().where(tag_filter(expression, F.col("mask"), F.col("verification"))).select("qname", "path").orderBy("qname")
 
+    def status_by_kind(self) -> DataFrame:
+        return reports.graph_status(self.symbols, self.edges)
+
     def status(self) -> DataFrame:
         """One row: files, errors, symbols, edges by relation."""
         f = self.files.agg(F.count("*").alias("files"), F.count("error").alias("errors"))
         s = self.symbols.agg(F.count("*").alias("symbols"))
         e = self.edges.agg(F.count("*").alias("edges"), F.count_if(F.col("relation") == "CALLS").alias("calls"))
         return f.join(F.broadcast(s)).join(F.broadcast(e))  # single rows
+
+
+class Repositories:
+    """Engines by root, made when first asked for; the least lately used goes when there are more than most."""
+
+    def __init__(self, spark: SparkSession, most: int = 8, snapshots: str | None = None):
+        self.spark, self.most, self.snapshots = spark, most, snapshots
+        self._held: OrderedDict[str, Engine] = OrderedDict()
+
+    def get_or_index(self, root: str) -> Engine:
+        if root not in self._held:
+            self._held[root] = Engine.from_repo(self.spark, root, self.snapshots and f"{self.snapshots}/{text_key(root)}")
+            if len(self._held) > self.most:
+                self._held.popitem(last=False)
+        self._held.move_to_end(root)
+        return self._held[root]
+
+    def reindex(self, root: str) -> Engine:
+        """The engine of root over its files as they are now."""
+        self._held.pop(root, None)
+        return self.get_or_index(root)
+
+
+def text_key(root: str) -> str:
+    import hashlib
+
+    return hashlib.md5(root.encode()).hexdigest()

@@ -167,31 +167,37 @@ def _thirds(n: Column) -> Column:
     return F.floor((n + 2) / 3).cast("long")
 
 
-def subword_count(word: Column) -> Column:
-    """Tokens of one word: its parts between underscores, by capitals; digits by threes."""
-    number = lambda p: F.greatest(_thirds(F.length(p)), F.lit(1).cast("long"))
-    pieces = lambda p: F.greatest(F.size(F.split(p, NAME_PARTS)), F.lit(1)).cast("long")
-    parts = F.filter(F.split(word, "_"), lambda p: p != "")
-    total = F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: n + F.when(p.rlike(r"^\d+$"), number(p)).otherwise(pieces(p)))
-    return F.when(word == "", F.lit(0)).when(word.rlike(r"^\d+$"), number(word)).when(F.size(parts) == 0, F.length(word)).otherwise(total).cast("long")
+#: What counts as one token of ordinary text, each counted by itself: parts of words that aren't numbers, where such a part
+#: is divided, up to three digits of a number, and each underscore of a word of nothing else.
+PART, DIGITS, UNDERSCORE = r"\d*[A-Za-z][A-Za-z0-9]*", r"(?:\G(?<=\d)|(?<![A-Za-z0-9]))\d{1,3}(?=\d*(?![A-Za-z0-9]))", r"(?:\G(?<=_)|(?<!\w))_(?=_*(?!\w))"
 
 
 def ordinary_count(text: Column) -> Column:
-    """Tokens of text without literals: words by their parts, operators and other characters one each."""
+    """Tokens of text without literals: words by their parts between underscores and by capitals, digits by threes, operators and other characters one each."""
     operators = "|".join("".join("\\" + c for c in op) for op in COMPOUND_OPERATORS)
-    words = F.regexp_extract_all(text, F.lit(r"(\w+)"), F.lit(1))
-    return F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + subword_count(w)) + F.regexp_count(text, F.lit(operators + r"|[^\w\s]"))
+    kinds = (PART, NAME_PARTS, DIGITS, UNDERSCORE, operators + r"|[^\w\s]")
+    return sum((F.regexp_count(text, F.lit(kind)).cast("long") for kind in kinds[1:]), F.regexp_count(text, F.lit(kinds[0])).cast("long"))
+
+
+def subword_count(word: Column) -> Column:
+    """Tokens of one word."""
+    return ordinary_count(word)
+
+
+def literal_size(literal: Column) -> Column:
+    """Characters of a quoted literal within its quotes."""
+    return F.length(literal) - F.when(F.substring(literal, 1, 3).isin('"""', "'''"), 6).otherwise(2)
 
 
 def literal_count(literal: Column, dense: int = 32) -> Column:
     """Tokens of a quoted literal: by its length if that is over dense, else as ordinary text."""
-    quote = F.when(F.substring(literal, 1, 3).isin('"""', "'''"), 3).otherwise(1)
-    size = F.length(literal) - 2 * quote
-    return F.when(size <= dense, ordinary_count(literal)).otherwise(_thirds(size) + 2)
+    return F.when(literal_size(literal) <= dense, ordinary_count(literal)).otherwise(_thirds(literal_size(literal)) + 2)
 
 
-def fallback_token_count(text: Column, gain: float = 1.08) -> Column:
-    """Estimated tokens of source text, rounded up with a margin."""
+def fallback_token_count(text: Column, gain: float = 1.08, dense: int = 32) -> Column:
+    """Estimated tokens of source text, rounded up with a margin; literals as in literal_count."""
     literals = F.regexp_extract_all(text, F.lit(LITERALS), F.lit(1))
-    total = ordinary_count(F.regexp_replace(text, LITERALS, " ")) + F.aggregate(literals, F.lit(0).cast("long"), lambda n, x: n + literal_count(x))
+    short = F.array_join(F.filter(literals, lambda x: literal_size(x) <= dense), " ")
+    long = F.aggregate(F.filter(literals, lambda x: literal_size(x) > dense), F.lit(0).cast("long"), lambda n, x: n + _thirds(literal_size(x)) + 2)
+    total = ordinary_count(F.concat_ws(" ", F.regexp_replace(text, LITERALS, " "), short)) + long
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.ceil(total * F.lit(gain))).cast("long")

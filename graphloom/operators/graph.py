@@ -52,6 +52,12 @@ def bfs(edges: DataFrame, sources: DataFrame, direction: str = "forward", max_ho
         near.join(everything().drop("hops"), ["query", "node"], "left_anti").write.parquet(f"{base}/hops={hop}")
 
 
+def ego(edges: DataFrame, sources: DataFrame, hops: int, direction: str = "forward") -> DataFrame:
+    """(query, src, dst): edges whose ends are both within hops of a query's sources (query, node)."""
+    near = written(bfs(edges, sources, direction, hops).select("query", "node"))
+    return edges.select("src", "dst").distinct().join(near.withColumnRenamed("node", "src"), "src").join(near.withColumnRenamed("node", "dst"), ["query", "dst"]).select("query", "src", "dst")
+
+
 def distances(edges: DataFrame, sources: DataFrame, cutoff: float, direction: str = "forward") -> DataFrame:
     """(query, node, dist): cheapest cost over edges (src, dst, cost) from any source, up to cutoff inclusive; sources themselves are left out.
 

@@ -85,3 +85,35 @@ def role_bits(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     for name, rule in rules.items():
         mask = mask.bitwiseOR(F.when(rule, F.lit(bit(name))).otherwise(F.lit(0)).cast("long"))
     return df.select("qname", F.when(fi.isNull(), F.lit(0).cast("long")).otherwise(mask).alias("role_mask"))
+
+
+# Forms of names, bases, decorators and calls of test code, and the share of calls from which a body asserts.
+TEST_BASE, TEST_NAME = r"^Test|TestCase$", r"^test_|Test$"
+TEST_DECORATOR = r"^(pytest\.)?(fixture|mark\.\w+)$|^parametrize$|^(Test|Fact|Theory|Before|After|BeforeEach|AfterEach|BeforeClass|AfterClass)$"
+ASSERTING_CALL, ASSERTING_SHARE = r"^assert|^(Fatal|Error)f?$", 0.15
+GO_TEST_NAME, GO_TEST_PARAMETER = r"^(Test|Benchmark)", r"testing\.(T|B)\b"
+
+
+def symbol_roles(symbols: DataFrame) -> DataFrame:
+    """(qname, role): verification, interface or implementation.
+
+    symbols: qname, kind, name, enclosing_class, language, bases, decorators, calls: arrays; parameters: text;
+    returns, empty_body: booleans. All methods of a class of tests are verification.
+    """
+    is_class = F.col("kind") == "class"
+    some = lambda column, form: F.coalesce(F.exists(column, lambda x: x.rlike(form)), F.lit(False))
+    named = F.col("name").rlike(TEST_NAME)
+    by_class = is_class & (named | some(F.transform("bases", lambda b: F.substring_index(b, ".", -1)), TEST_BASE))
+    tests = symbols.where(by_class).select(F.col("qname").alias("enclosing_class"), F.lit(True).alias("in_test")).distinct()
+    asserting = F.size(F.filter("calls", lambda c: F.substring_index(c, ".", -1).rlike(ASSERTING_CALL)))
+    asserts = (asserting > 0) & ((asserting / F.size("calls") >= ASSERTING_SHARE) | ~F.col("returns"))
+    go = (F.col("language") == "go") & (F.col("name").startswith("Example") | F.col("name").rlike(GO_TEST_NAME) & F.col("parameters").rlike(GO_TEST_PARAMETER))
+    test = F.when(is_class, by_class).otherwise(F.coalesce("in_test", F.lit(False)) | some(F.col("decorators"), TEST_DECORATOR) | go | asserts | named)
+    role = F.when(test, "verification").when(~is_class & F.col("empty_body"), "interface").otherwise("implementation")
+    return symbols.join(tests, "enclosing_class", "left").select("qname", role.alias("role"))
+
+
+def callback_parameters(language: Column, params: Column) -> Column:
+    """array<struct<name, type>>: parameters (array of structs with name and type) declared as functions: Callable, func(...) or an arrow."""
+    form = F.when(language == "python", r"^(\w+\.)*Callable").when(language == "go", r"^func\s*\(").when(language.isin("typescript", "tsx"), r"=>")
+    return F.transform(F.filter(params, lambda p: F.coalesce(F.regexp_like(p["type"], form), F.lit(False))), lambda p: F.struct(p["name"].alias("name"), p["type"].alias("type")))

@@ -64,7 +64,7 @@ def write_results(new: DataFrame, path: str, keys: tuple[str, ...] = KEYS) -> Da
 
 def write_markdown(path: str, title: str, sections: dict[str, str], spark) -> str:
     """A Markdown report of titled sections, as one text file under path; its text."""
-    body = "\n\n".join([f"# {title}", *(f"## {name}\n\n{text}" for name, text in sections.items())]) + "\n"
+    body = "\n\n".join([f"# {title}", *(f"## {name}\n\n{text}" for name, text in sections.items())])
     spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return body
 

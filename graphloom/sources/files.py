@@ -84,7 +84,7 @@ def read_exports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """(qname, scope, kind, structural_hash) of a JSON object by name; nothing if it can't be read."""
-    df = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,{FINGERPRINT}>").alias("m"))
+    df = spark.read.text(path, wholetext=True).select(F.explode(F.split(F.trim("value"), r"\n(?=\{)")).alias("value")).select(F.from_json("value", f"map<string,{FINGERPRINT}>").alias("m"))
     return df.select(F.explode("m").alias("qname", "f")).select("qname", "f.scope", "f.kind", "f.structural_hash")
 
 
@@ -109,6 +109,33 @@ def invalidate(old: DataFrame, keys: DataFrame) -> DataFrame:
     return old.join(keys, keys.columns, "left_anti")
 
 
+def save_keyed(df: DataFrame, path: str, signature: str) -> None:
+    """Writes what was computed for the files of a signature (contracts, flow results), in place of what was kept for it."""
+    df.write.mode("overwrite").parquet(f"{path}/signature={signature}")
+
+
+def load_keyed(spark: SparkSession, path: str, signature: str) -> DataFrame | None:
+    """What save_keyed kept for a signature, or None."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(f"{path}/signature={signature}")
+    except AnalysisException:  # nothing kept
+        return None
+
+
+def write_fingerprints(fingerprints: DataFrame, path: str) -> None:
+    """(qname, scope, kind, structural_hash) as lines of JSON objects by name, as read_fingerprints reads them."""
+    value = F.to_json(F.create_map("qname", F.struct("scope", "kind", "structural_hash")))
+    fingerprints.select(value.alias("value")).write.mode("overwrite").text(path)
+
+
+def clear_cache(spark: SparkSession, path: str) -> None:
+    """An empty cache with the schema of the one at path."""
+    schema = spark.read.parquet(path).schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
 def save_snapshot(tables: dict[str, DataFrame], path: str, version: int) -> None:
     """Writes each table and then, last, the row that makes the snapshot valid."""
     for name, df in tables.items():

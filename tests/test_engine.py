@@ -213,3 +213,50 @@ def test_data_flow_confidences(spark):
     rows = [(1, 1, "x", "load", [], []), (1, 2, "y", "parse", ["x.field"], []), (1, 3, "err", "risky", [], []), (1, 4, "z", "save", ["y", "err", "x[0]"], ["dump"]), (1, 5, "y", None, ["q"], []), (1, 6, None, "end", ["y"], [])]
     df = spark.createDataFrame(rows, "def int, pos int, target string, call string, inputs array<string>, nested array<string>")
     assert {(r.src, r.dst, r.confidence) for r in contracts.data_flow(df).collect()} == {("load", "parse", 0.7), ("parse", "save", 0.9), ("load", "save", 0.9), ("dump", "save", 1.0)}
+
+
+def test_sinks_reach_masks(engine):
+    from graphloom.functions import bits
+
+    masks = {r.qname: r["mask"] for r in engine.masks().select("qname", "mask").collect()}
+    assert masks["app.service.Service.run"] & bits.bit("SINK_NETWORK_IO") and not masks["app.util.done"] & bits.IMPURE_SINKS
+
+
+def test_packages_keep_to_the_budget(spark, engine):
+    asked = [Query(seed="app.service.main", budget=4000), Query(seed="app.service.Service.run", budget=30)]
+    full = engine.build_package(asked).collect()
+    main = {r.id: r for r in full if r["query"] == 0}
+    assert main["app.service.main"].body.startswith("async def main") and not any(r.stub for r in main.values())
+    assert main["app.service.Service.run"].l3 == "def run(self, order: int, *, fast: bool=False) -> bool: ..." and "# Calls: " in main["app.service.Service.run"].l2
+    small = [r for r in full if r["query"] == 1]
+    assert all(r.stub == (r.role == "transitive" and r.c3 < r.c0) for r in small) and all(r.body == r.l3 for r in small if r.stub)
+    told = {(r["query"], r.code) for r in engine.warnings(engine.build_package(asked), asked).collect()}
+    assert (1, "BUDGET_OVERFLOW") in told and (0, "BUDGET_OVERFLOW") not in told
+
+
+def test_requests_and_three_passes(spark, engine):
+    asked = Query(seed="app.service.main", budget=4000)
+    package = {r.id: r.role for r in engine.build_package_requested(asked, ["app.store.save", "app.gone", "app.store.save"]).collect()}
+    assert package["app.service.main"] == "seed" and package["app.store.save"] == "transitive" and package["app.service.Service.run"] == "callee" and "app.gone" not in package
+    externals = spark.createDataFrame([("requests.post", 100, "def post"), ("requests.get", 100, "def get"), ("huge.f", 10_000, "x")], "name string, cost int, body string")
+    picked, outside = engine.retrieve_three_pass(asked, lambda lines: [x.split("|")[0] for x in lines[:2]], externals, lambda names: ["huge.f", "requests.post", "requests.post", "none"])
+    assert picked.first().id == "app.service.main" and [r.id for r in outside.collect()] == ["requests.post"]
+
+
+def test_explain(engine):
+    full, manifest, summary = (engine.explain(Query(seed="app.service.main"), d).first()[1] for d in ("full", "manifest", "summary"))
+    assert "async def main" in full and "async def main" not in manifest and "app.service.main" in manifest and len(summary) < len(manifest)
+
+
+def test_repositories_hold_few(spark, repo, tmp_path):
+    from graphloom.engine import Repositories
+
+    (tmp_path / "a.py").write_text("def one(): pass\n")
+    kept = Repositories(spark, most=1)
+    first = kept.get_or_index(str(tmp_path))
+    assert kept.get_or_index(str(tmp_path)) is first and [r.qname for r in first.symbols.collect()] == ["a.one"]
+    (tmp_path / "a.py").write_text("def two(): pass\n")
+    assert [r.qname for r in kept.reindex(str(tmp_path)).symbols.collect()] == ["a.two"]
+    kept.get_or_index(repo)
+    assert kept.get_or_index(str(tmp_path)) is not first and len(kept._held) == 1
+    assert {r.kind for r in kept.get_or_index(repo).status_by_kind().collect()} == {"class", "function", "method"}
