@@ -15,7 +15,7 @@ from .functions import scores, text
 from .functions.bits import compose_mask
 from .operators import compress, graph, joins, packing, profiles, reports, surface, tagging
 from .plans.tag_filter import QueryValidationError, tag_filter
-from .sources import files, python_source
+from .sources import files, other_languages, python_source
 from .storage import written
 
 TASK_TYPES = ("implement", "debug", "blast", "architecture", "redundancy")
@@ -86,8 +86,9 @@ class Engine(RetrievalEngine):
         if snapshot and (held := files.load_snapshot(spark, snapshot, SNAPSHOT_VERSION, sources)):
             return cls(held["files"], held["symbols"], held["edges"])
         parsed = written(python_source.parse_files(sources.where("language = 'python'")))
-        symbols = written(python_source.symbols_of(parsed))
-        edges = written(python_source.edges_of(parsed))
+        others = sources.where("language <> 'python'").select("path", "module", "language", F.col("content").alias("source"))
+        symbols = written(python_source.symbols_of(parsed).unionByName(other_languages.symbols(others), allowMissingColumns=True))
+        edges = written(python_source.edges_of(parsed).unionByName(other_languages.type_edges(others, symbols), allowMissingColumns=True))
         listed = sources.select("path", "module", "language", "sha", "content").join(parsed.select("path", "error"), "path", "left")
         out = cls(written(listed), symbols, edges)
         if snapshot:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # How strongly each relation ties two symbols.
 RELATION_WEIGHTS = {"CALLS": 1.0, "INSTANTIATES": 1.0, "OVERRIDES": 0.90, "EXTENDS": 0.85, "EMBEDS": 0.85, "IMPLEMENTS": 0.80}
+# Confidence of tentative calls, gains and penalties of edges, costs of tags and hops, trust of environments, names of logging calls.
 TENTATIVE = {"TENTATIVE_CALL": 0.60, "TENTATIVE_DYNAMIC_CALL": 0.65}
 UNOBSERVED, CONFIRMED, HIGH_TRUST = 0.50, 0.5, 0.5
 DATA_FLOW_GAIN, GUARD_GAIN = 0.25, 0.15

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Extensions, languages and their precision tiers.
 EXTENSIONS = {".py": "python", ".go": "go", ".ts": "typescript", ".tsx": "tsx", ".js": "javascript", ".jsx": "javascript", ".java": "java", ".cs": "c_sharp"}
+# Folders that aren't read.
 IGNORED_DIRS = (".git", "__pycache__", "node_modules", "vendor", "dist", "build", "venv", ".venv", "site-packages")
 # Paths of tests.
 TEST_PATTERNS = (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import environment_weight
 
+# Limits of trust and of runs that show it, names of anonymous code, statements that write.
 LOW_TRUST, HIGH_TRUST, LEAST_RUNS = 0.5, 0.9, 10
 ANONYMOUS = r"<(lambda|listcomp|setcomp|dictcomp|genexpr)>"
 WRITE_VERBS = ("INSERT", "UPDATE", "DELETE", "REPLACE", "MERGE", "UPSERT")

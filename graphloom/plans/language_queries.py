@@ -59,7 +59,7 @@ def java_csharp_imports(t):
     key = F.col("p_partkey")
     java = _text("package p;\nimport com.a.B", key, ";\nimport com.c.*;\nimport static com.d.E.f;\n")
     sharp = _text("using System;\nusing App.M", key % 3, ";\nusing X = Y.Z;\nusing static A.B;\nglobal using G;\n")
-    return _bindings(t, F.when(key % 2 == 0, java).otherwise(sharp), lambda s: languages.imports(F.when(key % 2 == 0, "java").otherwise("csharp"), s))
+    return _bindings(t, F.when(key % 2 == 0, java).otherwise(sharp), lambda s: languages.imports(F.when(key % 2 == 0, "java").otherwise("c_sharp"), s))
 
 
 def _clauses():

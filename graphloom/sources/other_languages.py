@@ -110,7 +110,7 @@ def imports(language: Column, source: Column) -> Column:
         F.when(language.isin("javascript", "typescript", "tsx"), js)
         .when(language == "go", go_imports(source))
         .when(language == "java", java_imports(source))
-        .when(language == "csharp", csharp_imports(source))
+        .when(language == "c_sharp", csharp_imports(source))
         .otherwise(none)
     )
 
@@ -153,7 +153,7 @@ DEFINITIONS = {
     "java": (("class", r"^\s*(?:(?:public|protected|private|abstract|final|static|sealed)\s+)*(?:class|record|enum)\s+(\w+)"), ("interface", r"^\s*(?:(?:public|protected|private|static|sealed)\s+)*interface\s+(\w+)"), ("method", r"^\s+(?:(?:public|protected|private|static|final|abstract|synchronized|default|override|virtual|async)\s+)+[\w<>\[\],.? ]+?\s(\w+)\s*\([^;]*$")),
 }
 DEFINITIONS["typescript"] = DEFINITIONS["tsx"] = DEFINITIONS["javascript"]
-DEFINITIONS["csharp"] = DEFINITIONS["java"]
+DEFINITIONS["c_sharp"] = DEFINITIONS["java"]
 
 
 def definitions(files: DataFrame) -> DataFrame:
@@ -174,6 +174,38 @@ def definitions(files: DataFrame) -> DataFrame:
     return found.select("path", "language", "kind", "name", holder.alias("holder"), (F.col("at") + 1).alias("line"))
 
 
+def symbols(files: DataFrame) -> DataFrame:
+    """(path, module, qname, kind, name, enclosing_class, start, end) of the definitions in files (path, module, language, source); one ends before the next begins."""
+    from pyspark.sql import Window
+
+    found = definitions(files).join(files.select("path", "module", F.size(F.split("source", "\n")).alias("lines")), "path")
+    w = Window.partitionBy("path").orderBy("line", "name")  # one file
+    owner = F.when(F.col("holder").isNotNull(), F.concat_ws(".", "module", "holder"))
+    rows = found.select("path", "module", F.concat_ws(".", "module", "holder", "name").alias("qname"), "kind", "name", owner.alias("enclosing_class"), F.col("line").alias("start"), F.coalesce(F.lead("line").over(w) - 1, F.col("lines")).alias("end"))
+    again = F.row_number().over(Window.partitionBy("qname").orderBy("path", "start"))  # definitions of one name
+    return rows.withColumn("n_", again).withColumn("qname", F.when(F.col("n_") == 1, F.col("qname")).otherwise(F.concat("qname", F.lit("#"), F.col("n_").cast("string")))).drop("n_")
+
+
+def type_edges(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(src, dst, relation) between types: heritage of JavaScript and TypeScript, embedding of Go; files as in symbols."""
+    from ..operators.linking import embed_edges, heritage_edges
+
+    scripts = files.where(F.col("language").isin("javascript", "typescript", "tsx"))
+    clauses = scripts.select(F.col("path").alias("file"), "module", F.explode(ts_heritage(F.col("source"))).alias("c")).select("file", "module", F.concat_ws(".", "module", "c.name").alias("qname"), "c.base", "c.relation")
+    bound = scripts.select("path", F.explode(js_imports(F.col("source"))).alias("b")).select("path", "b.local", "b.specifier", "b.member")
+    named = resolve_specifiers(bound, files.select("path")).select(F.col("path").alias("file"), "local", F.concat_ws(".", "module", F.nullif(F.col("member"), F.lit(""))).alias("target")).dropDuplicates(["file", "local"])
+    none = files.select(F.col("path").alias("file"), "module", F.lit(0).alias("ord")).where(F.lit(False))
+    up = heritage_edges(clauses, named, symbols.select("qname", "module", "name", "kind"), none)
+    embeds = files.where("language = 'go'").select(module_folder(F.col("path")).alias("module"), F.explode(go_embeds(F.col("source"))).alias("e")).select("module", "e.name", "e.embedded")
+    types = symbols.where("path LIKE '%.go' AND kind IN ('class', 'interface')").select(module_folder(F.col("path")).alias("module"), "name", "qname")
+    return up.unionByName(embed_edges(embeds, types))
+
+
+def module_folder(path: Column) -> Column:
+    """A Go package is its folder."""
+    return F.regexp_replace(path, r"/?[^/]*$", "")
+
+
 def joined_path(folder: Column, specifier: Column) -> Column:
     """folder/specifier with . and .. worked out; a path that leads above the top keeps what is left."""
     parts = F.filter(F.split(F.concat_ws("/", folder, specifier), "/"), lambda x: (x != "") & (x != "."))
