@@ -260,3 +260,13 @@ def test_repositories_hold_few(spark, repo, tmp_path):
     kept.get_or_index(repo)
     assert kept.get_or_index(str(tmp_path)) is not first and len(kept._held) == 1
     assert {r.kind for r in kept.get_or_index(repo).status_by_kind().collect()} == {"class", "function", "method"}
+
+
+def test_other_languages_in_the_index(spark, tmp_path):
+    for name, source in {"web/a.ts": "import { Base } from './b';\nexport class K extends Base implements I {\n}\ninterface I {\n}\n", "web/b.ts": "export class Base {\n}\n", "svc/m.go": "package m\ntype T struct {\n\tP\n}\nfunc (t *T) Run() {\n}\n", "svc/p.go": "package m\ntype P struct { }\n", "x.py": "def f(): pass\n"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(source)
+    made = Engine.from_repo(spark, str(tmp_path))
+    assert {(r.qname, r.kind, r.start, r.end) for r in made.symbols.collect()} >= {("web.a.K", "class", 2, 3), ("web.b.Base", "class", 1, 3), ("svc.m.T.Run", "method", 5, 7), ("x.f", "function", 1, 1)}
+    assert {(r.src, r.dst, r.relation) for r in made.edges.collect()} == {("web.a.K", "web.b.Base", "EXTENDS"), ("web.a.K", "web.a.I", "IMPLEMENTS"), ("svc.m.T", "svc.p.P", "EMBEDS")}
+    assert made.masks().count() == made.symbols.count()
