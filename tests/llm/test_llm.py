@@ -439,19 +439,126 @@ def test_line_dedup_many(spark):
     assert got == brute_lines(rows)
 
 
+def test_line_dedup_other_columns(spark):
+    df = spark.createDataFrame([(1, "a\nb"), (None, None)], "doc_id long, text string").select("*", F.struct(F.lit(1).alias("a b")).alias("s t"), F.lit(0).alias("n_lines"), F.lit(0).alias("q_n_lines"), F.lit(0).alias("x.y"))
+    out = line_dedup.line_dedup(df)
+    assert out.columns == [*df.columns, "q_q_n_lines", "n_dropped"] and sorted(out.select("q_q_n_lines").collect()) == [(1,), (2,)]
+
+
+# the classifier's parts by brute force
+
+
+def test_context_sums_by_brute_force(spark):
+    import xxhash
+
+    texts = [prose(i, 30) for i in range(6)] + ["one", "", None, "two words", "a a a b a"]
+    df = spark.createDataFrame([(t.encode() if t is not None else None,) for t in texts], "text binary").repartition(3)
+    got, index = quality_classifier.context_vectors(df), quality_classifier.index_vectors()
+    wanted = np.zeros_like(got)
+    for t in texts:
+        slots = [xxhash.xxh3_64_intdigest(w) % quality_classifier.SLOTS for w in words(t)]
+        for i, a in enumerate(slots):
+            for j in range(max(0, i - quality_classifier.WINDOW), min(len(slots), i + quality_classifier.WINDOW + 1)):
+                if i != j:
+                    wanted[a] += index[slots[j]]
+    assert (got == wanted).all() and (np.abs(index).sum(1) == quality_classifier.ENTRIES).all()
+    vectors = quality_classifier.word_vectors(got)
+    norm = np.linalg.norm(got, axis=1, keepdims=True)
+    assert np.allclose(vectors[:, : quality_classifier.DIMS] * np.maximum(norm, 1), got, atol=1e-4) and np.allclose(vectors[:, quality_classifier.DIMS :] * 2, index)
+    pooled = quality_classifier.pooled([t.encode() if t is not None else None for t in texts], vectors)
+    for row, t in zip(pooled, texts, strict=True):
+        mine = [vectors[xxhash.xxh3_64_intdigest(w) % quality_classifier.SLOTS] for w in words(t)] or [np.zeros(vectors.shape[1])]
+        assert np.allclose(row, [*np.mean(mine, 0), *np.sqrt(np.mean(np.square(mine), 0)), np.log1p(len(words(t)))], atol=1e-5)
+    assert quality_classifier.pooled([], vectors).shape == (0, 2 * vectors.shape[1] + 1)
+
+
+def test_network_and_temperature():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 5))
+    y = (x[:, 0] * x[:, 1] + 0.3 * rng.normal(size=1200) > 0).astype(float)
+    model = quality_classifier.Network().fit(x, y)
+    assert np.mean((model.score(x) >= 0.5) == y) > 0.85
+    z = np.clip((x - model.mean) / model.scale, -8, 8)
+    a = np.tanh(z @ model.weights[0] + model.weights[1]) @ model.weights[2] + model.weights[3]
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(-np.clip(a / model.temperature, -40, 40))))
+    # the temperature is the best of its grid on the rows kept from learning
+    held = np.random.default_rng(model.seed).random(1200) < 0.25
+    loss = lambda t: np.mean(np.logaddexp(0, a[held] / t) - y[held] * a[held] / t)
+    assert loss(model.temperature) <= min(map(loss, np.exp(np.linspace(np.log(0.25), np.log(16), 200)))) + 1e-12
+
+
+def test_learns_from_a_bounded_number(spark):
+    rows = spark.createDataFrame([(i, b"t") for i in range(3000)] + [(5, b"u"), (None, b"v")], "doc_id long, text binary")
+    told = spark.createDataFrame([(i, i % 2) for i in range(0, 4000, 2)] + [(4, 1), (None, 1), (7, None), (9, 2)], "doc_id long, quality int")
+    all_ = quality_classifier.learned_rows(rows, told, 10**6)
+    wanted = {i for i in range(0, 3000, 2) if i != 4 and zlib.crc32(str(i).encode()) % 3 != 1}
+    assert {r.doc_id for r in all_.collect()} == wanted
+    few = {r.doc_id for r in quality_classifier.learned_rows(rows, told, 100).collect()}
+    order = sorted(wanted, key=dict(spark.range(3000).select("id", quality_classifier.id_hash(F.col("id"))).collect()).__getitem__)
+    assert few == set(order[: len(few)]) and 100 <= len(few) < 400
+
+
 # pipeline
 
 
-def test_pipeline_stages(spark):
+def brute_quality(rows, labels, alpha=0.02, delta=0.05):
+    """Ids that the rules keep, by plain arithmetic; rows: (doc_id, text, lang)."""
+    from math import comb
+
+    facts, good = [], {i for i, q in labels if q == 1} - {i for i, q in labels if q != 1}
+    for i, text, lang in rows:
+        n, _, symbols, dups, repeats = brute_counts(text)
+        lines = sum(bool(x.strip(" \t\n\x0b\x0c\r")) for x in (text or "").split("\n"))
+        share = lambda part, whole: part * 1000 // whole if whole else 0
+        facts.append((i, lang or "", n < 50 or 100 * repeats > 50 * n, (share(symbols, n), share((text or "").count("!"), n), share(repeats, n), share(dups, lines))))
+    told = collections.defaultdict(list)
+    for i, lang, failed, signals in facts:
+        if i in good and not failed:
+            for s, x in enumerate(signals):
+                told[lang, s].append(x)
+    cut = {}
+    for (lang, s), seen in told.items():
+        n, p = len(seen), alpha / 4
+        for step in range(1, 41):
+            k = sum(x >= step * 25 for x in seen)
+            if k < n * p and sum(comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)) * len(told) <= delta:
+                cut[lang, s] = step * 25
+                break
+    return {i for i, lang, failed, signals in facts if not failed and not any(x >= cut.get((lang, s), 10**9) for s, x in enumerate(signals))}
+
+
+def brute_items(rows, items):
+    def grams(text):
+        w = [x.lower() for x in words(text)]
+        k = min(5, len(w))
+        return {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else set()
+
+    wanted = [g for _, t in items if (g := grams(t))]
+    return {i for i, t in rows if any(100 * len(g & have) >= 80 * len(g) for have in [grams(t)] for g in wanted)}
+
+
+def test_pipeline_stages(spark, ranks):
     import corpus_pipeline
+    import tiktoken
+
     from graphloom.llm._common import written
 
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    own = tiktoken.Encoding("own", pat_str=byte_bpe.split_pattern(), mergeable_ranks=ranks, special_tokens={})
+    read = lambda name: spark.read.parquet(f"{DATA}/{name}.parquet")
+    docs = read("documents")
     columns, before = docs.columns, docs.count()
     for name, stage in corpus_pipeline.STAGES:
         rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+        langs = [tuple(r) for r in docs.select("doc_id", "text", "lang").collect()] if name == "quality rules" else []
         docs = written(stage(spark, docs, DATA))
         kept = {r.doc_id for r in docs.select("doc_id").collect()}
+        if name == "quality rules":
+            assert kept == brute_quality(langs, [tuple(r) for r in read("labels").select("doc_id", "quality").collect()])
+        if name == "decontamination":
+            assert kept == {i for i, _ in rows} - brute_items(rows, [tuple(r) for r in read("benchmark").select("item_id", "text").collect()])
+        if name == "byte-level BPE":
+            wanted = {(i, len(x), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest()) for i, t in rows for x in [own.encode_ordinary(t)]}
+            assert {tuple(r) for r in docs.select("doc_id", "n_tokens", "ids_sha256").collect()} == wanted
         if name == "near dedup":
             assert kept == {i for i, _, c, k in brute_components(rows, 5, 80, 100) if k}
         if name == "line dedup":
@@ -461,3 +568,40 @@ def test_pipeline_stages(spark):
             assert docs.columns == columns
     assert 0 < len(kept) < before
     assert {tuple(r) for r in corpus_pipeline.run(spark, DATA).collect()} == {tuple(r) for r in docs.collect()}
+
+
+def test_quality_stage_with_cutoffs(spark):
+    from graphloom.llm._common import written
+
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang").collect()]
+    told = [tuple(r) for r in labels.select("doc_id", "quality").collect()]
+    kept = {r.doc_id for r in written(quality_rules.quality_filter(docs, labels, alpha=quality_rules.LOOSE_ALPHA)).collect()}
+    wanted = brute_quality(rows, told, quality_rules.LOOSE_ALPHA)
+    assert kept == wanted and len(wanted) < sum(not f for f in (n < 50 or 100 * r > 50 * n for n, _, _, _, r in (brute_counts(t) for _, t, _ in rows)))
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, labels, tmp_path):
+    import corpus_pipeline
+
+    df, rows = odd
+    bench = spark.createDataFrame([(1, prose(5)), (2, None), (None, "x"), (3, "")], "item_id long, text string").withColumn("doc_id", F.lit("clash"))
+    for name, frame in {"labels": labels, "benchmark": bench}.items():
+        frame.write.parquet(f"{tmp_path}/full/{name}.parquet")
+        empty(frame).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    more = df.select("*", F.lit("clash").alias("q_row"), F.lit(0).alias("q_hit"), F.lit(0).alias("hit"), F.lit(0).alias("lost"), F.lit(0).alias("n_lines.x"))
+    for kind in ("full", "none"):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, more, f"{tmp_path}/{kind}")
+            assert stage(spark, empty(more), f"{tmp_path}/{kind}").count() == 0
+            got = collections.Counter(r.doc_id for r in out.select("doc_id").collect())
+            if name != "byte-level BPE":
+                assert out.columns == more.columns
+            if name == "quality rules":  # only texts of 50 words that don't repeat themselves
+                assert got == collections.Counter(i for i, t in rows if len(words(t)) >= 50 and i != 9)
+            if name in ("line dedup", "byte-level BPE"):
+                assert got == collections.Counter(i for i, _ in rows)
+            if name == "near dedup":  # rows with one id stay together, no words and no id stay
+                assert got == collections.Counter(i for i, _ in rows)
+            if name == "decontamination":
+                assert got == collections.Counter(i for i, _ in rows if kind == "none" or i != 5)
