@@ -161,10 +161,15 @@ def snapshot_validity(t):
     return joins.snapshot_matches(t("documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("sha")), t("documents").where("lang <> 'es'").select(F.col("doc_id").alias("path"), F.length("text").cast("long").alias("sha")))
 
 
-@query()
+@query("""WITH n AS (SELECT lower('app.supplier_' || s_nationkey || '.' || s_name) AS qname FROM supplier UNION ALL SELECT lower('app.customer_' || c_nationkey || '.' || c_name) FROM customer), q AS (SELECT 'app.supplier#00000000' || n_nationkey AS query FROM nation),
+x AS (SELECT query, qname, string_split(qname, '.')[-1] AS a, string_split(query, '.')[-1] AS b, list_distinct(list_filter(string_split_regex(lower(qname), '[._]'), lambda v: v <> '')) AS ta, list_distinct(list_filter(string_split_regex(lower(query), '[._]'), lambda v: v <> '')) AS tb FROM n CROSS JOIN q),
+s AS (SELECT query, qname, greatest(CASE WHEN (lower(left(a, 1)) = lower(left(b, 1)) OR lower(right(a, 1)) = lower(right(b, 1))) AND least(length(a), length(b)) >= 0.6 * greatest(length(a), length(b)) THEN 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) ELSE 0 END,
+  CASE WHEN least(len(ta), len(tb)) >= 0.6 * greatest(len(ta), len(tb)) THEN len(list_intersect(ta, tb))::DOUBLE / len(list_distinct(ta || tb)) ELSE 0 END) AS score FROM x)
+SELECT query, qname, score, (row_number() OVER (PARTITION BY query ORDER BY score DESC, qname))::INTEGER AS rank FROM s WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, qname) <= 5""")
 def suggest_similar_seeds(t):
-    """Names like those of 25 nations, among suppliers and customers (brute force in tests)."""
-    names = t("supplier").select(F.lower(F.concat(F.lit("app.supplier_"), F.col("s_nationkey").cast("string"), F.lit("."), "s_name")).alias("qname"))
+    """Names like those of 25 nations, among suppliers and customers."""
+    name = lambda kind, nation, own: F.lower(F.concat(F.lit(f"app.{kind}_"), F.col(nation).cast("string"), F.lit("."), own)).alias("qname")
+    names = t("supplier").select(name("supplier", "s_nationkey", "s_name")).unionByName(t("customer").select(name("customer", "c_nationkey", "c_name")))
     queries = t("nation").select(F.concat(F.lit("app.supplier#00000000"), F.col("n_nationkey").cast("string")).alias("query"))
     return joins.similar_names(names, queries)
 

@@ -231,7 +231,7 @@ def test_core_queries_without_sql_compute_what_they_say(spark):
     from conftest import DATA
 
     without = set(plans.QUERIES) - set(plans.SQL)
-    assert without == {"betweenness", "graph_metrics", "suggest_similar_seeds", "bootstrap_ci", "ordered_subsequence_coverage", "submodular_packing", "distance_packing", "causal_path", "doc_summary", "count_tokens"}
+    assert without == {"betweenness", "graph_metrics", "bootstrap_ci", "ordered_subsequence_coverage", "submodular_packing", "distance_packing", "causal_path", "count_tokens"}
     got = {r.event_type: (r["mean"], r.low, r.high) for r in plans.QUERIES["bootstrap_ci"](spark, DATA).collect()}
     plain = {r.event_type: (r.m, r.s, r.n) for r in spark.read.parquet(f"{DATA}/events.parquet").groupBy("event_type").agg(F.avg("value").alias("m"), F.stddev("value").alias("s"), F.count("*").alias("n")).collect()}
     for k, (mean, low, high) in got.items():
