@@ -41,7 +41,7 @@ class GreedyPacker:
         self.upstream, self.preserving, self.scoped = upstream or {}, preserving, scoped
         own = nodes.get(seed)
         self.cost, self.covered = (own.cost, own.mask) if own else (0, 0)
-        self.picked, self.frontier, self.streak = [seed], set(), 0
+        self.picked, self.chosen, self.frontier, self.streak = [seed], {seed}, set(), 0
         self.distance = {n: c.distance for n, c in nodes.items() if c.distance is not None}
 
     def in_scope(self, name: str) -> bool:
@@ -64,13 +64,13 @@ class GreedyPacker:
     def best(self, pool, streak_counts: bool) -> str | None:
         """The densest that fits; ties go to the first name."""
         choice, top = None, -1.0
-        for name in sorted(pool):
+        for name in pool:
             if self.cost + self.nodes[name].cost > self.budget or self.mismatched(name):
                 continue
             if streak_counts and self.streak >= STREAK and not self.novelty(name) and self.distance[name] > IMMUNE_DISTANCE:
                 continue
             d = self.density(name)
-            if d > top:
+            if d > top or d == top and name < choice:
                 choice, top = name, d
         return choice
 
@@ -80,12 +80,13 @@ class GreedyPacker:
         elif self.distance[name] > IMMUNE_DISTANCE:
             self.streak += 1
         self.picked.append(name)
+        self.chosen.add(name)
         self.cost += self.nodes[name].cost
         self.covered |= self.nodes[name].mask
         self.frontier.discard(name)
 
     def discover(self, name: str) -> set[str]:
-        new = {s for s in self.nodes[name].successors if s in self.distance and s not in self.picked and s not in self.frontier and self.nodes[s].distance is not None and self.nodes[s].distance <= self.max_hops and self.nodes[s].cost > 0 and self.in_scope(s)}
+        new = {s for s in self.nodes[name].successors if s in self.distance and s not in self.chosen and s not in self.frontier and self.nodes[s].distance is not None and self.nodes[s].distance <= self.max_hops and self.nodes[s].cost > 0 and self.in_scope(s)}
         self.frontier |= new
         return new
 
@@ -153,7 +154,16 @@ def select_submodular(candidates: DataFrame, max_hops: float = 6.0, scoped: bool
         return out
 
     kind = candidates.schema["query"].dataType.simpleString()
-    return candidates.groupBy("query").applyInPandas(pack, f"query {kind}, qname string, ord int, running_cost long")
+    return callers_within_cap(candidates).groupBy("query").applyInPandas(pack, f"query {kind}, qname string, ord int, running_cost long")
+
+
+def callers_within_cap(candidates: DataFrame) -> DataFrame:
+    """candidates without callers that can't be chosen: those that the seed doesn't reach and that aren't among its nearest few; so a seed with many callers is no large group."""
+    able = (F.col("upstream") <= UPSTREAM_HOPS) & (F.col("cost") > 0)
+    w = Window.partitionBy("query").orderBy(F.when(able, 0).otherwise(1), "upstream", "qname")
+    reached = candidates.where("distance IS NOT NULL OR qname = seed OR upstream IS NULL")
+    callers = candidates.where("upstream IS NOT NULL").withColumn("k_", F.row_number().over(w)).where(F.col("k_") <= UPSTREAM_CAP).drop("k_")  # a rank filter, applied before the shuffle too
+    return reached.unionByName(callers.where("distance IS NULL AND qname <> seed"))
 
 
 def first_fit(requests: DataFrame) -> DataFrame:
