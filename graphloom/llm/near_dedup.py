@@ -184,17 +184,19 @@ def open_tiles(stars: DataFrame, dealt: DataFrame, labels: DataFrame, sizes: Dat
         .join(labels, "id", "left")
         .select("pivot", "id", F.coalesce("label", "id").alias("label"), "bytes", (away & (F.col("home") != F.col("pivot"))).alias("guest"))
     )
-    state = members.groupBy("pivot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("guest").alias("guests")).join(dealt, "pivot", "left")
-    waiting = state.where("lo < hi AND (guests OR coalesce(parts, 1) > 1)").select("pivot")
-    left = members.join(waiting, "pivot", "left_semi")
-    fill = left.groupBy("pivot", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).withColumn("parts", parts_of("n", "bytes", tile_rows, tile_bytes))
+    # of each star's labels; rows of a star meet what is known of it in one join, on star and label
+    fill = members.groupBy("pivot", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.max("guest").alias("guests"))
+    state = fill.groupBy("pivot").agg(F.count("*").alias("labels"), F.max("guests").alias("guests")).join(dealt, "pivot", "left")
+    waiting = state.where("labels > 1 AND (guests OR coalesce(parts, 1) > 1)").select("pivot")
+    fill = fill.join(waiting, "pivot", "left_semi").withColumn("parts", parts_of("n", "bytes", tile_rows, tile_bytes))
     heavy = (F.col("n") * 2 > tile_rows) | (F.col("bytes") * 2 > tile_bytes)
     light = fill.where(~heavy).groupBy("pivot").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).select("pivot", parts_of("n", "bytes", tile_rows, tile_bytes).alias("mixed"))
     ordered = Window.partitionBy("pivot").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)  # a star has at most two heavy labels for each tile's worth of sets
     alone = fill.where(heavy).select("pivot", "label", F.col("parts").alias("own"), F.coalesce(F.sum("parts").over(ordered), F.lit(0)).cast("int").alias("before"))
-    total = alone.groupBy("pivot").agg(F.sum("own").cast("int").alias("pure"))
-    dealt_left = left.join(alone, ["pivot", "label"], "left").join(light, "pivot", "left").join(total, "pivot", "left")
-    dealt_left = dealt_left.withColumns({"mixed": F.coalesce("mixed", F.lit(0)), "pure": F.coalesce("pure", F.lit(0))})
+    total = fill.where(heavy).groupBy("pivot").agg(F.sum("parts").cast("int").alias("pure"))
+    known = fill.select("pivot", "label").join(alone, ["pivot", "label"], "left").join(light, "pivot", "left").join(total, "pivot", "left")
+    known = written(known.withColumns({"mixed": F.coalesce("mixed", F.lit(0)), "pure": F.coalesce("pure", F.lit(0))}))
+    dealt_left = members.join(known, ["pivot", "label"])
     first = F.col("mixed") + F.col("before")
     part = F.when(F.col("own").isNull(), F.pmod(F.xxhash64("id"), F.greatest("mixed", F.lit(1)))).otherwise(first + F.pmod(F.xxhash64("id"), "own")).cast("int")
     span = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>"))
