@@ -103,13 +103,16 @@ class Shard:
         self.docs = pa.ipc.open_file(opened(f"{path}/{name}.docs.arrow")).read_all()
         self.length = self.file.schema.field("ids").type.list_size
         self.rows = self.file.get_batch(0).num_rows if self.file.num_record_batches else 1
+        self.last = -1, None
 
     def __len__(self) -> int:
         k = self.file.num_record_batches
         return 0 if not k else (k - 1) * self.rows + self.file.get_batch(k - 1).num_rows
 
     def _ids(self, batch: int):
-        return self.file.get_batch(batch).column(0).flatten().to_numpy(zero_copy_only=True)
+        if self.last[0] != batch:  # documents of one batch are read one after the other
+            self.last = batch, self.file.get_batch(batch).column(0).flatten().to_numpy(zero_copy_only=True)
+        return self.last[1]
 
     def sequence(self, i: int):
         """ids and mask (booleans) of the i-th sequence, both views of the file."""
