@@ -213,3 +213,12 @@ def relative_module(t):
     level = F.col("n_nationkey") % 4
     name = F.when(level == 0, "os.path").when(level != 2, "z")
     return t("nation").select("n_nationkey", text.relative_module(F.concat(F.lit("a.b."), "n_name"), F.col("n_regionkey") == 0, level, name).alias("module"))
+
+
+@query("""SELECT 'f' || p_partkey || '.py' AS path, pattern, text, line::INTEGER AS line FROM (SELECT p_partkey, unnest([{'pattern': 'definitions', 'text': 'K' || p_partkey, 'line': 2}, {'pattern': 'definitions', 'text': 'run', 'line': 4}, {'pattern': 'imports', 'text': 'import os', 'line': 1},
+  {'pattern': 'calls', 'text': 'os.getcwd', 'line': 5}, {'pattern': 'calls', 'text': 'app.get', 'line': 3}, {'pattern': 'calls', 'text': 'g' || p_size, 'line': 5}, {'pattern': 'decorators', 'text': 'app.get(''/x'')', 'line': 4}], recursive := true) FROM part)""")
+def source_captures(t):
+    source = F.concat(F.lit("import os\nclass K"), F.col("p_partkey").cast("string"), F.lit(":\n    @app.get('/x')\n    def run(self):\n        return g"), F.col("p_size").cast("string"), F.lit("(os.getcwd())\n"))
+    sources = written(t("part").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), source.alias("content")))
+    found = [python_source.captures(sources, p) for p in python_source.PATTERNS]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])

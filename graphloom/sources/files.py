@@ -99,6 +99,37 @@ def read_jsonc(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", "true").option("allowComments", "true").json(path)
 
 
+def path_aliases(spark: SparkSession, path: str) -> DataFrame:
+    """(prefix, target) of the path mappings of a tsconfig.json or jsconfig.json: each pattern that ends in *, and its first target below baseUrl."""
+    options = read_jsonc(spark, path, "compilerOptions struct<baseUrl:string,paths:map<string,array<string>>>").select("compilerOptions.*")
+    rows = options.select(F.regexp_replace(F.coalesce("baseUrl", F.lit(".")), r"^\./?|/$", "").alias("base"), F.explode("paths").alias("pattern", "targets"))
+    bare = lambda c: F.regexp_replace(c, r"\*$", "")
+    below = F.regexp_replace(bare(F.get("targets", F.lit(0))), r"^\./", "")
+    return rows.where("pattern LIKE '%*' AND size(targets) > 0").select(bare(F.col("pattern")).alias("prefix"), F.concat(F.when(F.col("base") != "", F.concat("base", F.lit("/"))).otherwise(""), below).alias("target"))
+
+
+def by_file_cached(files: DataFrame, compute, path: str) -> DataFrame:
+    """What compute gives for files (path, sha and others), row by row with path: kept at path for files whose hash is unchanged, computed for the others, and kept anew.
+
+    compute takes the files to work on and returns rows with their path. Files that are gone leave the cache.
+    """
+    from pyspark.errors import AnalysisException
+
+    from ..storage import written
+
+    spark = files.sparkSession
+    try:
+        kept = written(spark.read.parquet(path).join(files.select("path", "sha"), ["path", "sha"], "left_semi"))
+        todo = files.join(spark.read.parquet(f"{path}-files"), ["path", "sha"], "left_anti")
+    except AnalysisException:  # nothing kept
+        kept, todo = None, files
+    fresh = compute(todo).join(files.select("path", "sha"), "path")
+    rows = written(fresh if kept is None else kept.unionByName(fresh))
+    rows.write.mode("overwrite").parquet(path)
+    files.select("path", "sha").distinct().write.mode("overwrite").parquet(f"{path}-files")  # also files without rows
+    return rows.drop("sha")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """old with the rows of new in place of those with the same keys."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)

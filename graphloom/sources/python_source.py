@@ -231,6 +231,37 @@ def parse_files(files: DataFrame) -> DataFrame:
     return files.select("path", "module", "content").mapInPandas(run, FILE)
 
 
+#: Named patterns of a syntax tree: what captures gives for each.
+PATTERNS = {
+    "definitions": ((*FUNCTIONS, ast.ClassDef), lambda n: n.name),
+    "imports": ((ast.Import, ast.ImportFrom), ast.unparse),
+    "calls": ((ast.Call,), lambda n: chain_of(n.func)),
+    "decorators": ((*FUNCTIONS, ast.ClassDef), lambda n: [ast.unparse(d) for d in n.decorator_list]),
+}
+
+
+def captures(files: DataFrame, pattern: str) -> DataFrame:
+    """(path, pattern, text, line) of what a named pattern finds in Python files (path, content), in order of lines; files that can't be parsed have none."""
+    kinds, text_of = PATTERNS[pattern]
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for path, source in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    nodes = [n for n in ast.walk(ast.parse(source or "")) if isinstance(n, kinds)]
+                except (SyntaxError, ValueError, RecursionError):
+                    continue
+                for n in sorted(nodes, key=lambda n: (n.lineno, n.col_offset)):
+                    found = text_of(n)
+                    rows += [(path, pattern, t, n.lineno) for t in (found if isinstance(found, list) else [found]) if t]
+            yield pd.DataFrame(rows, columns=["path", "pattern", "text", "line"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, pattern string, text string, line int")
+
+
 def symbols_of(parsed: DataFrame) -> DataFrame:
     """One row per definition; a name that comes again is numbered name#2 and so on, in order of file and line."""
     from pyspark.sql import Window

@@ -215,6 +215,27 @@ def test_kept_tables(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "cache")).count() == 0 and spark.read.parquet(str(tmp_path / "cache")).columns == rows.columns
 
 
+def test_path_aliases(spark, tmp_path):
+    (tmp_path / "tsconfig.json").write_text('{ // aliases\n "compilerOptions": { "baseUrl": "./web", "paths": { "@/*": ["src/*", "x/*"], "~/*": ["./*"], "exact": ["one"] } } }')
+    assert {tuple(r) for r in files.path_aliases(spark, str(tmp_path / "tsconfig.json")).collect()} == {("@/", "web/src/"), ("~/", "web/")}
+
+
+def test_only_changed_files_are_computed(spark, tmp_path):
+    seen = []
+
+    def compute(todo):
+        seen.append(sorted(r.path for r in todo.collect()))
+        return todo.where("content <> ''").select("path", F.length("content").alias("n"))
+
+    first = spark.createDataFrame([("a", "1", "xx"), ("b", "1", "yyy"), ("e", "1", "")], "path string, sha string, content string")
+    path = str(tmp_path / "masks")
+    assert sorted(map(tuple, files.by_file_cached(first, compute, path).collect())) == [("a", 2), ("b", 3)]
+    second = spark.createDataFrame([("a", "1", "xx"), ("b", "2", "y"), ("c", "1", "zzzz"), ("e", "1", "")], "path string, sha string, content string")
+    assert sorted(map(tuple, files.by_file_cached(second, compute, path).collect())) == [("a", 2), ("b", 1), ("c", 4)]
+    assert sorted(map(tuple, files.by_file_cached(second.where("path = 'c'"), compute, path).collect())) == [("c", 4)]
+    assert seen == [["a", "b", "e"], ["b", "c"], []]
+
+
 def test_relative_module_column(spark):
     m = lambda module, package, level, name: one(spark, text.relative_module(F.lit(module), F.lit(package), F.lit(level), F.lit(name)))
     assert (m("a.b.c", False, 1, "d"), m("a.b", True, 1, "d"), m("a.b.c", False, 2, None), m("a", False, 3, "x"), m("a", False, 0, "os")) == ("a.b.d", "a.b.d", "a", "x", "os")
