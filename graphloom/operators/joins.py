@@ -53,8 +53,9 @@ def longest_prefix(texts: DataFrame, prefixes: DataFrame, text: str, prefix: str
     list, and not compared with every prefix.
     """
     known = prefixes.select(F.col(prefix).alias("p_")).distinct()
-    lengths = known.select(F.length("p_").alias("n_")).distinct()
-    tried = texts.join(F.broadcast(lengths), F.col("n_") <= F.length(text)).withColumn("p_", F.expr(f"left({text}, n_)"))  # as many rows as distinct lengths
+    lengths = sorted(r.n for r in known.select(F.length("p_").alias("n")).distinct().collect())  # no more than the longest prefix has characters
+    in_use = F.filter(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"), lambda n: n <= F.length(text))
+    tried = texts.withColumn("n_", F.explode(in_use)).withColumn("p_", F.expr(f"left({text}, n_)"))
     best = tried.join(known, "p_").groupBy(text).agg(F.max_by("p_", "n_").alias(prefix))
     return texts.join(best, text, "left")
 
