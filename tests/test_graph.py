@@ -118,7 +118,7 @@ def test_absorption(spark, pairs, sinks, wanted):
 def test_longest_path_and_cycle(spark):
     assert {r.node: r.depth for r in graph.longest_path(edge_frame(spark, [("a", "b"), ("b", "c"), ("a", "c")])).collect()} == {"a": 0, "b": 1, "c": 2}
     with pytest.raises(ValueError):
-        graph.longest_path(edge_frame(spark, [("a", "b"), ("b", "a")]), max_rounds=5)
+        graph.longest_path(edge_frame(spark, [("a", "b"), ("b", "a")]))
 
 
 def test_pagerank_sums_to_one(spark):
