@@ -59,3 +59,31 @@ def test_spans_are_located_once_a_line(spark):
     assert len(rows) == 600 and {r.qname for r in rows} == {2} and most <= 1200
     rows = joins.locate(probes, spans, rank=F.col("end") - F.col("start") + 2 * F.col("qname")).collect()
     assert {r.qname for r in rows} == {0}
+
+
+def test_contract_of_large_keys_is_that_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from graphloom.plans import all as plans
+
+    lineitem = [(1_500_000, 1, 1), (30, 1, 2), (2_000_001, 2, 3), (7, 2, 4), (8, 2, 6)]
+    spark.createDataFrame(lineitem, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, "F" if k == 8 else "O") for k, _, _ in lineitem], "o_orderkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for name in ("lineitem", "orders"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = {tuple(r) for r in plans.QUERIES["derive_contract"](spark, str(tmp_path)).select("callee", "caller", "line").collect()}
+    assert got == set(con.sql(plans.SQL["derive_contract"]).fetchall()) == {(1, 30, 1), (2, 7, 3)}
+
+
+def test_windows_of_odd_texts_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from graphloom.plans import all as plans
+
+    texts = [None, "", " \n", "a b", "a\x0bb\x1cc\xa0d e\ff", "x " * 512, " ".join("y" * 513), "z\n" * 960 + "z"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in plans.QUERIES["chunk_windows"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.sql(plans.SQL["chunk_windows"]).fetchall()) and (1, 0, 0) in got
