@@ -139,9 +139,14 @@ def phantom_mentions(texts: DataFrame, known: DataFrame, pattern: str = r"([A-Za
     return counts.withColumn("ratio", F.round(F.col("phantom") / F.col("mentions"), 6))
 
 
+def words(text: Column) -> Column:
+    """Words between spaces, tabs, line and form feeds and carriage returns."""
+    return F.filter(F.split(text, r"[\t\n\f\r ]+"), lambda x: x != "")
+
+
 def token_windows(text: Column, size: int = 512, overlap: int = 64) -> Column:
     """array<struct<first, tokens>>: windows of size tokens with overlap; no window of overlap alone."""
-    tokens = F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    tokens = words(text)
     n, stride = F.size(tokens), size - overlap
     starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(stride)), lambda i: (n > 0) & ((i == 0) | (i + overlap < n)))
     return F.transform(starts, lambda i: F.struct(i.alias("first"), F.slice(tokens, i + 1, size).alias("tokens")))
