@@ -105,18 +105,49 @@ def mode_by_group(rows: DataFrame, group: str, text: str, order: str, most: int
     return counted.groupBy(group).agg(F.max_by(F.struct(text, "n"), F.struct(F.col("n"), -F.col("k"))).alias("b")).select(group, f"b.{text}", "b.n")
 
 
+#: Groups whose sums of all resamples a task of the bootstrap holds at a time.
+GROUPS_AT_ONCE = 64
+
+
 def bootstrap_mean(rows: DataFrame, keys: list[str], value: str, resamples: int = 10_000, confidence: float = 0.95) -> DataFrame:
-    """keys, mean, low, high: Poisson bootstrap. Each row draws its weight in each resample from a hash, so one pass of partial sums is enough."""
-    draw = lambda b: (F.pmod(F.xxhash64(*keys, value, F.lit(b), F.col("r_")), F.lit(1_000_003)) / 1_000_003)
-    # inverse of the Poisson(1) distribution, in thousandths of its steps
-    steps = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940581, 0.99991676)
-    weight = lambda u: sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    each = rows.withColumn("r_", F.monotonically_increasing_id()).withColumn("b_", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    w = weight(draw(F.col("b_")))
-    sums = each.groupBy(*keys, "b_").agg(F.sum(w * F.col(value)).alias("s"), F.sum(w).alias("n")).where("n > 0")
+    """keys, mean, low, high: Poisson bootstrap; rows without a value count nowhere.
+
+    Equal rows draw their weights together, as a sum of Poisson(1) is a Poisson of their number, so draws grow
+    with distinct values. They are seeded by keys and value, and sums of each task are added up.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v_")).agg(F.count("*").alias("n_"))
+    group = F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)))
+    text = F.to_json(group, {"ignoreNullFields": "false"})
+    seeded = counted.select(text.alias("g_"), "v_", "n_", F.xxhash64(text, "v_").alias("seed_"))
+
+    def draw(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        sums: dict = {}
+
+        def out():
+            for g, (s, n) in sums.items():
+                yield pa.RecordBatch.from_pydict({"g_": pa.array([g] * resamples, pa.string()), "b_": pa.array(range(resamples), pa.int32()), "s": pa.array(s), "n": pa.array(n)})
+            sums.clear()
+
+        for batch in batches:
+            for g, v, n, seed in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if g not in sums:
+                    if len(sums) >= GROUPS_AT_ONCE:
+                        yield from out()
+                    sums[g] = (np.zeros(resamples), np.zeros(resamples, np.int64))
+                w = np.random.Generator(np.random.SFC64(seed & (1 << 64) - 1)).poisson(n, resamples)
+                sums[g][0][:] += w * v
+                sums[g][1][:] += w
+        yield from out()
+
+    drawn = seeded.repartition("g_", F.pmod("seed_", F.lit(64))).mapInArrow(draw, "g_ string, b_ int, s double, n long")
+    sums = drawn.groupBy("g_", "b_").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0")
     tail = (1 - confidence) / 2
-    ends = sums.groupBy(*keys).agg(F.percentile(F.col("s") / F.col("n"), F.lit(tail)).alias("low"), F.percentile(F.col("s") / F.col("n"), F.lit(1 - tail)).alias("high"))
-    return rows.groupBy(*keys).agg(F.avg(value).alias("mean")).join(ends, keys)
+    ends = sums.groupBy("g_").agg(F.percentile(F.col("s") / F.col("n"), F.lit(tail)).alias("low"), F.percentile(F.col("s") / F.col("n"), F.lit(1 - tail)).alias("high"))
+    means = rows.groupBy(*keys).agg(F.avg(value).alias("mean")).withColumn("g_", text)
+    return means.join(ends, "g_", "left").select(*keys, "mean", "low", "high")
 
 
 def paired_deltas(baseline: DataFrame, treatment: DataFrame, keys: list[str], field: str) -> DataFrame:

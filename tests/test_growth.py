@@ -87,3 +87,27 @@ def test_windows_of_odd_texts_are_those_of_the_sql(spark, tmp_path):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = sorted(tuple(r) for r in plans.QUERIES["chunk_windows"](spark, str(tmp_path)).collect())
     assert got == sorted(con.sql(plans.SQL["chunk_windows"]).fetchall()) and (1, 0, 0) in got
+
+
+def test_masses_walk_back_by_effect(spark):
+    from graphloom.operators import flow
+
+    pairs = [(f"o{i}", f"p{j}", False, 0.1) for i in range(10) for j in range(10)] + [(f"p{j}", f"s:{k}", True, 1 / 60) for j in range(10) for k in range(60)]
+    table = spark.createDataFrame(pairs, "src string, dst string, absorbed boolean, p double")
+    effect = F.element_at(F.array(*(F.lit(d) for d in flow.DIMENSIONS)), (F.substring("sink", 3, 20).cast("int") % 6 + 1))
+    rows, most = most_rows(flow.absorption_by_effect(table, effect))
+    wanted = {r.node: tuple(r)[1:] for r in flow.absorption(table).groupBy("node").agg(*flow.effect_sums(effect, F.col("mass"))).collect()}
+    assert len(rows) == 20 and most <= 40
+    assert all(abs(x - y) < 1e-9 for r in rows for x, y in zip(tuple(r)[1:], wanted[r.node], strict=True))
+
+
+def test_bootstrap_draws_once_for_equal_rows(spark):
+    from graphloom.operators import metrics
+
+    rows = spark.range(20_000).select((F.col("id") % 2).alias("k"), F.when(F.col("id") > 9, (F.col("id") % 20).cast("double")).alias("v"))
+    found, most = most_rows(metrics.bootstrap_mean(rows, ["k"], "v", 500))
+    assert most <= 40_000  # 500 draws of 20 values, where each row had 500
+    width = {r.k: r.high - r.low for r in found}
+    assert len(found) == 2 and all(0.7 < w / (2 * 1.96 * 5.74 / 10_000**0.5) < 1.3 for w in width.values()) and all(r.low < r.mean < r.high for r in found)
+    again = metrics.bootstrap_mean(rows.repartition(7), ["k"], "v", 500).collect()
+    assert {r.k: round(r.low, 9) for r in again} == {r.k: round(r.low, 9) for r in found}
