@@ -111,3 +111,41 @@ def test_bootstrap_draws_once_for_equal_rows(spark):
     assert len(found) == 2 and all(0.7 < w / (2 * 1.96 * 5.74 / 10_000**0.5) < 1.3 for w in width.values()) and all(r.low < r.mean < r.high for r in found)
     again = metrics.bootstrap_mean(rows.repartition(7), ["k"], "v", 500).collect()
     assert {r.k: round(r.low, 9) for r in again} == {r.k: round(r.low, 9) for r in found}
+
+
+def test_state_reads_take_each_pair_once(spark):
+    reads = spark.createDataFrame([(1, "a", "x"), (1, "a", "y"), (1, "a", "x"), (2, "a", "y"), (3, "b", "x"), (1, "c", "z")], "reader int, class string, name string")
+    held = spark.createDataFrame([("a", "x", 7), ("a", "y", 7), ("a", "x", 8), ("b", "x", 9), ("b", "x", 9), ("d", "x", 9)], "class string, name string, qname int")
+    found = joins.state_reads(reads, held)
+    assert sorted((r.src, r.dst) for r in found.collect()) == [(1, 7), (1, 8), (2, 7), (3, 9)]
+    text = joins.state_reads(reads, held)._jdf.queryExecution().optimizedPlan().toString()
+    assert not text.lstrip().startswith(("Aggregate", "Distinct", "Deduplicate"))
+
+
+def test_classes_of_the_same_bases_are_walked_from_once(spark, monkeypatch):
+    from graphloom.operators import graph
+
+    kept, real = [], graph.written
+
+    def noted(df):
+        out = real(df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "written", noted)
+    pairs = [(i, 1000 + j, j) for i in range(100) for j in range(2)] + [(1000, 2000, 0), (2000, 1000, 0), (1001, 2000, 0), (500, 1001, 0), (500, 1000, 1)]
+    found = {}
+    for r in graph.ancestors(spark.createDataFrame(pairs, "src int, dst int, k int"), F.col("k")).orderBy("node", "rank").collect():
+        found.setdefault(r.node, []).append(r.ancestor)
+    assert found == {i: [1000, 2000, 1001] for i in range(100)} | {500: [1001, 2000, 1000], 1000: [2000], 2000: [1000], 1001: [2000, 1000]}
+    assert max(kept[2:]) <= 20
+
+
+def test_bfs_sends_a_short_frontier(spark, monkeypatch):
+    from graphloom.operators import graph
+
+    asked, real = [], graph.sized
+    monkeypatch.setattr(graph, "sized", lambda df, rows, *more: (asked.append(rows), real(df, rows, *more))[1])
+    chain = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string")
+    got = {tuple(r) for r in graph.bfs(chain, spark.createDataFrame([("q", "a")], "query string, node string")).collect()}
+    assert got == {("q", "a", 0), ("q", "b", 1), ("q", "c", 2)} and asked == [1, 1, 1]
