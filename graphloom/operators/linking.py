@@ -90,8 +90,9 @@ def visibility_violations(edges: DataFrame, symbols: DataFrame, private: DataFra
 
 def transitive_callers(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, direct, transitive): callers of the callers of seeds (id)."""
-    direct = edges.join(seeds.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").select(F.col("dst").alias("seed"), F.col("src").alias("direct"))
-    return direct.join(edges.select(F.col("dst").alias("direct"), F.col("src").alias("transitive")), "direct").select("seed", "direct", "transitive").distinct()
+    direct = edges.join(seeds.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").select(F.col("dst").alias("seed"), F.col("src").alias("direct")).distinct()
+    # both sides are distinct, so their triples are too and needn't be shuffled again
+    return direct.join(edges.select(F.col("dst").alias("direct"), F.col("src").alias("transitive")).distinct(), "direct").select("seed", "direct", "transitive")
 
 
 def resolution_ratio(calls: DataFrame, symbols: DataFrame) -> DataFrame:

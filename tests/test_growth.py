@@ -149,3 +149,12 @@ def test_bfs_sends_a_short_frontier(spark, monkeypatch):
     chain = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string")
     got = {tuple(r) for r in graph.bfs(chain, spark.createDataFrame([("q", "a")], "query string, node string")).collect()}
     assert got == {("q", "a", 0), ("q", "b", 1), ("q", "c", 2)} and asked == [1, 1, 1]
+
+
+def test_callers_of_callers_are_not_shuffled_as_triples(spark):
+    from graphloom.operators import linking
+
+    edges = spark.createDataFrame([("p", "s"), ("p", "s"), ("o", "p"), ("o", "p"), ("u", "p"), ("p", "t"), ("x", "y")], "src string, dst string")
+    found = linking.transitive_callers(edges, spark.createDataFrame([("s",), ("s",), ("t",)], "id string"))
+    assert sorted(tuple(r) for r in found.collect()) == [("s", "p", "o"), ("s", "p", "u"), ("t", "p", "o"), ("t", "p", "u")]
+    assert not found._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("Aggregate")
