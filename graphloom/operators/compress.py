@@ -11,6 +11,8 @@ import ast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .groups import each_group
+
 # Parts of the names of calls that only report, and of lines of other languages that do.
 REPORTING = ("log", "print", "metric")
 REPORTING_LINES = ("console.log", "logger.", "log.", "fmt.Println", "System.out")
@@ -183,20 +185,18 @@ def bundle_constants(picked: DataFrame, references: DataFrame) -> DataFrame:
     """
     listed = picked.join(references, "qname", "left")
 
-    def choose(pdf):
-        import pandas as pd
-
-        own, left, out, seen = set(pdf["qname"]), pdf["left"].iat[0], {}, set()
-        for r in pdf.dropna(subset=["constant"]).sort_values(["ord", "constant"]).itertuples():
-            if r.constant in own or r.constant in seen or (left == left and left is not None and r.cost > left):
+    def choose(rows):
+        own, left, out, seen = {r[1] for r in rows}, rows[0][3], {}, set()
+        for query, qname, _, _, constant, cost in rows:
+            if constant is None or constant in own or constant in seen or (left is not None and cost is not None and cost > left):
                 continue
-            seen.add(r.constant)
-            out.setdefault(r.qname, []).append(r.constant)
-            left = left - r.cost if left == left and left is not None else left
-        return pd.DataFrame([(pdf["query"].iat[0], q, c) for q, c in out.items()], columns=["query", "qname", "constants"])
+            seen.add(constant)
+            out.setdefault((query, qname), []).append(constant)
+            left = left - cost if left is not None and cost is not None else None
+        return [(query, qname, constants) for (query, qname), constants in out.items()]
 
     kind = picked.schema["query"].dataType.simpleString()
-    return listed.select("query", "qname", "ord", "left", "constant", "cost").groupBy("query").applyInPandas(choose, f"query {kind}, qname string, constants array<string>")
+    return each_group(listed.select("query", "qname", "ord", "left", "constant", "cost"), "query", choose, f"query {kind}, qname string, constants array<string>", [F.asc_nulls_last("ord"), F.col("constant")])
 
 
 def enforce_budget(packages: DataFrame, tolerance: float = 0.05) -> DataFrame:

@@ -28,3 +28,56 @@ def test_values_of_arrow_arrays(spark):
     for kind, values in ((pa.string(), ["a", None, "", "b"]), (pa.int64(), [1 << 60 | 1, None, 3, 4]), (pa.int32(), [1, 2, 3, 4]), (pa.float64(), [0.5, None, float("inf"), 1.0]), (pa.bool_(), [True, None, False, True]), (pa.list_(pa.string()), [["a", None], None, [], ["b"]]), (pa.date32(), [None] * 4)):
         whole = pa.array(values, kind)
         assert values_of(whole) == values and values_of(whole.slice(1, 3)) == values[1:] and values_of(whole.slice(1, 0)) == []
+
+
+def test_first_fit_in_one_stream(spark):
+    from graphloom.operators import packing
+
+    rows = [(q, 10, k, f"i{k}", c) for q in (1, 2, None) for k, c in enumerate((4, 9, None, 6, 1))]
+    found = packing.first_fit(spark.createDataFrame(rows, "query int, budget int, ord int, qname string, cost long"))
+    assert "FlatMapGroupsInPandas" not in plan(found)
+    got = sorted((r.query or 0, r.ord, r.admitted, r.running_cost) for r in found.collect())
+    assert got == [(q, k, ok, n) for q in (0, 1, 2) for k, (ok, n) in enumerate(((True, 4), (False, 4), (False, 4), (True, 10), (False, 10)))]
+
+
+def test_candidates_are_scored_by_class_and_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from graphloom.plans import all as plans
+    from graphloom.plans import scalar_queries
+
+    spark.createDataFrame([(0, "A", 0), (1, "B", 0), (2, "C", 1), (6, "D", 1)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(k, n) for k, n in zip((1, 2, 3, 4, 5, -6, None, 8), (0, 1, 2, 6, 1, 1, 6, 9), strict=True)], "s_suppkey int, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(k, k % 3) for k in range(-9, 30)] + [(None, 1), (31, None)], "c_custkey int, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    for name in ("nation", "supplier", "customer"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    monkeypatch.setattr(scalar_queries, "tasks_for", lambda rows: 7)
+    found = plans.QUERIES["score_candidate"](spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 7
+    order = lambda rows: sorted(rows, key=str)
+    assert order((r.s_suppkey, r.c_custkey, r.score) for r in found.collect()) == order((s, c, float(x)) for s, c, x in con.execute(plans.SQL["score_candidate"]).fetchall())
+
+
+def test_chunks_are_dealt_to_tasks_with_equal_ones_together(spark, monkeypatch):
+    from graphloom.operators import joins
+
+    monkeypatch.setattr(joins, "tasks_for", lambda rows: 5)
+    chunks = spark.range(40).select(F.col("id").alias("chunk"), F.lit("f").alias("file"), (F.col("id") % 10 * 30).alias("first"), (F.col("id") % 10 * 30 + 40).alias("last"))
+    spans = spark.range(60).select(F.lit("f").alias("file"), (F.col("id") * 5).alias("start"), (F.col("id") * 5 + 70).alias("end"), F.col("id").alias("qname"))
+    found = joins.overlapping(chunks, spans)
+    assert found.rdd.getNumPartitions() == 5
+    rows = [tuple(r) for r in found.collect()]
+    assert sorted(rows) == sorted((c, s) for c in range(40) for s in range(60) if s * 5 <= c % 10 * 30 + 40 and s * 5 + 70 >= c % 10 * 30)
+    monkeypatch.setattr(joins, "BROADCAST_LIMIT", 0)
+    assert sorted(tuple(r) for r in joins.overlapping(chunks, spans).collect()) == sorted(rows)
+
+
+def test_constants_are_chosen_in_one_stream(spark):
+    from graphloom.operators import compress
+
+    picked = spark.createDataFrame([(1, "a", 1, 5), (1, "b", 2, 5), (2, "a", 1, None), (2, "b", 2, None), (3, "c", 1, 9)], "query int, qname string, ord int, left int")
+    references = spark.createDataFrame([("a", "k2", 3), ("a", "k1", 3), ("b", "k2", 3), ("b", "k3", 2), ("b", "a", 1)], "qname string, constant string, cost int")
+    found = compress.bundle_constants(picked, references)
+    assert "FlatMapGroupsInPandas" not in plan(found)
+    assert sorted((r.query, r.qname, r.constants) for r in found.collect()) == [(1, "a", ["k1"]), (1, "b", ["k3"]), (2, "a", ["k1", "k2"]), (2, "b", ["k3"])]
