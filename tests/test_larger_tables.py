@@ -93,3 +93,32 @@ def test_similar_names_are_found_where_they_lie(spark, monkeypatch):
     assert [(r.query, r.qname, r["rank"]) for r in rows] == [("app.alpha1", "app.x_1.alpha1", 1), ("app.alpha1", "app.x_1.alpha1", 2), ("lib.alpha2", "app.x_2.alpha2", 1), ("lib.alpha2", "app.x_1.alpha1", 2)]
     assert "SortMergeJoin" not in plan(found) and "BroadcastHashJoin" not in plan(found)
     assert joins.similar_names(names, queries, top=2).orderBy("query", "rank").collect() == rows
+
+
+def test_reach_of_several_queries_has_one_row_a_node(spark, monkeypatch):
+    from graphloom.operators import graph
+
+    edges = spark.createDataFrame([(f"a{i}", "b") for i in range(5)] + [("b", "c"), ("c", "d"), ("d", "b")], "src string, dst string")
+    sources = spark.createDataFrame([(f"q{i}", f"a{i}") for i in range(5)] + [("q9", "c")], "query string, node string")
+    asked, real = [], graph.sized
+    monkeypatch.setattr(graph, "sized", lambda df, rows, *more: (asked.append(rows), real(df, rows, *more))[1])
+    got = {tuple(r) for r in graph.bfs(edges, sources).collect()}
+    wanted = {(f"q{i}", n, h) for i in range(5) for n, h in ((f"a{i}", 0), ("b", 1), ("c", 2), ("d", 3))} | {("q9", "c", 0), ("q9", "d", 1), ("q9", "b", 2)}
+    assert got == wanted and asked == [6, 2, 2, 1]  # 5 queries are at one node from hop 1 on
+    near = {tuple(r) for r in graph.ego(edges, sources, 1).collect()}
+    assert near == {(f"q{i}", f"a{i}", "b") for i in range(5)} | {("q9", "c", "d")}
+    monkeypatch.setattr(graph, "TOGETHER", 0)
+    assert {tuple(r) for r in graph.bfs(edges, sources).collect()} == wanted and {tuple(r) for r in graph.ego(edges, sources, 1).collect()} == near
+
+
+def test_edges_in_buckets_are_not_shuffled_again(spark):
+    from graphloom.storage import written_by
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = written_by(spark.range(100).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")), "src", each=20)
+        joined = kept.join(spark.range(50).select((F.col("id") % 10).alias("src")).distinct(), "src")
+        assert joined.count() == 10
+        assert "Bucketed: true" in plan(joined)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
