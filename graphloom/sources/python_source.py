@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bits import bit
-from ..storage import written
+from ..operators.groups import values_of
+from ..storage import dealt, written
 
 SYMBOL = """struct<qname:string,kind:string,name:string,enclosing_class:string,start:int,end:int,is_async:boolean,params:array<struct<name:string,type:string,default:string>>,return_type:string,
 docstring:string,complexity:int,raises:array<string>,decorators:array<string>,mutations:array<string>,bases:array<string>,n_statements:int,structural_hash:string,form:bigint,output:bigint>"""
@@ -23,6 +24,8 @@ FILE = f"path string, module string, symbols array<{SYMBOL}>, imports array<{IMP
 BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.match_case)
 SCOPES = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda)
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+#: Files whose rows are handed back together.
+FILES_AT_ONCE = 1000
 MUTATING = ("append", "add", "update", "extend", "insert", "pop", "remove", "clear", "setdefault", "discard")
 
 
@@ -220,15 +223,21 @@ def parse_module(path: str, module: str, source: str) -> dict:
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """FILE rows of files (path, module, content string)."""
+    """FILE rows of files (path, module, content string), dealt to tasks by their number: parsing takes long for the few bytes of a file."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    fields = to_arrow_schema(StructType.fromDDL(FILE))
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
-            yield pd.DataFrame([parse_module(p, m, s or "") for p, m, s in zip(pdf["path"], pdf["module"], pdf["content"], strict=True)], columns=["path", "module", "symbols", "imports", "calls", "exports", "error"])
+        for batch in batches:
+            for k in range(0, batch.num_rows, FILES_AT_ONCE):
+                rows = zip(*map(values_of, batch.slice(k, FILES_AT_ONCE).columns), strict=True)
+                yield pa.RecordBatch.from_pylist([parse_module(p, m, s or "") for p, m, s in rows], schema=fields)
 
-    return files.select("path", "module", "content").mapInPandas(run, FILE)
+    return dealt(files.select("path", "module", "content"), "path").mapInArrow(run, FILE)
 
 
 #: Named patterns of a syntax tree: what captures gives for each.
@@ -259,7 +268,7 @@ def captures(files: DataFrame, pattern: str) -> DataFrame:
                     rows += [(path, pattern, t, n.lineno) for t in (found if isinstance(found, list) else [found]) if t]
             yield pd.DataFrame(rows, columns=["path", "pattern", "text", "line"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, pattern string, text string, line int")
+    return dealt(files.select("path", "content"), "path").mapInPandas(run, "path string, pattern string, text string, line int")
 
 
 def symbols_of(parsed: DataFrame) -> DataFrame:

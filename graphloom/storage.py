@@ -46,3 +46,8 @@ def sized(df: DataFrame, rows: int, row_bytes: int = 64, limit: int = BROADCAST_
 def tasks_for(rows: int, each: int = 2_000_000) -> int:
     """Tasks for a step that makes about so many rows, however few bytes it reads."""
     return max(1, min(4096, rows // each))
+
+
+def dealt(df: DataFrame, key: str, each: int = 5_000) -> DataFrame:
+    """df dealt by key to tasks of about each rows, for work that is long for the bytes of a row; the number is fixed, so that adaptive execution doesn't join the tasks again."""
+    return df.repartition(tasks_for(df.count(), each), F.xxhash64(key))
