@@ -11,6 +11,7 @@ import ast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import tasks_for
 from .groups import each_group
 
 # Parts of the names of calls that only report, and of lines of other languages that do.
@@ -156,7 +157,10 @@ def compress(files: DataFrame, definitions: DataFrame, compact: bool = False) ->
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["qname", "l0", "l1", "l2", "l3"])
 
-    return files.select("path", "language", "source").join(grouped, "path").select("language", "source", "defs").mapInArrow(run, TEXTS)
+    # dealt to tasks by number, as reading a file takes long for its few bytes; not by the key of the join, whose exchange would do for both and be joined again
+    tasks = tasks_for(definitions.count(), 5_000)
+    joined = files.select("path", "language", "source").join(grouped, "path").repartition(tasks, F.xxhash64("path"))
+    return joined.select("language", "source", "defs").mapInArrow(run, TEXTS)
 
 
 def with_costs(texts: DataFrame) -> DataFrame:
