@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..storage import shared_dir, sized, written, written_by
+from .groups import each_group
 
 #: Edges of a component that one task may hold; larger ones are worked on as tables.
 COMPONENT_EDGES = 200_000
@@ -147,18 +148,62 @@ def confirmed_reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
             return best.select("query", "node", "at.dist", (~F.col("at.plain")).alias("confirmed")).join(sources, ["query", "node"], "left_anti")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node of each weakly connected component."""
-    both = written(oriented(edges.select("src", "dst").where("src <> dst"), "both").distinct())
-    labels = written(both.groupBy(F.col("src").alias("node")).agg(F.least(F.col("node"), F.min("dst")).alias("component")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        above = labels.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        joined = labels.join(above, "component").join(near, "node", "left")
-        new = written(joined.select("node", F.least("component", "above", "near").alias("component"), (F.least("above", "near") < F.col("component")).alias("moved")))
-        labels = new.select("node", "component")
-        if not new.where("moved").limit(1).count():
-            return labels
+def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b), a < b, each once, as numbers of their ends, and the ends by number: (id, name). Numbers are hashes; where two names have the same, all are hashed anew."""
+    plain = edges.select("src", "dst").where("src <> dst")
+    for seed in count():
+        number = lambda c, seed=seed: F.xxhash64(F.col(c), F.lit(seed))
+        ends = plain.select(F.explode(F.array("src", "dst")).alias("node"))
+        names = written(ends.groupBy(number("node").alias("id")).agg(F.min("node").alias("name"), F.max("node").alias("other")))
+        if not names.where("name <> other").limit(1).count():
+            a, b = number("src"), number("dst")
+            return written(plain.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()), names.select("id", "name")
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """(node, label) of links (a, b) that one task holds: one label for all that are linked."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        up: dict = {}
+
+        def top(x):
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = top(a), top(b)
+                up[max(a, b)] = min(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([top(x) for x in list(up)], pa.int64())], ["node", "label"])
+
+    return links.coalesce(1).mapInArrow(run, "node long, label long")
+
+
+def components(edges: DataFrame, component_edges: int = COMPONENT_EDGES) -> DataFrame:
+    """(node, component): the smallest node of each weakly connected component.
+
+    Nodes are hashes, so that a shuffle carries numbers and their order is as good as random. In each round a
+    node takes the smallest of its own and its neighbours' numbers as its label; links between different labels,
+    each once, are what is left, which is a share of what was. What is left at component_edges is joined in one task.
+    """
+    left, names = _numbered(edges)
+    steps = []
+    while left.count() > component_edges:
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        steps.append(written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label"))))
+        of = lambda end, new: steps[-1].select(F.col("node").alias(end), F.col("label").alias(new))
+        ends = left.join(of("a", "x"), "a").join(of("b", "y"), "b").where("x <> y")
+        left = written(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    labels = written(_joined(left))
+    for step in reversed(steps):
+        last = labels.select(F.col("node").alias("label"), F.col("label").alias("last"))
+        labels = written(step.join(last, "label", "left").select("node", F.coalesce("last", "label").alias("label")))
+    found = written(names.join(labels.withColumnRenamed("node", "id"), "id").select("name", "label"))
+    first = found.groupBy("label").agg(F.min("name").alias("component"))
+    return found.join(first, "label").select(F.col("name").alias("node"), "component")
 
 
 def _tarjan(out: dict) -> dict:
@@ -206,22 +251,19 @@ def strong_components(edges: DataFrame, component_edges: int = COMPONENT_EDGES)
     plain = written(edges.select("src", "dst").distinct())
     nodes = plain.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     weak = components(plain)
-    placed = plain.where("src <> dst").join(weak.withColumnRenamed("node", "src"), "src")
+    placed = written(plain.where("src <> dst").join(weak.withColumnRenamed("node", "src"), "src").select("component", "src", "dst"))
     size = written(placed.groupBy("component").agg(F.count("*").alias("n")))
-    small = placed.join(size.where(F.col("n") <= component_edges), "component", "left_semi")
-
-    def solve(pdf):
-        import pandas as pd
+    small = placed if not size.where(F.col("n") > component_edges).limit(1).count() else placed.join(size.where(F.col("n") <= component_edges), "component", "left_semi")
 
+    def solve(rows):
         out: dict = {}
-        for a, b in zip(pdf["src"], pdf["dst"], strict=True):
+        for _, a, b in rows:
             out.setdefault(a, []).append(b)
             out.setdefault(b, [])
-        label = _tarjan(out)
-        return pd.DataFrame({"node": list(label), "scc": list(label.values())})
+        return _tarjan(out).items()
 
     node_type = plain.schema["src"].dataType.simpleString()
-    found = small.select("component", "src", "dst").groupBy("component").applyInPandas(solve, f"node {node_type}, scc {node_type}")
+    found = each_group(small.select("component", "src", "dst"), "component", solve, f"node {node_type}, scc {node_type}")
     if size.where(F.col("n") > component_edges).limit(1).count():
         rest = placed.join(size.where(F.col("n") > component_edges), "component", "left_semi").select("src", "dst")
         found = found.unionByName(_split_by_reach(rest))

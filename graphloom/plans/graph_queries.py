@@ -140,7 +140,7 @@ c AS (SELECT a AS node, min(b) AS component FROM r GROUP BY a)
 SELECT split_part(component, ':', 1) AS user_id, count(*)::BIGINT AS nodes, component FROM c GROUP BY component""")
 def weak_components(t):
     found = graph.components(views.transitions(t))
-    return found.groupBy("component").agg(F.count("*").alias("nodes"), F.first(F.substring_index("node", ":", 1)).alias("user_id")).select("user_id", "nodes", "component")
+    return found.groupBy("component").agg(F.count("*").alias("nodes"), F.first(F.substring_index("component", ":", 1)).alias("user_id")).select("user_id", "nodes", "component")
 
 
 @query(f"WITH RECURSIVE {FK}, p(node, depth) AS (SELECT src, 0 FROM fk UNION SELECT dst, depth + 1 FROM p JOIN fk ON src = node) SELECT node, max(depth)::INTEGER AS depth FROM p GROUP BY node")

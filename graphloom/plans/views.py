@@ -64,10 +64,12 @@ def transitions(t) -> DataFrame:
     """(src, dst, n): steps of a user's events; nodes are user:day:type, so cycles stay within a day."""
     from pyspark.sql import Window
 
-    node = F.concat_ws(":", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd"), "event_type")
+    node = lambda at, kind: F.concat_ws(":", F.col("user_id").cast("string"), F.date_format(at, "yyyyMMdd"), kind)
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")  # one user's events
-    steps = t("events").select("user_id", node.alias("src"), F.lead(node).over(w).alias("dst"))
-    return steps.where("dst IS NOT NULL AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    steps = t("events").select("user_id", "ts", "event_type", F.lead(F.struct("ts", "event_type")).over(w).alias("next")).where("next IS NOT NULL")
+    named = steps.select("user_id", node("ts", "event_type").alias("src"), node("next.ts", "next.event_type").alias("dst"))
+    # a node names its user, so these groups need no shuffle but the window's
+    return named.where("src <> dst").groupBy("user_id", "src", "dst").agg(F.count("*").alias("n")).drop("user_id")
 
 
 TRANSITIONS = """tr AS (SELECT src, dst, count(*)::BIGINT AS n FROM (
