@@ -183,12 +183,104 @@ def token_windows(text: Column, size: int = 512, overlap: int = 64) -> Column:
     return F.transform(starts, lambda i: F.struct(i.alias("first"), F.slice(tokens, i + 1, size).alias("tokens")))
 
 
+#: Pairs of query and term that may be sent to the documents.
+ASKED_SENT = 200_000
+#: Documents whose scores are worked out together.
+DOCUMENTS_AT_ONCE = 1000
+
+
+def _postings(terms, vocabulary):
+    """Of an Arrow array of lists of terms: (row, term, tf), rows and places in the vocabulary (an Arrow array) as numpy arrays, sorted."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    row, place = pc.list_parent_indices(terms), pc.index_in(pc.list_flatten(terms), vocabulary)
+    known = pc.is_valid(place)
+    key = pc.filter(row, known).to_numpy(zero_copy_only=False).astype(np.int64) * max(1, len(vocabulary)) + pc.filter(place, known).to_numpy(zero_copy_only=False)
+    key, tf = np.unique(key, return_counts=True)
+    return *np.divmod(key, max(1, len(vocabulary))), tf
+
+
+def _bm25_sent(documents: DataFrame, asked: DataFrame, top: int, k1: float, b: float) -> DataFrame:
+    """bm25 for asked (query, term) that fit every task and documents that have a doc each: two passes over the documents, of which only sums by term and the best of each batch are shuffled."""
+    spark = documents.sparkSession
+    asked = asked.select(F.dense_rank().over(Window.orderBy("query")).alias("q"), "query", "term")  # ASKED_SENT rows at most
+    pairs = asked.select("q", "term").toPandas()  # ASKED_SENT rows at most
+    words_ = sorted(set(pairs["term"]))
+    place = {w: i for i, w in enumerate(words_)}
+    by_term: list[list[int]] = [[] for _ in words_]
+    for q, w in zip(pairs["q"], pairs["term"], strict=True):
+        by_term[place[w]].append(int(q))
+    sent = spark.sparkContext.broadcast((words_, by_term))
+    n, mean_length = documents.agg(F.count("*"), F.avg(F.size("terms"))).first()
+
+    def frequencies(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        vocabulary, total = pa.array(sent.value[0], pa.string()), np.zeros(len(sent.value[0]), np.int64)
+        for batch in batches:
+            total += np.bincount(_postings(batch.column(0), vocabulary)[1], minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total).astype(np.int64)), pa.array(total[total > 0])], ["t", "df"])
+
+    found = documents.select("terms").mapInArrow(frequencies, "t long, df long").groupBy("t").agg(F.sum("df").alias("df"))
+    idf = found.select("t", F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).collect()  # one row an asked term
+    mean = sum(r.idf for r in sorted(idf)) / max(1, len(idf))
+    weight = {r.t: 0.25 * mean if r.idf < 0 else r.idf for r in idf}
+    weighed = spark.sparkContext.broadcast([weight.get(i, 0.0) for i in range(len(words_))])
+    doc_type = documents.schema["doc"].dataType.simpleString()
+
+    def best(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute
+
+        vocabulary, by = pa.array(sent.value[0], pa.string()), sent.value[1]
+        idf_of, many, start = np.array(weighed.value), np.array([len(x) for x in by], np.int64), np.concatenate([[0], np.cumsum([len(x) for x in by])]).astype(np.int64)
+        all_queries = np.array([q for x in by for q in x], np.int64)
+        width = int(all_queries.max(initial=0)) + 1
+        for whole in batches:
+            for k in range(0, whole.num_rows, DOCUMENTS_AT_ONCE):
+                batch = whole.slice(k, DOCUMENTS_AT_ONCE)
+                row, term, tf = _postings(batch.column(1), vocabulary)
+                length = np.bincount(pa.compute.list_parent_indices(batch.column(1)).to_numpy(zero_copy_only=False), minlength=batch.num_rows)
+                part = idf_of[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / mean_length)) if len(row) else np.zeros(0)
+                times = many[term]
+                at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                key = np.repeat(row, times) * width + all_queries[np.repeat(start[term], times) + at]
+                size = batch.num_rows * width
+                score, hit = np.bincount(key, np.repeat(part, times), size), np.bincount(key, minlength=size) > 0
+                d, q = np.divmod(np.flatnonzero(hit), width)
+                score = score[hit]
+                by_doc = np.empty(batch.num_rows, np.int64)
+                by_doc[pa.compute.array_sort_indices(batch.column(0)).to_numpy()] = np.arange(batch.num_rows)
+                order = np.lexsort((by_doc[d], -score, q))
+                d, q, score = d[order], q[order], score[order]
+                # the first top of a query, and what rounding may bring before the last of them; of equal scores the first top by doc
+                last = np.minimum(np.searchsorted(q, q) + top - 1, np.searchsorted(q, q, "right") - 1)
+                other = np.concatenate([[True], (q[1:] != q[:-1]) | (score[1:] != score[:-1])])[: len(q)]
+                place_in_run = np.arange(len(q)) - np.maximum.accumulate(np.where(other, np.arange(len(q)), 0))
+                keep = (score >= score[last] - 1e-8) & (place_in_run < top)
+                yield pa.RecordBatch.from_arrays([pa.array(q[keep]), batch.column(0).take(pa.array(d[keep])), pa.array(score[keep])], ["q", "doc", "score"])
+
+    scored = documents.select("doc", "terms").mapInArrow(best, f"q long, doc {doc_type}, score double")
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "doc"))).where(F.col("rank") <= top)
+    return ranked.join(F.broadcast(asked.select("q", "query").distinct()), "q").select("query", "doc", "score", "rank")
+
+
 def bm25(documents: DataFrame, queries: DataFrame, top: int | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query, doc, score, rank): Okapi ranks of documents (doc, terms array) for queries (query, terms array).
 
     Only postings of asked terms are joined. Document frequencies come from all documents; a term in over half
-    of them weighs a quarter of the mean idf of asked terms.
+    of them weighs a quarter of the mean idf of asked terms. Where the queries are few enough to be sent to the
+    documents, only the first top of each query in each batch are shuffled; docs must be whole numbers or texts, each once.
     """
+    if top:
+        asked = queries.select("query", F.explode(F.array_distinct("terms")).alias("term")).where("term IS NOT NULL")
+        if documents.schema["doc"].dataType.simpleString() in ("int", "bigint", "string") and asked.count() <= ASKED_SENT:
+            docs = documents.agg(F.count("*").alias("n"), F.count_distinct("doc").alias("own")).first()
+            if docs.n == docs.own:
+                return _bm25_sent(documents, asked, top, k1, b)
     lengths = documents.select("doc", F.size("terms").alias("len"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
     asked = queries.select("query", F.explode(F.array_distinct("terms")).alias("term"))
