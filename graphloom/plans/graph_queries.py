@@ -23,7 +23,7 @@ SELECT m.module, symbol_count, round(CASE WHEN coalesce(internal, 0) + coalesce(
   round(CASE WHEN coalesce(ca, 0) + coalesce(ce, 0) > 0 THEN coalesce(ce, 0)::DOUBLE / (coalesce(ca, 0) + coalesce(ce, 0)) ELSE 0 END, 4) AS coupling_instability, coalesce(s.sinks, []) AS dominant_sinks
 FROM m LEFT JOIN o ON m.module = o.module LEFT JOIN i ON m.module = i.module LEFT JOIN s ON m.module = s.module""")
 def subsystem_profile(t):
-    return profile(views.fk_edges(t), views.symbols(t)).select("module", "symbol_count", "cohesion_score", "coupling_instability", "dominant_sinks")
+    return profile(views.fk_edges(t, views.number), views.symbols(t, views.number), named=views.named).select("module", "symbol_count", "cohesion_score", "coupling_instability", "dominant_sinks")
 
 
 @query(f"""WITH RECURSIVE {FK}, b(node, hops) AS (SELECT 'o:' || o_orderkey, 0 FROM orders WHERE o_orderstatus = 'F' UNION SELECT dst, hops + 1 FROM b JOIN fk ON src = node WHERE hops < 10)
@@ -63,9 +63,9 @@ def degree_roles(t):
     return graph.degrees(views.fk_edges(t)).withColumn("role", class_role(F.col("fan_in"), F.col("fan_out")))
 
 
-def _parts_of_walk(t):
-    edges = views.fk_edges(t).where("relation IN ('CALLS', 'INSTANTIATES')")
-    internal = views.symbols(t).where("kind = 'function'").select(F.col("qname").alias("node"))
+def _parts_of_walk(t, key=views._key):
+    edges = views.fk_edges(t, key).where("relation IN ('CALLS', 'INSTANTIATES')")
+    internal = views.symbols(t, key).where("kind = 'function'").select(F.col("qname").alias("node"))
     identity = internal.select("node", F.col("node").alias("scc"))
     return edges, internal, flow.transition_table(edges, internal, identity)
 
@@ -103,9 +103,9 @@ i1 AS (SELECT tp.dst AS node, category, sum(mass * p) AS mass FROM i0 JOIN tp ON
 i2 AS (SELECT tp.dst AS node, category, sum(mass * p) AS mass FROM i1 JOIN tp ON tp.src = i1.node WHERE NOT absorbed GROUP BY 1, 2)
 SELECT node, category, round(sum(mass), 6) AS mass FROM (SELECT * FROM i0 UNION ALL SELECT * FROM i1 UNION ALL SELECT * FROM i2) GROUP BY 1, 2""")
 def ingress_by_category(t):
-    _, _, table = _parts_of_walk(t)
-    entries = t("orders").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("node"), F.col("o_orderstatus").alias("category"))
-    return flow.ingress(table, entries).withColumn("mass", F.round("mass", 6))
+    _, _, table = _parts_of_walk(t, views.number)
+    entries = t("orders").select(views.number("o:", "o_orderkey").alias("node"), F.col("o_orderstatus").alias("category"))
+    return flow.ingress(table, entries).select(views.named(F.col("node")).alias("node"), "category", F.round("mass", 6).alias("mass"))
 
 
 @query(f"""WITH RECURSIVE {FK}, {SYM}, f(node, h) AS (SELECT qname, 0 FROM sym WHERE kind = 'function' AND qname NOT IN (SELECT dst FROM fk) UNION SELECT dst, h + 1 FROM f JOIN fk ON src = node),

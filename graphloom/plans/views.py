@@ -10,8 +10,23 @@ def _key(prefix: str, column: str):
     return F.concat(F.lit(prefix), F.col(column).cast("string"))
 
 
-def fk_edges(t) -> DataFrame:
-    """Typed foreign-key graph (src, dst, relation): a DAG from orders down to regions."""
+#: Kinds of nodes in the order of their numbers.
+KINDS = ("o:", "c:", "p:", "s:", "n:", "r:", "x:<lambda>")
+
+
+def number(prefix: str, column):
+    """A node as a number: its key times 8 and its kind; what shuffles by node then carries 8 bytes."""
+    return F.col(column).cast("long") * 8 + KINDS.index(prefix)
+
+
+def named(node):
+    """The name of a numbered node."""
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.pmod(node, F.lit(8)) + 1).cast("int"))
+    return F.concat(kind, F.shiftright(node, 3).cast("string"))
+
+
+def fk_edges(t, _key=_key) -> DataFrame:
+    """Typed foreign-key graph (src, dst, relation): a DAG from orders down to regions. Nodes are names, or with number as _key numbers."""
     pairs = [
         t("orders").select(_key("o:", "o_orderkey").alias("src"), _key("c:", "o_custkey").alias("dst"), F.lit("CALLS").alias("relation")),
         t("lineitem").select("l_orderkey", "l_partkey").distinct().select(_key("o:", "l_orderkey").alias("src"), _key("p:", "l_partkey").alias("dst"), F.lit("INSTANTIATES").alias("relation")),
@@ -35,8 +50,8 @@ FK_EDGES = """fk AS (
   UNION ALL SELECT 'n:' || n_nationkey, 'r:' || n_regionkey, 'IMPLEMENTS' FROM nation)"""
 
 
-def symbols(t) -> DataFrame:
-    """(qname, kind, module): orders, customers and parts are functions, the rest classes."""
+def symbols(t, _key=_key) -> DataFrame:
+    """(qname, kind, module): orders, customers and parts are functions, the rest classes. Names or numbers as in fk_edges."""
     parts = [
         t("orders").select(_key("o:", "o_orderkey").alias("qname"), F.lit("function").alias("kind"), F.col("o_orderpriority").alias("module")),
         t("customer").select(_key("c:", "c_custkey").alias("qname"), F.lit("function").alias("kind"), F.concat(F.lit("nation."), F.col("c_nationkey").cast("string")).alias("module")),
@@ -97,12 +112,12 @@ PART_PATHS = """pp AS (SELECT p_partkey, 'src/' || lower(p_type) || '/' || repla
   FROM (SELECT *, CASE p_size % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.go' WHEN 2 THEN '.ts' WHEN 3 THEN '_test.py' ELSE '/__init__.py' END AS ext FROM part))"""
 
 
-def trace_events(t) -> DataFrame:
-    """Call events from lineitem: an order calls a part in an environment; a share of the parts isn't known statically."""
+def trace_events(t, _key=_key) -> DataFrame:
+    """Call events from lineitem: an order calls a part in an environment; a share of the parts isn't known statically. Names or numbers as in fk_edges."""
     env = F.element_at(F.array(*(F.lit(x) for x in ("unit", "integration", "e2e", "staging", "prod"))), (F.pmod(F.col("l_suppkey"), F.lit(5)) + 1).cast("int"))
     unknown = F.col("l_linenumber") == 7
     return t("lineitem").select(
-        _key("o:", "l_orderkey").alias("caller"), F.when(unknown, F.concat(F.lit("x:<lambda>"), F.col("l_partkey").cast("string"))).otherwise(_key("p:", "l_partkey")).alias("callee"),
+        _key("o:", "l_orderkey").alias("caller"), F.when(unknown, _key("x:<lambda>", "l_partkey")).otherwise(_key("p:", "l_partkey")).alias("callee"),
         env.alias("env"), F.when(F.col("l_returnflag") == "R", "otel").otherwise("tracer").alias("source"), F.col("l_quantity").cast("long").alias("count"), (F.col("l_returnflag") == "R").cast("long").alias("errors"), F.col("l_partkey").alias("line"),
     )
 
