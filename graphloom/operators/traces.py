@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,17 +34,21 @@ def node_observations(edges: DataFrame, aggregated: DataFrame) -> DataFrame:
     return hits.groupBy(F.col("callee").alias("node")).agg(F.coalesce(F.sum("total_hits"), F.lit(0)).alias("total_hits")).withColumn("observed", F.col("total_hits") > 0)
 
 
-def route_events(events: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
+def route_events(events: DataFrame, symbols: DataFrame, edges: DataFrame, named: Callable[[Column], Column] | None = None) -> DataFrame:
     """events (caller, callee, source, ...) with route: confirmed, discovered, orphan_callee or unresolved, and orphan_reason.
 
-    Both names are looked up among symbols (qname), the pair among static edges (src, dst).
+    Both names are looked up among symbols (qname), the pair among static edges (src, dst). Names may be numbers, of
+    which named gives the names. A name's leaf is looked up last, so that no other lookup carries it.
     """
+    named = named or (lambda node: node)
     known = lambda c: symbols.select(F.col("qname").alias(c), F.lit(True).alias(f"{c}_known")).distinct()
     pairs = edges.select(F.col("src").alias("caller"), F.col("dst").alias("callee"), F.lit(True).alias("static")).distinct()
-    leaves = symbols.select(F.substring_index("qname", ".", -1).alias("leaf"), F.lit(True).alias("leaf_known")).distinct()
-    df = events.withColumn("leaf", F.substring_index("callee", ".", -1)).join(known("caller"), "caller", "left").join(known("callee"), "callee", "left").join(pairs, ["caller", "callee"], "left").join(leaves, "leaf", "left")
+    leaves = symbols.select(F.substring_index(named(F.col("qname")), ".", -1).alias("leaf"), F.lit(True).alias("leaf_known")).distinct()
+    met = events.join(known("caller"), "caller", "left").join(known("callee"), "callee", "left").join(pairs, ["caller", "callee"], "left")
+    df = met.withColumn("leaf", F.substring_index(named(F.col("callee")), ".", -1)).join(leaves, "leaf", "left")
     route = F.when(F.col("caller_known").isNull(), "unresolved").when(F.col("callee_known").isNull(), "orphan_callee").when(F.col("static"), "confirmed").otherwise("discovered")
-    return df.select(*events.columns, route.alias("route"), F.when(route.isin("unresolved", "orphan_callee"), orphan_reason(F.col("caller"), F.col("callee"), F.col("source"), F.col("leaf_known"))).alias("orphan_reason"))
+    reason = orphan_reason(named(F.col("caller")), named(F.col("callee")), F.col("source"), F.col("leaf_known"))
+    return df.select(*events.columns, route.alias("route"), F.when(route.isin("unresolved", "orphan_callee"), reason).alias("orphan_reason"))
 
 
 def orphan_reason(caller: Column, callee: Column, source: Column, leaf_known: Column) -> Column:
